@@ -19,14 +19,26 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def round_half_up(c, digits: int) -> Column:
+    """floor(x * 10^d + 0.5) / 10^d in plain IEEE double arithmetic.
+
+    Unlike ``round`` (decimal HALF_UP on the exact binary value) this gives
+    bit-identical results in any engine that does IEEE arithmetic."""
+    scale = float(10 ** digits)
+    return F.floor(col(c) * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+
+
 def out(c, digits: int = OUT_DIGITS) -> Column:
-    """Round a reported double and turn -0.0 into 0.0."""
-    return F.round(col(c), digits) + F.lit(0.0)
+    """Round a reported double and turn -0.0 into 0.0 (inf and NaN pass)."""
+    x = col(c)
+    r = round_half_up(x, digits)
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(r) + F.lit(0.0)
 
 
 def stable_margin(c) -> Column:
     """Margin rounded before it feeds a comparison (support test, sign)."""
-    return F.round(col(c), MARGIN_DIGITS)
+    x = col(c)
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(round_half_up(x, MARGIN_DIGITS))
 
 
 def predict_sign(m) -> Column:

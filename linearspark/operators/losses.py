@@ -15,20 +15,23 @@ from linearspark.functions import hinge, is_support, predict_sign, predict_thres
 from linearspark.operators.features import bounded_broadcast, weight_count
 
 
-def feature_rows(ex: DataFrame, feats: DataFrame, weights: DataFrame, n_weights: int | None = None) -> DataFrame:
-    """(id, y, k, v, w, m, sw, sw2, nnz): every feature row of a labelled
+def feature_rows(ex: DataFrame, feats: DataFrame, weights: DataFrame, n_weights: int | None = None,
+                 keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(keys..., y, k, v, w, m, sw, sw2, nnz): every feature row of a labelled
     example with its weight and the example's margin and weight sums.
 
-    ``m`` is rounded (``stable_margin``) so that comparisons on it do not
-    depend on the summation order."""
+    ``keys`` identify an example occurrence, e.g. ("worker", "id") when the
+    same example is drawn by several workers.  ``m`` is rounded
+    (``stable_margin``) so that comparisons on it do not depend on the
+    summation order."""
     if n_weights is None:
         n_weights = weight_count(weights)
     w = bounded_broadcast(weights.select("k", "w"), n_weights)
-    j = feats.join(ex.select("id", "y"), "id", "inner").join(w, "k", "left")
+    j = feats.join(ex.select(*keys, "y"), "id", "inner").join(w, "k", "left")
     j = j.withColumn("w", F.coalesce(F.col("w"), F.lit(0.0)))
-    win = Window.partitionBy("id")
+    win = Window.partitionBy(*keys)
     return j.select(
-        "id", "y", "k", "v", "w",
+        *keys, "y", "k", "v", "w",
         stable_margin(F.sum(F.col("v") * F.col("w")).over(win)).alias("m"),
         F.sum("w").over(win).alias("sw"),
         F.sum(F.col("w") * F.col("w")).over(win).alias("sw2"),
@@ -45,7 +48,7 @@ def example_rows(frows: DataFrame) -> DataFrame:
 
 
 def example_stats(ex: DataFrame, feats: DataFrame, weights: DataFrame, n_weights: int | None = None) -> DataFrame:
-    """(id, y, m, sw, sw2, nnz) with one aggregation by id (no window)."""
+    """(id, y, ex columns..., m, sw, sw2, nnz) with one aggregation by id."""
     if n_weights is None:
         n_weights = weight_count(weights)
     w = bounded_broadcast(weights.select("k", "w"), n_weights)
@@ -56,7 +59,8 @@ def example_stats(ex: DataFrame, feats: DataFrame, weights: DataFrame, n_weights
         F.sum(F.col("w") * F.col("w")).alias("sw2"),
         F.count(F.lit(1)).alias("nnz"),
     )
-    return ex.join(g, "id", "inner").select("id", "y", stable_margin("m").alias("m"), "sw", "sw2", "nnz")
+    extra = [c for c in ex.columns if c not in ("id", "y")]
+    return ex.join(g, "id", "inner").select("id", "y", *extra, stable_margin("m").alias("m"), "sw", "sw2", "nnz")
 
 
 def support_rows(margins: DataFrame) -> DataFrame:

@@ -37,10 +37,9 @@ FEAT_ORDERS = """fo AS (
 EX_DOCS = """exd AS (SELECT doc_id AS id,
     CAST(CASE WHEN quality = 1 THEN 1 ELSE -1 END AS INTEGER) AS y FROM labels)"""
 
-FEAT_DOCS = r"""toks AS (
-    SELECT doc_id AS id, len(t) AS n, unnest(t) AS tok FROM (
-        SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), x -> x <> '') AS t
-        FROM documents)),
+FEAT_DOCS = r"""toks0 AS (
+    SELECT doc_id AS id, unnest(regexp_split_to_array(text, '[ \t\n\r]+')) AS tok FROM documents),
+toks AS (SELECT id, tok, count(*) OVER (PARTITION BY id) AS n FROM toks0 WHERE tok <> ''),
 fd AS (
     SELECT id, k, c / n AS v FROM (
         SELECT id, CAST(('0x' || substr(md5(tok), 1, 8))::UBIGINT % 1024 AS BIGINT) + 1 AS k, n,
@@ -80,12 +79,20 @@ def h(seed, *parts: str) -> str:
     return "md5(" + " || ':' || ".join(items) + ")"
 
 
+def _rhu(x: str, digits: int) -> str:
+    scale = f"CAST({float(10 ** digits)!r} AS DOUBLE)"
+    v = f"({x})"
+    return (f"(CASE WHEN isnan({v}) OR abs({v}) = CAST('inf' AS DOUBLE) THEN {v} "
+            f"ELSE CAST(floor({v} * {scale} + 0.5) AS DOUBLE) / {scale} END)")
+
+
 def r6(x: str) -> str:
-    return f"(round({x}, 6) + 0.0)"
+    """Same IEEE rounding as ``functions.out``."""
+    return f"({_rhu(x, 6)} + 0.0)"
 
 
 def r9(x: str) -> str:
-    return f"round({x}, 9)"
+    return _rhu(x, 9)
 
 
 def with_(*ctes: str) -> str:
