@@ -20,7 +20,7 @@ WORKER_COUNTS = (1, 2, 5, 10, 15)
 
 def with_running_time(runs: DataFrame) -> DataFrame:
     """running_time = end_time - start_time in seconds (microsecond exact)."""
-    secs = (F.unix_micros("end_time") - F.unix_micros("start_time")) / 1e6
+    secs = F.timestamp_diff("MICROSECOND", F.col("start_time"), F.col("end_time")) / 1e6
     return runs.withColumn("running_time", secs)
 
 

@@ -3,3 +3,4 @@
 from linearspark.registry.base import ORACLE, QUERIES  # noqa: F401
 from linearspark.registry import data  # noqa: F401,E402
 from linearspark.registry import model  # noqa: F401,E402
+from linearspark.registry import runs  # noqa: F401,E402
