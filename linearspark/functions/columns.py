@@ -42,8 +42,8 @@ def stable_margin(c) -> Column:
 
 
 def predict_sign(m) -> Column:
-    """1, -1, or 0 for a zero margin (counted wrong against +-1 labels)."""
-    return F.signum(col(m)).cast("int")
+    """1, -1, or 0 for a zero (or NaN) margin -- counted wrong against +-1."""
+    return F.when(col(m) > 0, F.lit(1)).when(col(m) < 0, F.lit(-1)).otherwise(F.lit(0))
 
 
 def predict_threshold(m) -> Column:
