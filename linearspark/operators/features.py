@@ -22,7 +22,12 @@ BROADCAST_MAX_KEYS = 4_000_000
 
 
 def bounded_broadcast(df: DataFrame, n_rows: int | None) -> DataFrame:
-    """Broadcast ``df`` only if its row count is known to be small."""
+    """Broadcast ``df`` when its row count is known to be below the bound.
+
+    With no known bound, no hint is given: adaptive execution measures the
+    materialised side at run time and broadcasts it only if it is under
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise the join
+    stays a sort-merge join on the key."""
     if n_rows is not None and n_rows <= BROADCAST_MAX_KEYS:
         return F.broadcast(df)
     return df
@@ -76,8 +81,6 @@ def margins(feats: DataFrame, weights: DataFrame, n_weights: int | None = None)
 
     The weight table is broadcast when its size is known to be bounded;
     otherwise the join is left to the planner (sort-merge on ``k``)."""
-    if n_weights is None:
-        n_weights = weight_count(weights)
     w = bounded_broadcast(weights.select("k", "w"), n_weights)
     j = feats.join(w, "k", "left")
     return j.groupBy("id").agg(F.sum(F.col("v") * F.coalesce(F.col("w"), F.lit(0.0))).alias("m"))

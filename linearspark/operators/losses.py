@@ -12,22 +12,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linearspark.functions import hinge, is_support, predict_sign, predict_threshold, stable_margin
-from linearspark.operators.features import bounded_broadcast, weight_count
+from linearspark.operators.features import BROADCAST_MAX_KEYS, bounded_broadcast
 
 
 def feature_rows(ex: DataFrame, feats: DataFrame, weights: DataFrame, n_weights: int | None = None,
-                 keys: tuple[str, ...] = ("id",)) -> DataFrame:
+                 keys: tuple[str, ...] = ("id",), n_examples: int | None = None) -> DataFrame:
     """(keys..., y, k, v, w, m, sw, sw2, nnz): every feature row of a labelled
     example with its weight and the example's margin and weight sums.
 
     ``keys`` identify an example occurrence, e.g. ("worker", "id") when the
     same example is drawn by several workers.  ``m`` is rounded
     (``stable_margin``) so that comparisons on it do not depend on the
-    summation order."""
-    if n_weights is None:
-        n_weights = weight_count(weights)
+    summation order.
+
+    With ``n_examples`` (a known bound on the rows of ``ex``, e.g. a
+    mini-batch) the examples are broadcast and the features are first
+    semi-joined on their ids; the optimizer pushes that filter below the
+    aggregation that builds the features, down to the scan."""
     w = bounded_broadcast(weights.select("k", "w"), n_weights)
-    j = feats.join(ex.select(*keys, "y"), "id", "inner").join(w, "k", "left")
+    exs = ex.select(*keys, "y")
+    if n_examples is not None and n_examples <= BROADCAST_MAX_KEYS:
+        feats = feats.join(F.broadcast(ex.select("id")), "id", "left_semi")
+        exs = F.broadcast(exs)
+    j = feats.join(exs, "id", "inner").join(w, "k", "left")
     j = j.withColumn("w", F.coalesce(F.col("w"), F.lit(0.0)))
     win = Window.partitionBy(*keys)
     return j.select(
@@ -49,8 +56,6 @@ def example_rows(frows: DataFrame) -> DataFrame:
 
 def example_stats(ex: DataFrame, feats: DataFrame, weights: DataFrame, n_weights: int | None = None) -> DataFrame:
     """(id, y, ex columns..., m, sw, sw2, nnz) with one aggregation by id."""
-    if n_weights is None:
-        n_weights = weight_count(weights)
     w = bounded_broadcast(weights.select("k", "w"), n_weights)
     j = feats.join(w, "k", "left").withColumn("w", F.coalesce(F.col("w"), F.lit(0.0)))
     g = j.groupBy("id").agg(

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from linearspark.functions import hash_prefix, hash_text
 
 TOPK_MAX = 100_000   # largest n drawn with a top-k
+TOPK_GROUPS = 32     # most groups drawn as a union of top-k plans
 HASH_BITS = 16       # histogram buckets = 2**HASH_BITS per group
 
 
@@ -96,7 +97,21 @@ def sample_exact(df: DataFrame, n: int, seed: int, step: int = 0, id_col: str =
 def group_samples(df: DataFrame, n: int, seed: int, groups: int, group_col: str = "worker",
                   step: int | None = 0, id_col: str = "id") -> DataFrame:
     """An independent exact sample of ``n`` rows for each of ``groups``
-    groups (workers or steps); overlap between groups is allowed."""
+    groups (workers or steps); overlap between groups is allowed.
+
+    Few groups and small n: a union of one top-k per group (one hash per row
+    and group, at most n rows per task).  Otherwise the grouped histogram
+    cutoff over the rows repeated once per group."""
+    if groups <= TOPK_GROUPS and n <= TOPK_MAX:
+        parts = []
+        for g in range(groups):
+            x = df.withColumn(group_col, F.lit(g))
+            x = with_hash(x, seed, step, group=group_col, id_col=id_col)
+            parts.append(x.orderBy("_h", id_col).limit(n).drop("_h"))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
     x = df.withColumn(group_col, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     x = with_hash(x, seed, step, group=group_col, id_col=id_col)
     return flag_first_n(x, n, id_col=id_col, groups=[group_col]).filter("_in").drop("_h", "_in")
@@ -104,9 +119,7 @@ def group_samples(df: DataFrame, n: int, seed: int, groups: int, group_col: str
 
 def step_samples(df: DataFrame, n: int, seed: int, steps: int, id_col: str = "id") -> DataFrame:
     """Mini-batches for steps 0..steps-1 in one job: (step, ...)."""
-    x = df.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-    x = with_hash(x, seed, "step", id_col=id_col)
-    return flag_first_n(x, n, id_col=id_col, groups=["step"]).filter("_in").drop("_h", "_in")
+    return group_samples(df, n, seed, steps, group_col="step", step=None, id_col=id_col)
 
 
 def ratio_split(df: DataFrame, ratio: float, seed: int = 1, id_col: str = "id",

@@ -15,6 +15,7 @@ from linearspark.operators import features as FT
 from linearspark.operators import gradients as G
 from linearspark.operators import losses as L
 from linearspark.operators import sampling as SP
+from linearspark.session import materialize
 
 
 def _empty_weights(like: DataFrame) -> DataFrame:
@@ -30,9 +31,11 @@ def hinge_steps(ex: DataFrame, feats: DataFrame, steps: int, batch: int, seed: i
         dim = FT.feature_dim(feats).first()["dim"]
     for s in range(steps):
         b = SP.sample_exact(ex, batch, seed, s, n_rows=n_rows)
-        fr = L.feature_rows(b, feats, w, n_weights=dim)
+        fr = L.feature_rows(b, feats, w, n_weights=dim, n_examples=batch)
         g = G.hinge_sq_gradient(fr, lr, reg)
         w = G.apply_delta(w, g, -1.0, value="g")
+        if s < steps - 1:
+            w = materialize(w)          # dim rows; the next step reads a table
     return w
 
 
@@ -46,9 +49,11 @@ def svm_sync_steps(ex: DataFrame, feats: DataFrame, steps: int, workers: int, su
         dim = FT.feature_dim(feats).first()["dim"]
     for s in range(steps):
         b = SP.group_samples(ex, subset, seed, workers, group_col="worker", step=s)
-        fr = L.feature_rows(b, feats, w, n_weights=dim, keys=("worker", "id"))
+        fr = L.feature_rows(b, feats, w, n_weights=dim, keys=("worker", "id"), n_examples=workers * subset)
         dlt = G.svm_mean_delta(fr, lam)
         w = G.apply_delta(w, dlt, lr, value="d")
+        if s < steps - 1:
+            w = materialize(w)
     return w
 
 

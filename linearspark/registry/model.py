@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linearspark.functions import hinge, out, predict_sign, predict_threshold, stable_margin
+from linearspark.functions import fixed_weight, hinge, out, predict_sign, predict_threshold, stable_margin
 from linearspark.operators import features as FT
 from linearspark.operators import gradients as G
 from linearspark.operators import losses as L
@@ -14,6 +14,7 @@ from linearspark.plans import evaluate as EV
 from linearspark.plans import steps as ST
 from linearspark.registry.base import (DELTAS, EX_DOCS, EX_ORDERS, FEAT_DOCS, FEAT_ORDERS, POINTS, fixed_w, h,
                                        query, r6, r9, with_)
+from linearspark.session import materialize
 from linearspark.sources import tables as T
 
 # Fixed parameters of the model queries (the reference's settings).
@@ -189,8 +190,11 @@ MG_DOCS = [EX_DOCS, FEAT_DOCS, f"fwd AS (SELECT DISTINCT k, {fixed_w('k')} AS w
 
 @query("class_accuracy", with_(*MG_DOCS) + f"SELECT {CLASS_ACC_COLS} FROM mgd")
 def class_accuracy(spark, sf_dir):
-    ex, feats = T.ex_docs(spark, sf_dir), T.feat_docs(spark, sf_dir)
-    m = FT.labelled_margins(ex, feats, FT.fixed_weights(feats)).select("id", "y", stable_margin("m").alias("m"))
+    ex = T.ex_docs(spark, sf_dir)
+    feats = T.feat_docs(spark, sf_dir, ids=ex)          # tokenise labelled documents only
+    keys = T.doc_weights_universe(spark)
+    w = keys.select("k", fixed_weight("k").alias("w"))
+    m = FT.labelled_margins(ex, feats, w, n_weights=T.DOC_BUCKETS + 1).select("id", "y", stable_margin("m").alias("m"))
     return L.class_accuracy(m).select(*[out(c).alias(c) for c in ("acc_pos", "acc_neg", "acc_tot")])
 
 
@@ -209,7 +213,7 @@ SELECT split, {CLASS_ACC_COLS}, {r6(f'avg({HINGE_SQL} + {d(LAM_SVM)} * sw2 / nnz
 FROM mg JOIN tagged USING (id) GROUP BY split""")
 def evaluation_report(spark, sf_dir):
     ex, feats, w = _orders(spark, sf_dir)
-    tagged = EV.tag_splits(ex, ratio=0.9, seed=SEED, holdout=0.1, holdout_seed=7)
+    tagged = materialize(EV.tag_splits(ex, ratio=0.9, seed=SEED, holdout=0.1, holdout_seed=7))
     r = EV.evaluation_report(tagged, feats, w, LAM_SVM)
     return r.select("split", *[out(c).alias(c) for c in ("acc_pos", "acc_neg", "acc_tot", "loss")], "n")
 
@@ -238,7 +242,7 @@ SELECT v.step, v.val_objective, t.train_acc, v.val_acc FROM
   FROM bt JOIN mg USING (id) GROUP BY step) t USING (step)""")
 def step_metrics(spark, sf_dir):
     ex, feats, w = _orders(spark, sf_dir)
-    parts = SP.ratio_split(ex, 0.9, seed=SEED, label="part")
+    parts = materialize(SP.ratio_split(ex, 0.9, seed=SEED, label="part"))
     m = EV.step_metrics(parts, feats, w, steps=STEPS, batch=STEP_BATCH, seed=SEED, reg=REG_HINGE)
     return m.select("step", *[out(c).alias(c) for c in ("val_objective", "train_acc", "val_acc")])
 

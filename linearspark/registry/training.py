@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from linearspark.functions import out
@@ -37,7 +38,7 @@ def _weights_frame(spark, w: np.ndarray):
 def train_local_sgd(spark, sf_dir):
     ex, feats = T.ex_orders(spark, sf_dir), T.feat_orders(spark, sf_dir)
     dim = int(FT.feature_dim(feats).first()["dim"])
-    packed = LS.packed_examples(ex, feats)
+    packed = LS.packed_examples(ex, feats).persist(StorageLevel.MEMORY_AND_DISK)
     w = LS.train_local_sgd(packed, dim, ROUNDS - 1, SHARDS, SUBSET, seed=1, lr=LR_SVM, lam=LAM_SVM)
     last = LS.local_sgd_round(packed, w, SHARDS, SUBSET, 1, ROUNDS - 1, LR_SVM, LAM_SVM)
     merged = last.groupBy("k").agg(F.sum("d").alias("d"))

@@ -35,6 +35,19 @@ N_LOSS_WORKERS = 4          # loss_events.worker_idx = user_id % 4
 POINT_DIM = 10              # dense points keep the first 10 coordinates
 
 
+def few_splits(scan: DataFrame) -> bool:
+    """True when a *plain file scan* has fewer input splits than the cluster
+    has cores (e.g. a single-row-group file).  Only call this on a scan: the
+    split count then comes from file metadata and no job runs."""
+    return scan.rdd.getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism
+
+
+def spread(df: DataFrame, needed: bool) -> DataFrame:
+    """Round-robin ``df`` over the cores before CPU-heavy per-row work when
+    its source scan had too few splits; a no-op on large inputs."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if needed else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
@@ -58,6 +71,11 @@ def feat_orders(spark, sf_dir) -> DataFrame:
     return lines.unionByName(bias)
 
 
+def doc_weights_universe(spark) -> DataFrame:
+    """Every key feat_docs can produce: the bias and the hash buckets."""
+    return spark.range(0, DOC_BUCKETS + 1).select(F.col("id").alias("k"))
+
+
 def ex_docs(spark, sf_dir) -> DataFrame:
     lab = table(spark, sf_dir, "labels")
     return lab.select(
@@ -66,9 +84,16 @@ def ex_docs(spark, sf_dir) -> DataFrame:
     )
 
 
-def feat_docs(spark, sf_dir) -> DataFrame:
-    """Bag of hashed tokens over the whole text of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+def feat_docs(spark, sf_dir, ids: DataFrame | None = None) -> DataFrame:
+    """Bag of hashed tokens over the whole text of every document (or of the
+    documents in ``ids`` -- a semi join before tokenising)."""
+    scan = table(spark, sf_dir, "documents")
+    docs = scan.select("doc_id", "text")
+    if ids is not None:
+        docs = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    # tokenising is CPU-heavy: spread a few-split file over the cores (filters
+    # and the semi join are pushed below this exchange by the optimizer)
+    docs = spread(docs, few_splits(scan))
     toks = docs.select(
         F.col("doc_id").alias("id"),
         F.filter(F.split("text", TOKEN_SPLIT), lambda t: t != "").alias("toks"),
