@@ -15,6 +15,7 @@ gives the same sizes (exact n, ``int(ratio*n)``) without a global sort:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -79,23 +80,49 @@ def flag_first_n(df: DataFrame, n: int | Column, h: str = "_h", id_col: str = "i
     return plain.select(*cols).unionByName(border.select(*cols))
 
 
+def prefilter_threshold(n: int, n_rows: int) -> int | None:
+    """32-bit hash threshold keeping about n + 8*sqrt(n) + 64 of ``n_rows``
+    rows (None when that is all of them).  The n smallest hashes are all
+    below it unless fewer than n rows survive -- an 8-sigma event, which the
+    callers detect and answer with the exact histogram cutoff."""
+    q = (n + 8.0 * math.sqrt(n) + 64.0) / max(n_rows, 1)
+    return None if q >= 1.0 else int(q * 2 ** 32)
+
+
+def candidates(h: DataFrame, n: int, n_rows: int, hcol: str = "_h") -> DataFrame:
+    thr = prefilter_threshold(n, n_rows)
+    return h if thr is None else h.filter(hash_prefix(F.col(hcol), 32) < F.lit(thr))
+
+
+def top_n(h: DataFrame, n: int, n_rows: int | None, id_col: str = "id") -> DataFrame:
+    """First n rows by (_h, id).  With a known row count the rows are first
+    pre-filtered by hash, so the single merging task of the top-k sees about
+    n + 8*sqrt(n) rows instead of n per input partition."""
+    c = candidates(h, n, n_rows) if n_rows is not None else h
+    return c.orderBy("_h", id_col).limit(n)
+
+
 def sample_exact(df: DataFrame, n: int, seed: int, step: int = 0, id_col: str = "id",
-                 strict: bool = True, n_rows: int | None = None) -> DataFrame:
+                 strict: bool = True, n_rows: int | None = None, verify: bool = True) -> DataFrame:
     """Exactly ``n`` rows without replacement, repeatable for (seed, step).
 
-    ``strict`` raises SampleTooLarge when the table has fewer than n rows."""
-    if strict:
-        total = n_rows if n_rows is not None else df.count()
-        if n > total:
-            raise SampleTooLarge(f"sample of {n} asked from {total} rows")
+    ``strict`` raises SampleTooLarge when the table has fewer than n rows.
+    With ``verify`` the pre-filtered candidate set is counted (a small job)
+    and the histogram cutoff is used in the rare case it is short."""
+    if strict or n_rows is None:
+        n_rows = n_rows if n_rows is not None else df.count()
+        if strict and n > n_rows:
+            raise SampleTooLarge(f"sample of {n} asked from {n_rows} rows")
     h = with_hash(df, seed, step, id_col=id_col)
     if n <= TOPK_MAX:
-        return h.orderBy("_h", id_col).limit(n).drop("_h")
+        if verify and prefilter_threshold(n, n_rows) is not None and candidates(h, n, n_rows).count() < n:
+            return flag_first_n(h, n, id_col=id_col).filter("_in").drop("_h", "_in")
+        return top_n(h, n, n_rows, id_col).drop("_h")
     return flag_first_n(h, n, id_col=id_col).filter("_in").drop("_h", "_in")
 
 
 def group_samples(df: DataFrame, n: int, seed: int, groups: int, group_col: str = "worker",
-                  step: int | None = 0, id_col: str = "id") -> DataFrame:
+                  step: int | None = 0, id_col: str = "id", n_rows: int | None = None) -> DataFrame:
     """An independent exact sample of ``n`` rows for each of ``groups``
     groups (workers or steps); overlap between groups is allowed.
 
@@ -107,7 +134,7 @@ def group_samples(df: DataFrame, n: int, seed: int, groups: int, group_col: str
         for g in range(groups):
             x = df.withColumn(group_col, F.lit(g))
             x = with_hash(x, seed, step, group=group_col, id_col=id_col)
-            parts.append(x.orderBy("_h", id_col).limit(n).drop("_h"))
+            parts.append(top_n(x, n, n_rows, id_col).drop("_h"))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)

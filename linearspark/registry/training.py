@@ -15,6 +15,7 @@ from linearspark.plans import local_sgd as LS
 from linearspark.plans import vectorized as VZ
 from linearspark.registry.base import DELTAS, LOSS_EVENTS, query, r6, with_
 from linearspark.registry.model import LAM_SVM, LR_HINGE, LR_SVM, REG_HINGE
+from linearspark.session import materialize
 from linearspark.sources import tables as T
 from linearspark.streaming import jobs as SJ
 
@@ -61,7 +62,7 @@ def train_independent(spark, sf_dir):
 def train_early_stop(spark, sf_dir):
     ex, feats = T.ex_orders(spark, sf_dir), T.feat_orders(spark, sf_dir)
     dim = int(FT.feature_dim(feats).first()["dim"])
-    parts = SP.ratio_split(ex, 0.9, seed=1, label="part")
+    parts = materialize(SP.ratio_split(ex, 0.9, seed=1, label="part"))
     train = parts.filter(F.col("part") == "train").select("id", "y")
     val = parts.filter(F.col("part") == "test").select("id", "y")
     w, hist = VZ.train_hinge(train, feats, dim, EARLY_STEPS, 1500, seed=1, lr=LR_HINGE, reg=REG_HINGE,

@@ -50,3 +50,13 @@ def test_holdout(spark, ids):
     train, v = SP.holdout_split(ids, val)
     assert (train.count(), v.count()) == (4500, 500)
     assert train.join(v, "id").count() == 0
+
+
+def test_prefilter_topk_exact(spark, ids):
+    h = SP.with_hash(ids, 3, 1)
+    plain = {r.id for r in h.orderBy("_h", "id").limit(123).collect()}
+    assert {r.id for r in SP.top_n(h, 123, 5000).collect()} == plain
+    assert SP.candidates(h, 123, 5000).count() < 1000          # far fewer rows reach the merge
+    g1 = SP.group_samples(ids, 40, seed=2, groups=3)
+    g2 = SP.group_samples(ids, 40, seed=2, groups=3, n_rows=5000)
+    assert sorted(map(tuple, g1.collect())) == sorted(map(tuple, g2.collect()))
