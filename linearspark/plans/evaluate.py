@@ -9,6 +9,7 @@ from linearspark.functions import hinge, predict_threshold, stable_margin
 from linearspark.operators import features as FT
 from linearspark.operators import losses as L
 from linearspark.operators import sampling as SP
+from linearspark.session import materialize
 
 
 def score_all(ex: DataFrame, feats: DataFrame, weights: DataFrame, n_weights: int | None = None) -> DataFrame:
@@ -21,7 +22,8 @@ def tag_splits(ex: DataFrame, ratio: float = 0.9, seed: int = 1, holdout: float
                holdout_seed: int = 7) -> DataFrame:
     """(id, y, split): 'test' = rows after the ratio cut; 'val' = exact holdout
     of the train part; 'train' = the rest.  Flags only -- no join."""
-    parts = SP.ratio_split(ex, ratio, seed=seed, label="_part")
+    # the second cutoff runs over the first one's output: cut lineage between them
+    parts = materialize(SP.ratio_split(ex, ratio, seed=seed, label="_part"))
     train = SP.with_hash(parts.filter(F.col("_part") == "train"), holdout_seed, None)
     flagged = SP.flag_first_n(train, F.floor(F.lit(float(holdout)) * F.col("_tot")))
     tr = flagged.select(*ex.columns, F.when(F.col("_in"), "val").otherwise("train").alias("split"))
