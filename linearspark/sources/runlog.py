@@ -64,3 +64,19 @@ def write_run_logs(records: DataFrame, path: str) -> None:
     """JSON lines, one record per run; files are named part-*.json, so the
     reader is pointed at them with glob '*.json'."""
     records.write.mode("overwrite").json(path)
+
+
+def read_run_logs_inferred(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Logs of different program versions, each read with its own inferred
+    schema and appended by name; fields a version lacks come back null."""
+    frames = [spark.read.option("multiLine", True).json(p) for p in paths]
+    return append_logs(frames)
+
+
+def append_logs(frames: list[DataFrame]) -> DataFrame:
+    """``pd.concat`` of logs with different fields: union by name, missing
+    columns filled with null."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out

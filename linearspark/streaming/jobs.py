@@ -177,8 +177,9 @@ def _early_stop_fn(p: int):
             best = min(best, loss)
             n += 1
         state.update((n, smallest, window, stop, best))
-        yield pd.DataFrame({"worker_idx": [int(key[0])], "stop_step": [stop], "n_steps": [n],
-                            "best_loss": [best]}).astype({"stop_step": "Int64"})
+        yield pd.DataFrame({"worker_idx": pd.array([int(key[0])], dtype="int32"),
+                            "stop_step": pd.array([stop], dtype="Int64"),
+                            "n_steps": pd.array([n], dtype="int64"), "best_loss": [float(best)]})
     return fn
 
 
