@@ -108,6 +108,10 @@ def train_local_sgd(packed: DataFrame, dim: int, rounds: int, shards: int, n: in
     return w
 
 
+def release(df: DataFrame) -> None:
+    df.unpersist()
+
+
 # ---------------------------------------------------------------- M4
 
 INDEP_SCHEMA = "worker int, kind string, k long, d double, epoch long, val_loss double"

@@ -20,7 +20,7 @@ from linearspark.operators import sampling as SP
 from linearspark.operators.features import BROADCAST_MAX_KEYS
 from linearspark.plans.local_sgd import packed_examples
 
-LITERAL_MAX = 10_000    # weight vectors up to this size travel inside the plan
+LITERAL_MAX = 10_000    # weight vectors up to this size may travel inside a plan (one-off scoring)
 MARGIN_SCHEMA = "id long, y int, m double"
 GRAD_SCHEMA = "k long, g double"
 
@@ -67,11 +67,13 @@ def vector_margins(packed: DataFrame, w: np.ndarray) -> DataFrame:
     return packed.select("id", "y", "idx", "val").mapInPandas(fn, MARGIN_SCHEMA)
 
 
-def vector_hinge_gradient(batch: DataFrame, w: np.ndarray, lr: float, reg: float) -> DataFrame:
+def vector_hinge_gradient(batch: DataFrame, w: np.ndarray, lr: float, reg: float, bw=None) -> DataFrame:
     """(k, g): hinge_sq rule summed over ``batch`` (one partial vector per
-    task); the extra row k = -1 carries the number of batch rows."""
+    task); the extra row k = -1 carries the number of batch rows.  ``bw`` is
+    an existing broadcast of ``w`` (the caller then releases it)."""
     _check(len(w))
-    bw = batch.sparkSession.sparkContext.broadcast(np.asarray(w, dtype=float))
+    if bw is None:
+        bw = batch.sparkSession.sparkContext.broadcast(np.asarray(w, dtype=float))
 
     def fn(it):
         wv = bw.value
@@ -139,6 +141,25 @@ def hinge_loss_stats(packed: DataFrame, w: np.ndarray, reg: float) -> tuple[floa
     return float(r["h"]) + reg / 2.0 * float(np.dot(w, w)), float(r["a"])
 
 
+STAT_H, STAT_OK, STAT_N = -2, -3, -4      # keys of the statistics rows
+
+
+def _stats_rows(packed: DataFrame, w: np.ndarray) -> DataFrame:
+    """Hinge sum, right predictions and rows over ``packed`` as (k, g) rows.
+
+    The weights travel as a broadcast, not as plan literals: literals would
+    change the generated code every step and force a recompile."""
+    m = vector_margins(packed, w)
+    z = F.lit(1.0) - F.col("y") * F.col("m")
+    a = m.agg(F.sum(F.greatest(z, F.lit(0.0))).alias("h"),
+              F.sum(F.when(F.col("y") == F.when(F.col("m") > 0, 1).otherwise(-1), 1.0).otherwise(0.0)).alias("ok"),
+              F.count(F.lit(1)).cast("double").alias("n"))
+    return a.select(F.explode(F.array(
+        F.struct(F.lit(STAT_H).cast("long").alias("k"), F.col("h").alias("g")),
+        F.struct(F.lit(STAT_OK).cast("long").alias("k"), F.col("ok").alias("g")),
+        F.struct(F.lit(STAT_N).cast("long").alias("k"), F.col("n").alias("g")))).alias("s")).select("s.k", "s.g")
+
+
 def train_hinge(ex: DataFrame, feats: DataFrame, dim: int, steps: int, batch: int, seed: int, lr: float,
                 reg: float, val: DataFrame | None = None, persistence: int | None = None,
                 checkpoint_every: int = 0):
@@ -160,20 +181,28 @@ def train_hinge(ex: DataFrame, feats: DataFrame, dim: int, steps: int, batch: in
     # per task) beats exploding every non-zero on the JVM side
     grad_fn = vector_hinge_gradient
     try:
-        for s in range(steps):
-            h = SP.with_hash(packed, seed, s)
-            g = grad_fn(SP.top_n(h, batch, n_rows), w, lr, reg).collect()          # <= dim rows
-            got = {int(r["k"]): r["g"] for r in g}
-            if got.pop(-1, 0) < batch:
-                # the hash pre-filter kept fewer than batch rows: exact cutoff
-                b = SP.flag_first_n(h, batch).filter("_in").drop("_in")
-                got = {int(r["k"]): r["g"] for r in grad_fn(b, w, lr, reg).collect()}
-                got.pop(-1, None)
-            for k, gv in got.items():
-                w[k] -= gv
-            if vpacked is not None:
-                obj, acc = hinge_loss_stats(vpacked, w, reg)
-                hist.append((s, obj, acc))
+        # one job per step: validation statistics of w_s (the previous step's
+        # result) and the gradient at w_s are collected together
+        sc = packed.sparkSession.sparkContext
+        for s in range(steps + 1):
+            jobs = []
+            bw = sc.broadcast(np.asarray(w, dtype=float)) if s < steps else None
+            if s < steps:
+                jobs.append(grad_fn(SP.top_n(SP.with_hash(packed, seed, s), batch, n_rows), w, lr, reg, bw=bw))
+            if vpacked is not None and s > 0:
+                jobs.append(_stats_rows(vpacked, w))
+            if not jobs:
+                break
+            u = jobs[0] if len(jobs) == 1 else jobs[0].unionByName(jobs[1])
+            got = {int(r["k"]): r["g"] for r in u.collect()}          # <= dim + 4 rows
+            if bw is not None and (s == steps - 1 or got.get(-1, batch) >= batch):
+                bw.destroy()                                          # one weight copy per step
+                bw = None
+            if vpacked is not None and s > 0:
+                n = got.pop(STAT_N)
+                obj = got.pop(STAT_H) / n + reg / 2.0 * float(np.dot(w, w))
+                acc = got.pop(STAT_OK) / n
+                hist.append((s - 1, obj, acc))
                 if persistence:
                     if len(window) == persistence:
                         window.pop(0)
@@ -181,6 +210,17 @@ def train_hinge(ex: DataFrame, feats: DataFrame, dim: int, steps: int, batch: in
                     if min(window) > smallest:
                         break
                     smallest = min(window)
+            if s == steps:
+                break
+            if got.pop(-1, 0) < batch:
+                # the hash pre-filter kept fewer than batch rows: exact cutoff
+                b = SP.flag_first_n(SP.with_hash(packed, seed, s), batch).filter("_in").drop("_in")
+                got = {int(r["k"]): r["g"] for r in grad_fn(b, w, lr, reg, bw=bw).collect()}
+                got.pop(-1, None)
+                if bw is not None:
+                    bw.destroy()
+            for k, gv in got.items():
+                w[k] -= gv
     finally:
         packed.unpersist()
         if vpacked is not None:

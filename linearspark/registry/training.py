@@ -43,7 +43,9 @@ def train_local_sgd(spark, sf_dir):
     w = LS.train_local_sgd(packed, dim, ROUNDS - 1, SHARDS, SUBSET, seed=1, lr=LR_SVM, lam=LAM_SVM)
     last = LS.local_sgd_round(packed, w, SHARDS, SUBSET, 1, ROUNDS - 1, LR_SVM, LAM_SVM)
     merged = last.groupBy("k").agg(F.sum("d").alias("d"))
-    return G.apply_delta(_weights_frame(spark, w), merged, LR_SVM).select("k", out("w").alias("w"))
+    final = materialize(G.apply_delta(_weights_frame(spark, w), merged, LR_SVM))   # dim rows
+    packed.unpersist()
+    return final.select("k", out("w").alias("w"))
 
 
 @query("train_independent")
