@@ -27,8 +27,8 @@ def hinge_steps(ex: DataFrame, feats: DataFrame, steps: int, batch: int, seed: i
     """M1: ``steps`` mini-batch steps of the hinge_sq rule (sparse weights)."""
     w = weights if weights is not None else _empty_weights(ex)
     n_rows = ex.count()
-    if dim is None:
-        dim = FT.feature_dim(feats).first()["dim"]
+    # dim (when given) bounds the weight table for an explicit broadcast; when
+    # unknown, adaptive execution measures the weights at run time instead
     for s in range(steps):
         b = SP.sample_exact(ex, batch, seed, s, n_rows=n_rows)
         fr = L.feature_rows(b, feats, w, n_weights=dim, n_examples=batch)
@@ -45,10 +45,9 @@ def svm_sync_steps(ex: DataFrame, feats: DataFrame, steps: int, workers: int, su
     computes the svm_mean delta at the round's weights, deltas are summed
     and applied with ``lr``."""
     w = weights if weights is not None else _empty_weights(ex)
-    if dim is None:
-        dim = FT.feature_dim(feats).first()["dim"]
+    n_rows = ex.count()
     for s in range(steps):
-        b = SP.group_samples(ex, subset, seed, workers, group_col="worker", step=s)
+        b = SP.group_samples(ex, subset, seed, workers, group_col="worker", step=s, n_rows=n_rows)
         fr = L.feature_rows(b, feats, w, n_weights=dim, keys=("worker", "id"), n_examples=workers * subset)
         dlt = G.svm_mean_delta(fr, lam)
         w = G.apply_delta(w, dlt, lr, value="d")
