@@ -90,9 +90,28 @@ def md5_bucket(c, n_buckets: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(col(c)), 1, 8), 16, 10).cast("long"), F.lit(n_buckets))
 
 
+def _wall(ts) -> Column:
+    """Wall-clock text of a timestamp without time-zone conversion (a
+    TIMESTAMP_NTZ casts to text as is; the fraction has no trailing zeros)."""
+    return col(ts).cast("timestamp_ntz").cast("string")
+
+
 def ts_text(ts) -> Column:
-    """Timestamp as 'YYYY-MM-DD HH:MM:SS.ffffff' (UTC session time zone)."""
-    return F.date_format(col(ts), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    """'YYYY-MM-DD HH:MM:SS.ffffff' of the wall clock, whatever the session
+    time zone (date_format would shift times inside a DST gap)."""
+    w = _wall(ts)
+    frac = F.coalesce(F.try_element_at(F.split(w, "[.]"), F.lit(2)), F.lit(""))
+    return F.concat(F.substring(w, 1, 19), F.lit("."), F.rpad(frac, 6, "0"))
+
+
+def utc_micros(ts) -> Column:
+    """Microseconds since the epoch of the wall clock read as UTC -- no
+    dependence on the session time zone."""
+    return F.unix_micros(F.concat(_wall(ts), F.lit("Z")).cast("timestamp"))
+
+
+def micros_between(start, end) -> Column:
+    return utc_micros(end) - utc_micros(start)
 
 
 def pct_text(x) -> Column:

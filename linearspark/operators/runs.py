@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linearspark.functions import out, pct_text, secs_text
+from linearspark.functions.columns import micros_between
 
 # Fixed values of the reference's run analysis.
 PERFORMANCE_THRESHOLD = 0.85
@@ -20,7 +21,7 @@ WORKER_COUNTS = (1, 2, 5, 10, 15)
 
 def with_running_time(runs: DataFrame) -> DataFrame:
     """running_time = end_time - start_time in seconds (microsecond exact)."""
-    secs = F.timestamp_diff("MICROSECOND", F.col("start_time"), F.col("end_time")) / 1e6
+    secs = micros_between("start_time", "end_time") / 1e6
     return runs.withColumn("running_time", secs)
 
 

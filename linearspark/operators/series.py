@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linearspark.functions import ts_text
+from linearspark.functions.columns import micros_between
 from linearspark.session import materialize
 
 PERSISTENCE = 15   # the reference's early-stopping window
@@ -103,5 +104,5 @@ def elapsed_seconds(events: DataFrame, key: str = "worker_idx", ts: str = "ts")
     small per-key table at run time when it is small."""
     first = events.groupBy(key).agg(F.min(ts).alias("_t0"))
     j = events.join(first, key)
-    return j.withColumn("seconds", F.timestamp_diff("MICROSECOND", F.col("_t0"), F.col(ts)) / 1e6).withColumn(
+    return j.withColumn("seconds", micros_between("_t0", ts) / 1e6).withColumn(
         "time", ts_text(ts)).drop("_t0")

@@ -48,10 +48,11 @@ def read_run_logs(spark: SparkSession, path: str, multi_line: bool = True, glob:
 
 
 def flatten_run_logs(logs: DataFrame) -> DataFrame:
-    """Flat view: n_workers as INT, times parsed to timestamps."""
+    """Flat view: n_workers as INT, times parsed to wall-clock timestamps
+    (TIMESTAMP_NTZ: no session time-zone shift)."""
     return logs.withColumn("n_workers", F.col("n_workers").cast("int")).withColumn(
-        "start_ts", F.to_timestamp("start_time", TIME_FORMAT)).withColumn(
-        "end_ts", F.to_timestamp("end_time", TIME_FORMAT))
+        "start_ts", F.to_timestamp_ntz("start_time", F.lit(TIME_FORMAT))).withColumn(
+        "end_ts", F.to_timestamp_ntz("end_time", F.lit(TIME_FORMAT)))
 
 
 def to_log_records(runs: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linearspark.functions import ts_text
+from linearspark.functions.columns import micros_between
 
 
 def write_weights(weights: DataFrame, path: str) -> None:
@@ -44,7 +45,7 @@ def write_run_log(events: DataFrame, path: str, run_col: str = "run_id", ts: str
         F.min(ts).alias("_s"), F.max(ts).alias("_e"), F.count(F.lit(1)).alias("epochs"))
     runs = runs.select(
         "run_id", ts_text("_s").alias("start_time"), ts_text("_e").alias("end_time"),
-        (F.timestamp_diff("MICROSECOND", F.col("_s"), F.col("_e")) / 1e6).alias("running_time"), "epochs")
+        (micros_between("_s", "_e") / 1e6).alias("running_time"), "epochs")
     runs.write.mode("overwrite").json(os.path.join(path, "runs"))
     losses = events.select(F.col(run_col).cast("long").alias("run_id"), ts_text(ts).alias("time"),
                            F.col(loss).alias("loss_val"))

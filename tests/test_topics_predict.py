@@ -41,3 +41,23 @@ def test_unseen_feature_and_empty_class(spark):
     acc = L.class_accuracy(spark.createDataFrame([(-1, -0.3)], "y int, m double")).collect()[0]
     assert acc["acc_pos"] is None and acc["acc_neg"] == 1.0 and acc["acc_tot"] == 1.0
     assert F is not None
+
+
+def test_time_functions_ignore_session_zone(spark):
+    from linearspark.functions import ts_text
+    from linearspark.functions.columns import micros_between
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            df = spark.sql("SELECT TIMESTAMP_NTZ'2024-03-10 02:30:00.1' AS t, TIMESTAMP_NTZ'2024-03-10 01:30:00' AS s")
+            r = df.select(ts_text("t").alias("f"), micros_between("s", "t").alias("d")).first()
+            assert (r.f, r.d) == ("2024-03-10 02:30:00.100000", 3_600_100_000)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_ts_text_whole_seconds(spark):
+    from linearspark.functions import ts_text
+    r = spark.sql("SELECT TIMESTAMP_NTZ'1995-01-02 00:00:00' AS t").select(ts_text("t").alias("f")).first()
+    assert r.f == "1995-01-02 00:00:00.000000"
