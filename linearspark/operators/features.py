@@ -33,11 +33,6 @@ def bounded_broadcast(df: DataFrame, n_rows: int | None) -> DataFrame:
     return df
 
 
-def weight_count(weights: DataFrame) -> int:
-    """Row count of a weight table (a distributed count of a dim-sized table)."""
-    return weights.count()
-
-
 def fixed_weights(feats: DataFrame) -> DataFrame:
     """Deterministic test weights over the keys present in ``feats``."""
     return feats.select("k").distinct().select("k", fixed_weight("k").alias("w"))

@@ -46,14 +46,6 @@ def feature_rows(ex: DataFrame, feats: DataFrame, weights: DataFrame, n_weights:
     )
 
 
-def example_rows(frows: DataFrame) -> DataFrame:
-    """One row per example from ``feature_rows``: (id, y, m, sw, sw2, nnz)."""
-    return frows.groupBy("id").agg(
-        F.first("y").alias("y"), F.first("m").alias("m"), F.first("sw").alias("sw"),
-        F.first("sw2").alias("sw2"), F.first("nnz").alias("nnz"),
-    )
-
-
 def example_stats(ex: DataFrame, feats: DataFrame, weights: DataFrame, n_weights: int | None = None) -> DataFrame:
     """(id, y, ex columns..., m, sw, sw2, nnz) with one aggregation by id."""
     w = bounded_broadcast(weights.select("k", "w"), n_weights)

@@ -108,9 +108,6 @@ def train_local_sgd(packed: DataFrame, dim: int, rounds: int, shards: int, n: in
     return w
 
 
-def release(df: DataFrame) -> None:
-    df.unpersist()
-
 
 # ---------------------------------------------------------------- M4
 

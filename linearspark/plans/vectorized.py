@@ -67,6 +67,21 @@ def vector_margins(packed: DataFrame, w: np.ndarray) -> DataFrame:
     return packed.select("id", "y", "idx", "val").mapInPandas(fn, MARGIN_SCHEMA)
 
 
+def margin_udf(spark, w: np.ndarray):
+    """Scalar pandas UDF (idx, val) -> margin against broadcast weights: the
+    column-level form of ``vector_margins`` for use inside any select."""
+    from pyspark.sql.functions import pandas_udf
+
+    _check(len(w))
+    bw = spark.sparkContext.broadcast(np.asarray(w, dtype=float))
+
+    @pandas_udf("double")
+    def margin(idx: pd.Series, val: pd.Series) -> pd.Series:
+        return pd.Series(_margins(pd.DataFrame({"idx": idx, "val": val}), bw.value))
+
+    return margin
+
+
 def vector_hinge_gradient(batch: DataFrame, w: np.ndarray, lr: float, reg: float, bw=None) -> DataFrame:
     """(k, g): hinge_sq rule summed over ``batch`` (one partial vector per
     task); the extra row k = -1 carries the number of batch rows.  ``bw`` is

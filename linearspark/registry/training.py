@@ -87,6 +87,8 @@ def _events_stream(spark, sf_dir):
 SELECT worker_idx, count(*) AS n, {r6('min(loss)')} AS min_loss, {r6('avg(loss)')} AS avg_loss
 FROM le GROUP BY worker_idx""")
 def stream_loss_stats(spark, sf_dir):
+    # The receiver appends every loss message, and keeps per-worker stats
+    SJ.run_loss_log(spark, _events_stream(spark, sf_dir), SJ.new_root(spark, "loss-log"))
     r = SJ.run_loss_stats(spark, _events_stream(spark, sf_dir), SJ.new_root(spark, "loss-stats"))
     return r.select("worker_idx", "n", out("min_loss").alias("min_loss"), out("avg_loss").alias("avg_loss"))
 

@@ -56,6 +56,15 @@ def loss_stats(loss_events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("loss").alias("min_loss"), F.avg("loss").alias("avg_loss"))
 
 
+def run_loss_log(spark: SparkSession, loss_events: DataFrame, out: str) -> DataFrame:
+    """The receiver's append log: every loss message lands in a table
+    partitioned by worker (a file sink is exactly-once with its checkpoint)."""
+    w = (loss_events.writeStream.format("parquet").option("path", out).partitionBy("worker_idx")
+         .outputMode("append"))
+    _run(w, "loss-log", spark)
+    return spark.read.parquet(out)
+
+
 def run_loss_stats(spark: SparkSession, loss_events: DataFrame, out: str) -> DataFrame:
     """Complete-mode aggregate; each batch replaces the table."""
     def sink(df: DataFrame, batch_id: int) -> None:

@@ -46,3 +46,15 @@ def test_early_stop_state_matches_window(spark):
     batch = SE.early_stop_step(SE.loss_curve(T.loss_events(spark, SF_SMALL)), 5)
     exp = {tuple(r) for r in batch.select("worker_idx", "stop_step", "n_steps", "best_loss").collect()}
     assert got == exp
+
+
+def test_loss_log_append(spark):
+    from linearspark.sources import tables as T
+    from conftest import SF_SMALL
+    schema = T.table(spark, SF_SMALL, "events").schema
+    ev = SJ.file_stream(spark, SF_SMALL, "events.parquet", schema)
+    le = ev.select(F.pmod("user_id", F.lit(4)).cast("int").alias("worker_idx"), "event_id",
+                   F.col("value").alias("loss"), "ts")
+    log = SJ.run_loss_log(spark, le, scratch_path(spark, "losslog"))
+    assert log.count() == T.table(spark, SF_SMALL, "events").count()
+    assert {r.worker_idx for r in log.select("worker_idx").distinct().collect()} == {0, 1, 2, 3}

@@ -44,3 +44,14 @@ def test_delta_merge_order_free(spark):
     a = {r["k"]: r["d"] for r in G.merge_deltas(d).collect()}
     b = {r["k"]: r["d"] for r in G.merge_deltas(d.orderBy(F.rand(3)).repartition(5)).collect()}
     assert a == pytest.approx(b)
+
+
+def test_margin_udf_equals_map_form(spark):
+    ex, feats = T.ex_orders(spark, SF_SMALL), T.feat_orders(spark, SF_SMALL)
+    dim = FT.feature_dim(feats).first()["dim"]
+    wn = np.linspace(-1, 1, dim)
+    packed = packed_examples(ex, feats)
+    udf = VZ.margin_udf(spark, wn)
+    a = {r["id"]: r["m"] for r in packed.select("id", udf("idx", "val").alias("m")).collect()}
+    b = {r["id"]: r["m"] for r in VZ.vector_margins(packed, wn).collect()}
+    assert a.keys() == b.keys() and max(abs(a[i] - b[i]) for i in a) < 1e-12
