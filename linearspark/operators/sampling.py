@@ -69,9 +69,10 @@ def flag_first_n(df: DataFrame, n: int | Column, h: str = "_h", id_col: str = "i
         # one row per group; the groups are parameters (steps, workers)
         x = x.join(F.broadcast(cut), g, "inner")
     else:
+        # one scalar subquery (a single row) bound once as a struct column
         row = cut.select(F.struct("_bs", "_need", "_n", "_tot").alias("s"))
-        s = row.scalar()
-        x = x.select("*", s["_bs"].alias("_bs"), s["_need"].alias("_need"), s["_n"].alias("_n"), s["_tot"].alias("_tot"))
+        x = x.select("*", row.scalar().alias("_cut")).select(
+            *x.columns, "_cut._bs", "_cut._need", "_cut._n", "_cut._tot")
     plain = x.filter(F.col("_bs").isNull() | (F.col("_b") != F.col("_bs"))).withColumn(
         flag, F.when(F.col("_bs").isNull(), F.col("_n") >= F.col("_tot")).otherwise(F.col("_b") < F.col("_bs")))
     wr = Window.partitionBy(*g, "_b").orderBy(h, id_col)
