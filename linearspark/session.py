@@ -56,8 +56,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def materialize(df):
-    """Cut lineage: an eager, reliable checkpoint into the shared checkpoint
-    folder (survives executor loss, unlike a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, name: str = "cut"):
+    """Cut lineage: write ``df`` as a parquet table into the shared checkpoint
+    folder and read it back.  One pass (``Dataset.checkpoint`` on an
+    unpersisted plan computes it twice), columnar, and it survives executor
+    loss -- unlike a local checkpoint."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
