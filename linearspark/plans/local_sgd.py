@@ -67,19 +67,20 @@ def _rows(pdf: pd.DataFrame):
     return [(list(map(int, i)), list(map(float, v)), int(y)) for i, v, y in zip(pdf["idx"], pdf["val"], pdf["y"])]
 
 
-def shard_samples(packed: DataFrame, shards: int, n: int, seed: int, round_: int) -> DataFrame:
+def shard_samples(packed: DataFrame, shards: int, n: int, seed: int, round_: int,
+                  n_rows: int | None = None) -> DataFrame:
     """(worker, id, y, idx, val, _h): an exact sample of n examples per shard.
 
     Only (id, y) are sampled; the packed rows are joined afterwards against a
     broadcast of the sample (shards * n rows, a parameter)."""
     ids = packed.select("id", "y")
-    s = SP.group_samples(ids, n, seed, shards, group_col="worker", step=round_)
+    s = SP.group_samples(ids, n, seed, shards, group_col="worker", step=round_, n_rows=n_rows)
     s = SP.with_hash(s, seed, round_, group="worker")
     return packed.select("id", "idx", "val").join(F.broadcast(s), "id")
 
 
 def local_sgd_round(packed: DataFrame, w: np.ndarray, shards: int, n: int, seed: int, round_: int,
-                    lr: float, lam: float) -> DataFrame:
+                    lr: float, lam: float, n_rows: int | None = None) -> DataFrame:
     """(worker, k, d): every shard's total delta for one round."""
     spark = packed.sparkSession
     bw = spark.sparkContext.broadcast(np.asarray(w, dtype=float))
@@ -93,15 +94,16 @@ def local_sgd_round(packed: DataFrame, w: np.ndarray, shards: int, n: int, seed:
                              "k": np.fromiter(total.keys(), dtype="int64", count=len(total)),
                              "d": np.fromiter(total.values(), dtype="float64", count=len(total))})
 
-    return shard_samples(packed, shards, n, seed, round_).groupBy("worker").applyInPandas(fn, DELTA_SCHEMA)
+    return shard_samples(packed, shards, n, seed, round_, n_rows).groupBy("worker").applyInPandas(fn, DELTA_SCHEMA)
 
 
 def train_local_sgd(packed: DataFrame, dim: int, rounds: int, shards: int, n: int, seed: int, lr: float,
-                    lam: float) -> np.ndarray:
+                    lam: float, n_rows: int | None = None) -> np.ndarray:
     """M3: ``rounds`` of local SGD; returns the dense weights (dim numbers)."""
     w = np.zeros(dim)
+    n_rows = n_rows if n_rows is not None else packed.count()
     for r in range(rounds):
-        deltas = local_sgd_round(packed, w, shards, n, seed, r, lr, lam)
+        deltas = local_sgd_round(packed, w, shards, n, seed, r, lr, lam, n_rows)
         merged = deltas.groupBy("k").agg(F.sum("d").alias("d")).collect()   # <= dim rows
         for row in merged:
             w[int(row["k"])] += lr * row["d"]

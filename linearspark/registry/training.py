@@ -40,8 +40,9 @@ def train_local_sgd(spark, sf_dir):
     ex, feats = T.ex_orders(spark, sf_dir), T.feat_orders(spark, sf_dir)
     dim = int(FT.feature_dim(feats).first()["dim"])
     packed = LS.packed_examples(ex, feats).persist(StorageLevel.MEMORY_AND_DISK)
-    w = LS.train_local_sgd(packed, dim, ROUNDS - 1, SHARDS, SUBSET, seed=1, lr=LR_SVM, lam=LAM_SVM)
-    last = LS.local_sgd_round(packed, w, SHARDS, SUBSET, 1, ROUNDS - 1, LR_SVM, LAM_SVM)
+    n_rows = packed.count()                   # fills the cache; sizes every round's sample
+    w = LS.train_local_sgd(packed, dim, ROUNDS - 1, SHARDS, SUBSET, seed=1, lr=LR_SVM, lam=LAM_SVM, n_rows=n_rows)
+    last = LS.local_sgd_round(packed, w, SHARDS, SUBSET, 1, ROUNDS - 1, LR_SVM, LAM_SVM, n_rows)
     merged = last.groupBy("k").agg(F.sum("d").alias("d"))
     final = materialize(G.apply_delta(_weights_frame(spark, w), merged, LR_SVM))   # dim rows
     packed.unpersist()

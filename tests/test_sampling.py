@@ -60,3 +60,14 @@ def test_prefilter_topk_exact(spark, ids):
     g1 = SP.group_samples(ids, 40, seed=2, groups=3)
     g2 = SP.group_samples(ids, 40, seed=2, groups=3, n_rows=5000)
     assert sorted(map(tuple, g1.collect())) == sorted(map(tuple, g2.collect()))
+
+
+def test_group_samples_fallback_is_exact(spark, ids):
+    """Force the short-candidate path: the histogram cutoff gives the same rows."""
+    a = SP.group_samples(ids, 60, seed=4, groups=3, n_rows=5000)
+    b = SP.group_samples(ids, 60, seed=4, groups=3, n_rows=10 ** 9)   # threshold far too low -> fallback
+    c = SP.group_samples(ids, 60, seed=4, groups=40)                   # many groups: histogram path
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert {g: n for g, n in c.groupBy("worker").count().collect()} == {g: 60 for g in range(40)}
+    with pytest.raises(SP.SampleTooLarge):
+        SP.group_samples(ids, 6000, seed=1, groups=2)
