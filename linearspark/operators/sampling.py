@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linearspark.functions import hash_prefix, hash_text
+from linearspark.session import materialize
 
 TOPK_MAX = 100_000   # largest n drawn with a top-k
 TOPK_GROUPS = 32     # most groups drawn as a union of top-k plans
@@ -116,8 +117,11 @@ def sample_exact(df: DataFrame, n: int, seed: int, step: int = 0, id_col: str =
             raise SampleTooLarge(f"sample of {n} asked from {n_rows} rows")
     h = with_hash(df, seed, step, id_col=id_col)
     if n <= TOPK_MAX:
-        if verify and prefilter_threshold(n, n_rows) is not None and candidates(h, n, n_rows).count() < n:
-            return flag_first_n(h, n, id_col=id_col).filter("_in").drop("_h", "_in")
+        if verify and prefilter_threshold(n, n_rows) is not None:
+            cand = materialize(candidates(h, n, n_rows), "candidates")     # one pass, ~n rows
+            if cand.count() < n:
+                return flag_first_n(h, n, id_col=id_col).filter("_in").drop("_h", "_in")
+            return cand.orderBy("_h", id_col).limit(n).drop("_h")
         return top_n(h, n, n_rows, id_col).drop("_h")
     return flag_first_n(h, n, id_col=id_col).filter("_in").drop("_h", "_in")
 
@@ -138,23 +142,28 @@ def group_samples(df: DataFrame, n: int, seed: int, groups: int, group_col: str
         n_rows = df.count()
     if n > n_rows:
         raise SampleTooLarge(f"sample of {n} per group asked from {n_rows} rows")
-    if groups <= TOPK_GROUPS and n <= TOPK_MAX:
-        hs = [with_hash(df.withColumn(group_col, F.lit(g)), seed, step, group=group_col, id_col=id_col)
-              for g in range(groups)]
-        short = False
-        if verify and prefilter_threshold(n, n_rows) is not None:
-            cands = [candidates(h, n, n_rows).select(group_col) for h in hs]
-            u = cands[0]
-            for c in cands[1:]:
-                u = u.unionByName(c)
-            got = {r[group_col]: r["count"] for r in u.groupBy(group_col).count().collect()}   # <= groups rows
-            short = any(got.get(g, 0) < n for g in range(groups))
-        if not short:
-            parts = [top_n(h, n, n_rows, id_col).drop("_h") for h in hs]
-            out = parts[0]
-            for p in parts[1:]:
-                out = out.unionByName(p)
-            return out
+    if groups <= TOPK_GROUPS and n <= TOPK_MAX and prefilter_threshold(n, n_rows) is not None:
+        # one pass: every group's hash-pre-filtered candidates (about
+        # n + 8*sqrt(n) rows each) are written once; counts and ranks then
+        # run on that small table
+        hs = [candidates(with_hash(df.withColumn(group_col, F.lit(g)), seed, step, group=group_col,
+                                   id_col=id_col), n, n_rows) for g in range(groups)]
+        u = hs[0]
+        for h in hs[1:]:
+            u = u.unionByName(h)
+        cand = materialize(u, "candidates")
+        got = {r[group_col]: r["count"] for r in cand.groupBy(group_col).count().collect()}   # <= groups rows
+        if not verify or all(got.get(g, 0) >= n for g in range(groups)):
+            rank = F.row_number().over(Window.partitionBy(group_col).orderBy("_h", id_col))
+            return cand.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r", "_h")
+    elif groups <= TOPK_GROUPS and n <= TOPK_MAX:
+        # the sample is (nearly) the whole table: plain per-group top-k
+        parts = [with_hash(df.withColumn(group_col, F.lit(g)), seed, step, group=group_col, id_col=id_col)
+                 .orderBy("_h", id_col).limit(n).drop("_h") for g in range(groups)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
     x = df.withColumn(group_col, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     x = with_hash(x, seed, step, group=group_col, id_col=id_col)
     return flag_first_n(x, n, id_col=id_col, groups=[group_col]).filter("_in").drop("_h", "_in")
