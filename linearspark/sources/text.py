@@ -9,7 +9,8 @@ Parsing rules (decided once for all readers):
   - the line is trimmed and split on blanks; empty tokens are dropped, so a
     trailing blank or a double blank never loses a feature;
   - the bias ``0 -> 1.0`` is always present;
-  - a repeated key keeps its *last* value; an explicit ``0:`` overrides the bias.
+  - a repeated key keeps its *last* value; an explicit ``0:`` overrides the bias;
+  - blank lines are skipped.
 
 The de-duplication is done inside the row with array functions (sort by key,
 keep the first of each run), so parsing is a narrow transformation: no shuffle.
@@ -52,7 +53,7 @@ def _dedup(sorted_col: str) -> Column:
 
 def parse_sparse_lines(df: DataFrame, line_col: str = "line", keep: Sequence[str] = ()) -> DataFrame:
     """``id  k:v ...`` -> (keep..., id LONG, idx ARRAY<LONG>, val ARRAY<DOUBLE>)."""
-    toks = df.select(*keep, _tokens(F.col(line_col)).alias("_t"))
+    toks = df.select(*keep, _tokens(F.col(line_col)).alias("_t")).filter(F.size("_t") > 0)   # blank lines skipped
     s = toks.select(*keep, F.col("_t").getItem(0).cast("long").alias("id"), _sparse_entries(F.col("_t"), 1).alias("_s"))
     return s.select(*keep, "id", _dedup("_s").alias("_d")).select(
         *keep,
@@ -64,7 +65,7 @@ def parse_sparse_lines(df: DataFrame, line_col: str = "line", keep: Sequence[str
 
 def parse_label_first_lines(df: DataFrame, line_col: str = "line", keep: Sequence[str] = ()) -> DataFrame:
     """``label k:v ...`` -> (keep..., label STRING, idx, val)."""
-    toks = df.select(*keep, _tokens(F.col(line_col)).alias("_t"))
+    toks = df.select(*keep, _tokens(F.col(line_col)).alias("_t")).filter(F.size("_t") > 0)
     s = toks.select(*keep, F.col("_t").getItem(0).alias("label"), _sparse_entries(F.col("_t"), 1).alias("_s"))
     return s.select(*keep, "label", _dedup("_s").alias("_d")).select(
         *keep,
@@ -79,7 +80,7 @@ def parse_dense_points(df: DataFrame, line_col: str = "line", keep: Sequence[str
 
     Numbers are parsed as 32-bit floats and widened, like the reference."""
     parts = F.filter(F.split(F.trim(F.col(line_col)), "[, ]+"), lambda t: t != "")
-    p = df.select(*keep, parts.alias("_p"))
+    p = df.select(*keep, parts.alias("_p")).filter(F.size("_p") > 0)
     return p.select(
         *keep,
         F.col("_p").getItem(0).cast("float").cast("double").alias("y"),
@@ -89,7 +90,7 @@ def parse_dense_points(df: DataFrame, line_col: str = "line", keep: Sequence[str
 
 def parse_topic_lines(df: DataFrame, line_col: str = "line") -> DataFrame:
     """``topic doc_id rel`` -> (topic STRING, doc_id LONG, rel INT)."""
-    t = df.select(_tokens(F.col(line_col)).alias("_t"))
+    t = df.select(_tokens(F.col(line_col)).alias("_t")).filter(F.size("_t") > 0)
     return t.select(
         F.col("_t").getItem(0).alias("topic"),
         F.col("_t").getItem(1).cast("long").alias("doc_id"),

@@ -53,3 +53,11 @@ def test_read_text_files(spark, tmp_path):
     tp.write_text("CCAT 1 1\nGCAT 2 1\n")
     assert TX.read_topics(spark, str(tp)).count() == 2
     assert F is not None
+
+
+def test_blank_lines_skipped(spark):
+    df = spark.createDataFrame([("",), ("   ",), ("5  1:2",)], "line string")
+    assert [r["id"] for r in TX.parse_sparse_lines(df).collect()] == [5]
+    assert TX.parse_label_first_lines(df).count() == 1
+    assert TX.parse_dense_points(spark.createDataFrame([("",), ("1 2",)], "line string")).count() == 1
+    assert TX.parse_topic_lines(spark.createDataFrame([("",), ("A 1 1",)], "line string")).count() == 1
