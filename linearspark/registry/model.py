@@ -213,7 +213,7 @@ SELECT split, {CLASS_ACC_COLS}, {r6(f'avg({HINGE_SQL} + {d(LAM_SVM)} * sw2 / nnz
 FROM mg JOIN tagged USING (id) GROUP BY split""")
 def evaluation_report(spark, sf_dir):
     ex, feats, w = _orders(spark, sf_dir)
-    tagged = materialize(EV.tag_splits(ex, ratio=0.9, seed=SEED, holdout=0.1, holdout_seed=7))
+    tagged = EV.tag_splits(ex, ratio=0.9, seed=SEED, holdout=0.1, holdout_seed=7)   # cuts lineage inside
     r = EV.evaluation_report(tagged, feats, w, LAM_SVM)
     return r.select("split", *[out(c).alias(c) for c in ("acc_pos", "acc_neg", "acc_tot", "loss")], "n")
 
