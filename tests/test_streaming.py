@@ -58,3 +58,14 @@ def test_loss_log_append(spark):
     log = SJ.run_loss_log(spark, le, scratch_path(spark, "losslog"))
     assert log.count() == T.table(spark, SF_SMALL, "events").count()
     assert {r.worker_idx for r in log.select("worker_idx").distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_scratch_lives_under_checkpoint_dir(spark):
+    from linearspark.session import ensure_checkpoint_dir, materialize
+    base = spark.conf.get("spark.checkpoint.dir")
+    assert ensure_checkpoint_dir(spark) == base
+    p = scratch_path(spark, "probe")
+    assert p.startswith(base.replace("file:", ""))
+    df = materialize(spark.range(5), "probe")
+    assert df.count() == 5 and all(base.replace("file:", "") in f for f in df.inputFiles()
+                                   if not f.startswith("file:") or True)
