@@ -196,3 +196,10 @@ def holdout_split(df: DataFrame, val_ids: DataFrame, id_col: str = "id") -> tupl
     train = df.join(val_ids, id_col, "left_anti")
     val = df.join(val_ids, id_col, "left_semi")
     return train, val
+
+
+def duplicate_ids(df: DataFrame, id_col: str = "id") -> int:
+    """Number of ids carried by more than one row.  Sampling and packing treat
+    ``id`` as a key; run this once per dataset (a partial aggregate, then a
+    count) before trusting exact sample sizes."""
+    return df.groupBy(id_col).count().filter(F.col("count") > 1).count()

@@ -71,3 +71,8 @@ def test_group_samples_fallback_is_exact(spark, ids):
     assert {g: n for g, n in c.groupBy("worker").count().collect()} == {g: 60 for g in range(40)}
     with pytest.raises(SP.SampleTooLarge):
         SP.group_samples(ids, 6000, seed=1, groups=2)
+
+
+def test_duplicate_ids(spark, ids):
+    assert SP.duplicate_ids(ids) == 0
+    assert SP.duplicate_ids(ids.unionByName(ids.limit(3))) == 3
