@@ -82,6 +82,15 @@ def flag_first_n(df: DataFrame, n: int | Column, h: str = "_h", id_col: str = "i
     return plain.select(*cols).unionByName(border.select(*cols))
 
 
+def balanced_bits(n_rows: int | None) -> int:
+    """Histogram resolution for a known row count: 2**bits buckets per group
+    and ~n_rows / 2**bits rows in the boundary bucket are both ~sqrt(n_rows)
+    (at least 16 bits, at most 30)."""
+    if not n_rows:
+        return HASH_BITS
+    return max(HASH_BITS, min(30, math.ceil(math.log2(max(n_rows, 2)) / 2)))
+
+
 def prefilter_threshold(n: int, n_rows: int) -> int | None:
     """32-bit hash threshold keeping about n + 8*sqrt(n) + 64 of ``n_rows``
     rows (None when that is all of them).  The n smallest hashes are all
@@ -120,10 +129,10 @@ def sample_exact(df: DataFrame, n: int, seed: int, step: int = 0, id_col: str =
         if verify and prefilter_threshold(n, n_rows) is not None:
             cand = materialize(candidates(h, n, n_rows), "candidates")     # one pass, ~n rows
             if cand.count() < n:
-                return flag_first_n(h, n, id_col=id_col).filter("_in").drop("_h", "_in")
+                return flag_first_n(h, n, id_col=id_col, bits=balanced_bits(n_rows)).filter("_in").drop("_h", "_in")
             return cand.orderBy("_h", id_col).limit(n).drop("_h")
         return top_n(h, n, n_rows, id_col).drop("_h")
-    return flag_first_n(h, n, id_col=id_col).filter("_in").drop("_h", "_in")
+    return flag_first_n(h, n, id_col=id_col, bits=balanced_bits(n_rows)).filter("_in").drop("_h", "_in")
 
 
 def group_samples(df: DataFrame, n: int, seed: int, groups: int, group_col: str = "worker",
@@ -166,7 +175,8 @@ def group_samples(df: DataFrame, n: int, seed: int, groups: int, group_col: str
         return out
     x = df.withColumn(group_col, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     x = with_hash(x, seed, step, group=group_col, id_col=id_col)
-    return flag_first_n(x, n, id_col=id_col, groups=[group_col]).filter("_in").drop("_h", "_in")
+    return flag_first_n(x, n, id_col=id_col, groups=[group_col], bits=balanced_bits(n_rows)).filter(
+        "_in").drop("_h", "_in")
 
 
 def step_samples(df: DataFrame, n: int, seed: int, steps: int, id_col: str = "id",

@@ -229,7 +229,8 @@ def train_hinge(ex: DataFrame, feats: DataFrame, dim: int, steps: int, batch: in
                 break
             if got.pop(-1, 0) < batch:
                 # the hash pre-filter kept fewer than batch rows: exact cutoff
-                b = SP.flag_first_n(SP.with_hash(packed, seed, s), batch).filter("_in").drop("_in")
+                b = SP.flag_first_n(SP.with_hash(packed, seed, s), batch, bits=SP.balanced_bits(n_rows)).filter(
+                    "_in").drop("_in")
                 got = {int(r["k"]): r["g"] for r in grad_fn(b, w, lr, reg, bw=bw).collect()}
                 got.pop(-1, None)
                 if bw is not None:

@@ -26,7 +26,8 @@ def test_sample_too_large(spark, ids):
 def test_histogram_equals_topk(spark, ids):
     h = SP.with_hash(ids, 9, 0)
     top = {r.id for r in h.orderBy("_h", "id").limit(777).collect()}
-    for bits in (4, 8, 16):
+    assert SP.balanced_bits(10 ** 11) == 19 and SP.balanced_bits(5000) == 16
+    for bits in (4, 8, 16, 21):
         hist = {r.id for r in SP.flag_first_n(h, 777, bits=bits).filter("_in").collect()}
         assert hist == top
 
