@@ -13,7 +13,7 @@ from linearspark.operators import sampling as SP
 from linearspark.operators import series as SE
 from linearspark.plans import local_sgd as LS
 from linearspark.plans import vectorized as VZ
-from linearspark.registry.base import DELTAS, LOSS_EVENTS, query, r6, with_
+from linearspark.registry.base import DELTAS, EX_ORDERS, FEAT_ORDERS, LOSS_EVENTS, h, query, r6, r9, with_
 from linearspark.registry.model import LAM_SVM, LR_HINGE, LR_SVM, REG_HINGE
 from linearspark.session import materialize
 from linearspark.sources import tables as T
@@ -61,7 +61,40 @@ def train_independent(spark, sf_dir):
     return LS.combine_independent(o).select("k", out("w").alias("w"))
 
 
-@query("train_early_stop")
+def _early_stop_sql() -> str:
+    """All EARLY_STEPS hinge steps unrolled; validation objective and accuracy
+    after each step; history cut at the first step where the W1 rule fires."""
+    lr, reg = f"CAST({LR_HINGE!r} AS DOUBLE)", f"CAST({REG_HINGE!r} AS DOUBLE)"
+    ctes = [EX_ORDERS, FEAT_ORDERS, f"""sp AS (
+        SELECT id, y, CASE WHEN row_number() OVER (ORDER BY {h(1, 'id')}, id)
+                            <= floor(CAST(0.9 AS DOUBLE) * count(*) OVER ()) THEN 'train' ELSE 'test' END AS part
+        FROM ex)""", "w0 AS (SELECT CAST(NULL AS BIGINT) AS k, CAST(NULL AS DOUBLE) AS w WHERE false)"]
+    stats = []
+    for s in range(EARLY_STEPS):
+        w, w1 = f"w{s}", f"w{s + 1}"
+        ctes += [
+            f"b{s} AS (SELECT id, y FROM sp WHERE part = 'train' ORDER BY {h(1, str(s), 'id')}, id LIMIT 1500)",
+            f"""r{s} AS (SELECT f.id, b.y, f.k, f.v, coalesce(pw.w, 0) AS w
+                 FROM fo f JOIN b{s} b USING (id) LEFT JOIN {w} pw USING (k))""",
+            f"m{s} AS (SELECT id, {r9('sum(v * w)')} AS m FROM r{s} GROUP BY id)",
+            f"""g{s} AS (SELECT k, sum({lr} * CASE WHEN r.y * mm.m < 1 THEN -r.v * r.y ELSE 0 END + r.w * r.w * {reg}) AS g
+                 FROM r{s} r JOIN m{s} mm USING (id) GROUP BY k)""",
+            f"{w1} AS (SELECT k, sum(x) AS w FROM (SELECT k, w AS x FROM {w} UNION ALL SELECT k, -g FROM g{s}) GROUP BY k)",
+            f"""vm{s} AS (SELECT t.id, t.y, sum(f.v * coalesce(pw.w, 0)) AS m
+                 FROM sp t JOIN fo f USING (id) LEFT JOIN {w1} pw USING (k) WHERE t.part = 'test' GROUP BY t.id, t.y)""",
+        ]
+        stats.append(f"""SELECT CAST({s} AS BIGINT) AS step,
+                 avg(greatest(1 - y * m, 0)) + {reg} / 2 * (SELECT coalesce(sum(w * w), 0) FROM {w1}) AS obj,
+                 avg(CASE WHEN y = (CASE WHEN m > 0 THEN 1 ELSE -1 END) THEN 1.0 ELSE 0.0 END) AS acc FROM vm{s}""")
+    ctes.append("st AS (" + " UNION ALL ".join(stats) + ")")
+    ctes.append(f"""fl AS (SELECT step, obj, acc,
+        min(obj) OVER (ORDER BY step ROWS BETWEEN {STOP_P - 1} PRECEDING AND CURRENT ROW) AS wmin,
+        min(obj) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM st)""")
+    return with_(*ctes) + f"""SELECT step, {r6('obj')} AS val_objective, {r6('acc')} AS val_acc FROM fl
+WHERE step <= coalesce((SELECT min(step) FROM fl WHERE wmin > best), {EARLY_STEPS})"""
+
+
+@query("train_early_stop", _early_stop_sql())
 def train_early_stop(spark, sf_dir):
     ex, feats = T.ex_orders(spark, sf_dir), T.feat_orders(spark, sf_dir)
     dim = int(FT.feature_dim(feats).first()["dim"])
