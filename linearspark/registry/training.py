@@ -151,7 +151,11 @@ def stream_early_stop(spark, sf_dir):
     return r.select("worker_idx", "stop_step", "n_steps", out("best_loss").alias("best_loss"))
 
 
-@query("stream_online_sgd")
+# The orders file arrives as one micro-batch (one file, availableNow), so the
+# stream's result is one full hinge step from w = 0 over every order.
+@query("stream_online_sgd", with_(EX_ORDERS, FEAT_ORDERS) + f"""
+SELECT k, {r6(f"-sum(CAST({LR_HINGE!r} AS DOUBLE) * CASE WHEN y * 0 < 1 THEN -v * y ELSE 0 END + 0.0)")} AS w
+FROM fo JOIN ex USING (id) GROUP BY k""")
 def stream_online_sgd(spark, sf_dir):
     schema = T.table(spark, sf_dir, "orders").schema
     o = SJ.file_stream(spark, sf_dir, "orders.parquet", schema)
