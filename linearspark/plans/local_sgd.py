@@ -117,7 +117,8 @@ INDEP_SCHEMA = "worker int, kind string, k long, d double, epoch long, val_loss
 
 
 def train_independent(packed: DataFrame, dim: int, workers: int, epochs: int, subset: int, seed: int,
-                      lr: float, lam: float, persistence: int, val: DataFrame) -> DataFrame:
+                      lr: float, lam: float, persistence: int, val: DataFrame,
+                      n_rows: int | None = None) -> DataFrame:
     """M4: every worker trains alone for ``epochs // workers`` epochs of
     ``subset`` rows with its own early stop on a bounded validation sample
     ``val`` (same packed schema).  Output rows: kind='w' (k, d = the worker's
@@ -126,7 +127,7 @@ def train_independent(packed: DataFrame, dim: int, workers: int, epochs: int, su
     A worker's pool is an exact sample of budget*subset rows (a parameter),
     consumed ``subset`` rows per epoch in hash order."""
     budget = max(epochs // workers, 1)
-    pool = shard_samples(packed, workers, budget * subset, seed, 0)
+    pool = shard_samples(packed, workers, budget * subset, seed, 0, n_rows)
     pool = pool.select("worker", "id", "y", "idx", "val", "_h", F.lit("train").alias("set"))
     vrows = val.select("id", "y", "idx", "val").withColumn(
         "worker", F.explode(F.sequence(F.lit(0), F.lit(workers - 1)))).select(

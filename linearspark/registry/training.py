@@ -38,9 +38,9 @@ def _weights_frame(spark, w: np.ndarray):
 @query("train_local_sgd")
 def train_local_sgd(spark, sf_dir):
     ex, feats = T.ex_orders(spark, sf_dir), T.feat_orders(spark, sf_dir)
-    dim = int(FT.feature_dim(feats).first()["dim"])
     packed = LS.packed_examples(ex, feats).persist(StorageLevel.MEMORY_AND_DISK)
     n_rows = packed.count()                   # fills the cache; sizes every round's sample
+    dim = int(FT.feature_dim_packed(packed).first()["dim"])          # from the cache
     w = LS.train_local_sgd(packed, dim, ROUNDS - 1, SHARDS, SUBSET, seed=1, lr=LR_SVM, lam=LAM_SVM, n_rows=n_rows)
     last = LS.local_sgd_round(packed, w, SHARDS, SUBSET, 1, ROUNDS - 1, LR_SVM, LAM_SVM, n_rows)
     merged = last.groupBy("k").agg(F.sum("d").alias("d"))
@@ -52,13 +52,16 @@ def train_local_sgd(spark, sf_dir):
 @query("train_independent")
 def train_independent(spark, sf_dir):
     ex, feats = T.ex_orders(spark, sf_dir), T.feat_orders(spark, sf_dir)
-    dim = int(FT.feature_dim(feats).first()["dim"])
-    packed = LS.packed_examples(ex, feats)
+    packed = LS.packed_examples(ex, feats).persist(StorageLevel.MEMORY_AND_DISK)
+    n_rows = packed.count()
+    dim = int(FT.feature_dim_packed(packed).first()["dim"])
     val_ids = SP.sample_exact(ex.select("id"), VAL_ROWS, seed=11)
     val = packed.join(F.broadcast(val_ids), "id", "left_semi")
     o = LS.train_independent(packed, dim, SHARDS, EPOCHS, SUBSET, seed=5, lr=LR_SVM, lam=LAM_SVM,
-                             persistence=SE.PERSISTENCE, val=val)
-    return LS.combine_independent(o).select("k", out("w").alias("w"))
+                             persistence=SE.PERSISTENCE, val=val, n_rows=n_rows)
+    final = materialize(LS.combine_independent(o))                     # dim rows
+    packed.unpersist()
+    return final.select("k", out("w").alias("w"))
 
 
 def _early_stop_sql() -> str:
