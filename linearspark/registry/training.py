@@ -35,7 +35,58 @@ def _weights_frame(spark, w: np.ndarray):
     return spark.createDataFrame([(int(k), float(w[k])) for k in nz], "k long, w double")
 
 
-@query("train_local_sgd")
+def _local_sgd_sql(rounds=ROUNDS, shards=SHARDS, subset=SUBSET, seed=1):
+    """The sequential per-row rule replayed in SQL: a recursive CTE per round
+    advances each shard one sampled row at a time, holding the weights and the
+    running delta totals as dense lists; shard totals are summed by key and
+    applied with lr at the round end."""
+    lr, lam = f"CAST({LR_SVM!r} AS DOUBLE)", f"CAST({LAM_SVM!r} AS DOUBLE)"
+    ctes = [EX_ORDERS, FEAT_ORDERS,
+            "dm AS (SELECT max(k) + 1 AS d FROM fo)",
+            "pk AS (SELECT id, list(k ORDER BY k) AS ks, list(v ORDER BY k) AS vs FROM fo GROUP BY id)",
+            "zero AS (SELECT list_transform(range((SELECT d FROM dm)), lambda i: CAST(0 AS DOUBLE)) AS z)",
+            "w_0 AS (SELECT z AS w FROM zero)"]
+    delta = "(CASE WHEN sp THEN vs[list_position(ks, i)] * y - rg ELSE rg END)"
+    for r in range(rounds):
+        ctes += [
+            f"""rows_{r} AS (SELECT s.worker, s.rn, s.y, p.ks, p.vs FROM (
+                  SELECT wk.worker, e.id, e.y, row_number() OVER (PARTITION BY wk.worker
+                         ORDER BY {h(seed, str(r), 'wk.worker', 'e.id')}, e.id) AS rn
+                  FROM ex e, (SELECT CAST(range AS INTEGER) AS worker FROM range({shards})) wk) s
+                JOIN pk p USING (id) WHERE s.rn <= {subset})""",
+            f"""it_{r}(worker, rn, w, tot) AS (
+                  SELECT wk.worker, CAST(0 AS BIGINT), (SELECT w FROM w_{r}), (SELECT z FROM zero)
+                  FROM (SELECT CAST(range AS INTEGER) AS worker FROM range({shards})) wk
+                  UNION ALL
+                  SELECT worker, rn,
+                         list_transform(range(len(w)), lambda i: w[i + 1] +
+                             CASE WHEN list_position(ks, i) > 0 THEN {lr} * {delta} ELSE 0 END),
+                         list_transform(range(len(w)), lambda i: tot[i + 1] +
+                             CASE WHEN list_position(ks, i) > 0 THEN {delta} ELSE 0 END)
+                  FROM (SELECT it.worker, q.rn, it.w, it.tot, q.ks, q.vs, q.y,
+                               list_sum(list_transform(range(len(q.ks)), lambda j: q.vs[j + 1] * it.w[q.ks[j + 1] + 1]))
+                                   * q.y < 1 AS sp,
+                               2 * {lam} * list_sum(list_transform(q.ks, lambda k: it.w[k + 1])) / len(q.ks) AS rg
+                        FROM it_{r} it JOIN rows_{r} q ON q.worker = it.worker AND q.rn = it.rn + 1))""",
+            f"""d_{r} AS (SELECT t.k, sum(it.tot[t.k + 1]) AS d
+                  FROM (SELECT DISTINCT unnest(ks) AS k FROM rows_{r}) t,
+                       (SELECT * FROM it_{r} WHERE rn = {subset}) it GROUP BY t.k)""",
+            f"""dd_{r} AS (SELECT list(coalesce(dr.d, 0) ORDER BY g.i) AS dl
+                  FROM (SELECT unnest(range((SELECT d FROM dm))) AS i) g LEFT JOIN d_{r} dr ON dr.k = g.i)""",
+            f"""w_{r + 1} AS (SELECT list_transform(range(len(w)), lambda i: w[i + 1] + {lr} * dl[i + 1]) AS w
+                  FROM w_{r}, dd_{r})""",
+        ]
+    last = rounds - 1
+    final = f"""SELECT k, {r6('w')} AS w FROM (
+        SELECT u.k, (SELECT w FROM w_{last})[u.k + 1] + {lr} * coalesce(d.d, 0) AS w
+        FROM (SELECT DISTINCT k FROM (
+                SELECT i AS k FROM (SELECT unnest(range(len(w))) AS i, unnest(w) AS x FROM w_{last}) WHERE x <> 0
+                UNION SELECT k FROM d_{last})) u
+        LEFT JOIN d_{last} d USING (k))"""
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + final
+
+
+@query("train_local_sgd", _local_sgd_sql())
 def train_local_sgd(spark, sf_dir):
     ex, feats = T.ex_orders(spark, sf_dir), T.feat_orders(spark, sf_dir)
     packed = LS.packed_examples(ex, feats).persist(StorageLevel.MEMORY_AND_DISK)
