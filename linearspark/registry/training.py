@@ -100,7 +100,43 @@ def train_local_sgd(spark, sf_dir):
     return final.select("k", out("w").alias("w"))
 
 
-@query("train_independent")
+def _independent_sql(workers=SHARDS, epochs=EPOCHS, subset=SUBSET, seed=5):
+    """Each worker replays its pool (budget * subset rows in hash order) from
+    w = 0 with the per-row rule; the weight changes are summed by key.  With
+    budget = epochs / workers <= PERSISTENCE the early-stopping window never
+    slides, so the rule cannot fire (a new value never lifts the minimum of
+    all values); stopping itself is covered by the brute-force test."""
+    budget = max(epochs // workers, 1)
+    assert budget <= SE.PERSISTENCE
+    lr, lam = f"CAST({LR_SVM!r} AS DOUBLE)", f"CAST({LAM_SVM!r} AS DOUBLE)"
+    n = budget * subset
+    delta = "(CASE WHEN sp THEN vs[list_position(ks, i)] * y - rg ELSE rg END)"
+    ctes = [EX_ORDERS, FEAT_ORDERS,
+            "dm AS (SELECT max(k) + 1 AS d FROM fo)",
+            "pk AS (SELECT id, list(k ORDER BY k) AS ks, list(v ORDER BY k) AS vs FROM fo GROUP BY id)",
+            "zero AS (SELECT list_transform(range((SELECT d FROM dm)), lambda i: CAST(0 AS DOUBLE)) AS z)",
+            f"""rows AS (SELECT s.worker, s.rn, s.y, p.ks, p.vs FROM (
+                  SELECT wk.worker, e.id, e.y, row_number() OVER (PARTITION BY wk.worker
+                         ORDER BY {h(seed, '0', 'wk.worker', 'e.id')}, e.id) AS rn
+                  FROM ex e, (SELECT CAST(range AS INTEGER) AS worker FROM range({workers})) wk) s
+                JOIN pk p USING (id) WHERE s.rn <= {n})""",
+            f"""it(worker, rn, w) AS (
+                  SELECT wk.worker, CAST(0 AS BIGINT), (SELECT z FROM zero)
+                  FROM (SELECT CAST(range AS INTEGER) AS worker FROM range({workers})) wk
+                  UNION ALL
+                  SELECT worker, rn, list_transform(range(len(w)), lambda i: w[i + 1] +
+                             CASE WHEN list_position(ks, i) > 0 THEN {lr} * {delta} ELSE 0 END)
+                  FROM (SELECT it.worker, q.rn, it.w, q.ks, q.vs, q.y,
+                               list_sum(list_transform(range(len(q.ks)), lambda j: q.vs[j + 1] * it.w[q.ks[j + 1] + 1]))
+                                   * q.y < 1 AS sp,
+                               2 * {lam} * list_sum(list_transform(q.ks, lambda k: it.w[k + 1])) / len(q.ks) AS rg
+                        FROM it JOIN rows q ON q.worker = it.worker AND q.rn = it.rn + 1))"""]
+    return "WITH RECURSIVE " + ",\n".join(ctes) + f"""
+SELECT k, {r6('sum(x)')} AS w FROM (
+    SELECT unnest(range(len(w))) AS k, unnest(w) AS x FROM it WHERE rn = {n}) WHERE x <> 0 GROUP BY k"""
+
+
+@query("train_independent", _independent_sql())
 def train_independent(spark, sf_dir):
     ex, feats = T.ex_orders(spark, sf_dir), T.feat_orders(spark, sf_dir)
     packed = LS.packed_examples(ex, feats).persist(StorageLevel.MEMORY_AND_DISK)
