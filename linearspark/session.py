@@ -7,7 +7,6 @@ is missing (local tests) do we create one ourselves.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -41,6 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; create a private one only if unset."""
     path = spark.conf.get(_CKPT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {_CKPT_KEY} to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="linearspark-ckpt-")
         spark.conf.set(_CKPT_KEY, path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -51,9 +52,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint dir."""
     base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df, name: str = "cut"):
