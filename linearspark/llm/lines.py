@@ -41,8 +41,9 @@ def drop_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     are one document), so repeated rows of one id count once.
     """
     hashes = materialize(line_hashes(docs, min_chars), "lines")
-    common = hashes.groupBy("h1", "h2").agg(F.count_distinct(F.struct("doc_id")).alias("n")).filter(
-        F.col("n") >= min_docs).select("h1", "h2")
+    # written, so that the join below deals out both sides itself and can split a hot line
+    common = materialize(hashes.groupBy("h1", "h2").agg(F.count_distinct(F.struct("doc_id")).alias("n")).filter(
+        F.col("n") >= min_docs).select("h1", "h2"), "common")
     hits = hashes.join(common, ["h1", "h2"], "left_semi").groupBy(
         F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_hits"))
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & (text_hash() == F.col("_th"))

@@ -180,7 +180,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     named = member.join(classes, "fp")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("group_id"))
     linked = member.join(smallest, "root").select("fp", "group_id")
-    ids = classes.join(linked, "fp", "left").select("fp", F.coalesce("group_id", "first_id").alias("component_id"))
+    # written, so that the join below can split a fingerprint of very many copies
+    ids = materialize(classes.join(linked, "fp", "left").select(
+        "fp", F.coalesce("group_id", "first_id").alias("component_id")), "component-ids")
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
