@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from linearspark.llm import lines, simhash
+from linearspark.llm import decontaminate, lines, simhash
 
 QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_line_dedup": lines.op6_line_dedup,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 
 ORACLE = {
     "op6_line_dedup": lines.OP6_SQL,
+    "op9_decontaminate": decontaminate.OP9_SQL,
 }
