@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from linearspark.llm import decontaminate, lines, simhash
+from linearspark.llm import chat, decontaminate, lines, packing, quality, simhash, toxicity
 
 QUERIES = {
+    "op2_quality_rules": quality.op2_quality_rules,
+    "op4_packing": packing.op4_packing,
     "op5_simhash": simhash.op5_simhash,
     "op6_line_dedup": lines.op6_line_dedup,
+    "op7_chat_format": chat.op7_chat_format,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 
 ORACLE = {
     "op6_line_dedup": lines.OP6_SQL,
+    "op7_chat_format": chat.OP7_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
 }
