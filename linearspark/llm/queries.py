@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from linearspark.llm import chat, decontaminate, lines, packing, quality, simhash, toxicity
+from linearspark.llm import chat, decontaminate, extract, language_model, lines, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_html_extract": extract.op3_html_extract,
     "op4_packing": packing.op4_packing,
     "op5_simhash": simhash.op5_simhash,
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_chat_format": chat.op7_chat_format,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_lm_score": language_model.op10_lm_score,
 }
 
 ORACLE = {
