@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from linearspark.llm import chat, decontaminate, extract, language_model, lines, packing, quality, simhash, toxicity
+from linearspark.llm import (
+    chat,
+    decontaminate,
+    extract,
+    language_model,
+    licences,
+    lines,
+    packing,
+    quality,
+    simhash,
+    toxicity,
+)
 
 QUERIES = {
+    "op1_license_scan": licences.op1_license_scan,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_html_extract": extract.op3_html_extract,
     "op4_packing": packing.op4_packing,
@@ -17,6 +29,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_license_scan": licences.OP1_SQL,
     "op6_line_dedup": lines.OP6_SQL,
     "op7_chat_format": chat.OP7_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
