@@ -35,6 +35,7 @@ MAX_DOCS = 1000
 MAX_WINDOWS = 96
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
+STEPS, BATCH = 2000, 64      # least gradient steps of a fit, windows of each
 RATE, DECAY = 50.0, 1e-5      # first learning rate of the embeddings; their shrinkage per step and rate
 CLEAN_SHARE = 0.995           # of the windows of clean documents lie below the bar for toxic windows
 
@@ -92,13 +93,15 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(windows), first
 
 
-def _train_windows(ids: list[np.ndarray], target: np.ndarray, rng, embed, out, bias, epochs: int) -> None:
-    """Joint gradient steps on minibatches of windows, in place.  Rates fall
-    linearly; a bucket moves with the number of windows that hold it, so rare
+def _train_windows(ids: list[np.ndarray], target: np.ndarray, rng, embed, out, bias, steps: int) -> None:
+    """``steps`` joint gradient steps (at least one pass) on minibatches of
+    windows, in place.  Rates fall linearly; a bucket moves with the number of windows that hold it, so rare
     n-grams stay near zero."""
+    batches = max(1, len(ids) // BATCH)
+    epochs = -(-steps // batches)
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
-        for batch in np.array_split(rng.permutation(len(ids)), max(1, len(ids) // 64)):
+        for batch in np.array_split(rng.permutation(len(ids)), batches):
             size = np.array([len(ids[i]) for i in batch])
             flat = np.concatenate([ids[i] for i in batch])
             owner = np.repeat(np.arange(len(batch)), size)
@@ -119,7 +122,7 @@ def _train_windows(ids: list[np.ndarray], target: np.ndarray, rng, embed, out, b
             bias -= 0.002 * grad.sum(axis=0)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 1, rounds: int = 3, epochs: int = 3) -> Model:
+def train(texts: list[str], labels: list[int], seed: int = 1, rounds: int = 3, steps: int = STEPS) -> Model:
     """Fit on labelled texts.  Without both classes every score is the share of toxic ones."""
     label = np.array(labels, dtype=np.int64)
     toxic = label.mean() if len(label) else 0.0
@@ -145,7 +148,7 @@ def train(texts: list[str], labels: list[int], seed: int = 1, rounds: int = 3, e
     target = label[doc]
     for turn in range(rounds):
         for part in (0, 1):        # windows are judged by a model that has not seen their document
-            weights, bias = _fit_windows([x for x, h in zip(ids, half) if h != part], target[half != part], rng, epochs)
+            weights, bias = _fit_windows([x for x, h in zip(ids, half) if h != part], target[half != part], rng, steps)
             margin[half == part] = [weights[x].mean() + bias for x, h in zip(ids, half) if h == part]
         highest = np.full(len(label), -np.inf)
         np.maximum.at(highest, doc, margin)
@@ -154,17 +157,17 @@ def train(texts: list[str], labels: list[int], seed: int = 1, rounds: int = 3, e
         target = ((label[doc] == 1) & ((margin > bar) | (margin == highest[doc]))).astype(np.int64)
     known = np.isfinite(highest)
     slope, offset = _logistic(highest[known], label[known])
-    weights, bias = _fit_windows(ids, target, rng, epochs)
+    weights, bias = _fit_windows(ids, target, rng, steps)
     return Model(weights.astype(np.float32), bias, slope, offset)
 
 
-def _fit_windows(ids: list[np.ndarray], target: np.ndarray, rng, epochs: int) -> tuple[np.ndarray, float]:
+def _fit_windows(ids: list[np.ndarray], target: np.ndarray, rng, steps: int) -> tuple[np.ndarray, float]:
     """Weight of each bucket and bias, of the second class against the first."""
     embed = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, dtype=np.float32)
     if len(ids):
-        _train_windows(ids, target, rng, embed, out, bias, epochs)
+        _train_windows(ids, target, rng, embed, out, bias, steps)
     return embed @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
 
