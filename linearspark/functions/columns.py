@@ -25,7 +25,9 @@ def round_half_up(c, digits: int) -> Column:
     Unlike ``round`` (decimal HALF_UP on the exact binary value) this gives
     bit-identical results in any engine that does IEEE arithmetic."""
     scale = float(10 ** digits)
-    return F.floor(col(c) * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    x = col(c) * F.lit(scale)
+    # from 2^52 on a double is whole, and floor() would saturate at the range of BIGINT
+    return F.when(F.abs(x) < float(2 ** 52), F.floor(x + F.lit(0.5)).cast("double") / F.lit(scale)).otherwise(col(c))
 
 
 def out(c, digits: int = OUT_DIGITS) -> Column:

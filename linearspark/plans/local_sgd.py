@@ -17,54 +17,46 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linearspark.functions.stopping import has_risen
 from linearspark.operators import features as FT
 from linearspark.operators import sampling as SP
 
 DELTA_SCHEMA = "worker int, k long, d double"
 
 
-class SequentialSVM:
-    """The per-row SVM rule on a dense weight vector (the svm_mean rule,
-    applied row by row).  ``fit`` returns the summed delta and the mean train
-    loss (hinge at the margin before the update, regulariser after)."""
-
-    def __init__(self, lr: float, lam: float, w: np.ndarray):
-        self.lr = lr
-        self.lam = lam
-        self.w = np.array(w, dtype=float)
-
-    def _reg_g(self, idx):
-        return 2 * self.lam * float(sum(self.w[i] for i in idx)) / len(idx)
-
-    def fit(self, rows, update: bool = True):
-        total: dict[int, float] = {}
-        loss = 0.0
-        for idx, val, y in rows:
-            xw = float(sum(v * self.w[k] for k, v in zip(idx, val)))
-            r = self._reg_g(idx)
-            if xw * y < 1:
-                delta = {k: v * y - r for k, v in zip(idx, val)}
-            else:
-                delta = {k: r for k in idx}
-            if update:
-                for k, dv in delta.items():
-                    self.w[k] += self.lr * dv
-            for k, dv in delta.items():
-                total[k] = total.get(k, 0.0) + dv
-            loss += max(1 - y * xw, 0)
-            loss += self.lam * float(sum(self.w[i] ** 2 for i in idx)) / len(idx)
-        return total, loss / max(len(rows), 1)
-
-    def loss(self, rows) -> float:
-        tot = 0.0
-        for idx, val, y in rows:
-            xw = float(sum(v * self.w[k] for k, v in zip(idx, val)))
-            tot += max(1 - y * xw, 0) + self.lam * float(sum(self.w[i] ** 2 for i in idx)) / len(idx)
-        return tot / max(len(rows), 1)
-
-
-def _rows(pdf: pd.DataFrame):
-    return [(list(map(int, i)), list(map(float, v)), int(y)) for i, v, y in zip(pdf["idx"], pdf["val"], pdf["y"])]
+def sequential_pass(w: np.ndarray, rows: list[tuple], lr: float, lam: float) -> tuple[np.ndarray, float]:
+    """Apply the svm_mean rule to ``rows (idx, val, y)`` one after the other.
+
+    With m = x.w, g = 2 lam mean(w) over the row's keys and d = y x - g where
+    y m < 1 (else d = g), w moves by lr d.  ``w`` changes in place; the summed d
+    and the mean of hinge(m) + lam mean(w^2), taken after the move, are returned.
+    """
+    moved, loss = np.zeros_like(w), 0.0
+    for idx, val, y in rows:
+        margin = y * float(val @ w[idx])
+        pull = 2 * lam * w[idx].mean()
+        step = y * val - pull if margin < 1 else np.full(len(idx), pull)
+        w[idx] += lr * step
+        moved[idx] += step
+        loss += max(1 - margin, 0.0) + lam * float(np.square(w[idx]).mean())
+    return moved, loss / max(len(rows), 1)
+
+
+def mean_loss(w: np.ndarray, rows: list[tuple], lam: float) -> float:
+    """Mean of hinge + lam mean(w^2) over ``rows`` for fixed weights, in one pass."""
+    if not rows:
+        return 0.0
+    size = np.array([len(r[0]) for r in rows])
+    start = np.cumsum(size) - size
+    mine = w[np.concatenate([r[0] for r in rows])]
+    margins = np.add.reduceat(np.concatenate([r[1] for r in rows]) * mine, start)
+    hinge = np.maximum(1 - np.array([r[2] for r in rows]) * margins, 0)
+    return float((hinge + lam * np.add.reduceat(mine ** 2, start) / size).mean())
+
+
+def _rows(pdf: pd.DataFrame) -> list[tuple]:
+    return [(np.asarray(i, dtype=np.int64), np.asarray(v, dtype=float), int(y))
+            for i, v, y in zip(pdf["idx"], pdf["val"], pdf["y"])]
 
 
 def shard_samples(packed: DataFrame, shards: int, n: int, seed: int, round_: int,
@@ -87,12 +79,11 @@ def local_sgd_round(packed: DataFrame, w: np.ndarray, shards: int, n: int, seed:
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_h", "id"], kind="mergesort")
-        svm = SequentialSVM(lr, lam, bw.value)
-        total, _ = svm.fit(_rows(pdf), update=True)
+        rows = _rows(pdf)
+        moved, _ = sequential_pass(np.array(bw.value), rows, lr, lam)
+        keys = np.unique(np.concatenate([r[0] for r in rows]))
         worker = int(pdf["worker"].iloc[0])
-        return pd.DataFrame({"worker": np.full(len(total), worker, dtype="int32"),
-                             "k": np.fromiter(total.keys(), dtype="int64", count=len(total)),
-                             "d": np.fromiter(total.values(), dtype="float64", count=len(total))})
+        return pd.DataFrame({"worker": np.full(len(keys), worker, dtype="int32"), "k": keys, "d": moved[keys]})
 
     return shard_samples(packed, shards, n, seed, round_, n_rows).groupBy("worker").applyInPandas(fn, DELTA_SCHEMA)
 
@@ -139,22 +130,14 @@ def train_independent(packed: DataFrame, dim: int, workers: int, epochs: int, su
         worker = int(pdf["worker"].iloc[0])
         tr = pdf[pdf["set"] == "train"].sort_values(["_h", "id"], kind="mergesort")
         va = _rows(pdf[pdf["set"] == "val"].sort_values("id"))
-        svm = SequentialSVM(lr, lam, w0.value)
+        w = np.array(w0.value, dtype=float)
         rows = _rows(tr)
-        losses = []
-        window: list[float] = []
-        smallest = float("inf")
-        for e in range(budget):
-            svm.fit(rows[e * subset:(e + 1) * subset], update=True)
-            vl = svm.loss(va)
-            losses.append(vl)
-            if len(window) == persistence:
-                window.pop(0)
-            window.append(vl)
-            if min(window) > smallest:
-                break
-            smallest = min(window)
-        dw = svm.w - w0.value
+        losses: list[float] = []
+        while len(losses) < budget and not has_risen(losses, persistence):
+            at = len(losses) * subset
+            sequential_pass(w, rows[at:at + subset], lr, lam)
+            losses.append(mean_loss(w, va, lam))
+        dw = w - w0.value
         nz = np.nonzero(dw)[0]
         wpart = pd.DataFrame({"worker": worker, "kind": "w", "k": nz.astype("int64"), "d": dw[nz],
                               "epoch": pd.array([None] * len(nz), dtype="Int64"), "val_loss": np.nan})

@@ -16,6 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linearspark.functions.stopping import has_risen
 from linearspark.operators import sampling as SP
 from linearspark.operators.features import BROADCAST_MAX_KEYS
 from linearspark.plans.local_sgd import packed_examples
@@ -190,8 +191,6 @@ def train_hinge(ex: DataFrame, feats: DataFrame, dim: int, steps: int, batch: in
         raise SP.SampleTooLarge(f"batch of {batch} asked from {n_rows} rows")
     w = np.zeros(dim)
     hist = []
-    window: list[float] = []
-    smallest = float("inf")
     # measured at sf0.1: the pandas partial-vector gradient (one small row set
     # per task) beats exploding every non-zero on the JVM side
     grad_fn = vector_hinge_gradient
@@ -218,13 +217,8 @@ def train_hinge(ex: DataFrame, feats: DataFrame, dim: int, steps: int, batch: in
                 obj = got.pop(STAT_H) / n + reg / 2.0 * float(np.dot(w, w))
                 acc = got.pop(STAT_OK) / n
                 hist.append((s - 1, obj, acc))
-                if persistence:
-                    if len(window) == persistence:
-                        window.pop(0)
-                    window.append(obj)
-                    if min(window) > smallest:
-                        break
-                    smallest = min(window)
+                if persistence and has_risen([h[1] for h in hist], persistence):
+                    break
             if s == steps:
                 break
             if got.pop(-1, 0) < batch:

@@ -130,10 +130,10 @@ def read_topics(spark: SparkSession, path) -> DataFrame:
 
 def render_sparse_lines(feats: DataFrame, id_col: str = "id") -> DataFrame:
     """Long (id, k, v) -> (id, body, line): ``id  k:v ...`` sorted by key with
-    the bias omitted.  ``body`` alone is the feature part, used for the
+    a bias of 1.0 omitted (the parser adds it).  ``body`` alone is the feature part, used for the
     label-first form ``label body``."""
     grouped = feats.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.when(F.col("k") != 0, F.struct("k", "v")))).alias("_kv")
+        F.array_sort(F.collect_list(F.when((F.col("k") != 0) | (F.col("v") != 1.0), F.struct("k", "v")))).alias("_kv")
     )
     body = F.array_join(
         F.transform("_kv", lambda e: F.concat(e["k"].cast("string"), F.lit(":"), e["v"].cast("string"))), " "

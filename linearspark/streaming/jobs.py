@@ -84,16 +84,19 @@ def _read_opt(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def _flushed_upto(spark: SparkSession, root: str) -> int:
+def _flushed_upto(spark: SparkSession, root: str, before: int | None = None) -> int:
     w = _read_opt(spark, os.path.join(root, "weights"))
     if w is None:
         return -1
+    if before is not None:
+        w = w.filter(F.col("v") < before)
     v = w.agg(F.max("v")).first()[0]
     return -1 if v is None else int(v)
 
 
-def _latest_weights(spark: SparkSession, root: str) -> DataFrame:
-    v = _flushed_upto(spark, root)
+def _latest_weights(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """The newest weights, or those of the newest version below ``before``."""
+    v = _flushed_upto(spark, root, before)
     if v < 0:
         return spark.createDataFrame([], "k long, w double")
     return spark.read.parquet(os.path.join(root, "weights")).filter(F.col("v") == v).select("k", "w")
@@ -145,7 +148,7 @@ def run_delta_merge(spark: SparkSession, deltas: DataFrame, root: str, lr: float
 def online_sgd_sink(root: str, feats: DataFrame, lr: float, reg: float, dim: int):
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        w = _latest_weights(spark, root)
+        w = _latest_weights(spark, root, batch_id)      # a replay starts where the batch first did
         fr = L.feature_rows(batch.select("id", "y"), feats, w, n_weights=dim)
         g = G.hinge_sq_gradient(fr, lr, reg)
         new = G.apply_delta(w, g, -1.0, value="g")
@@ -174,15 +177,11 @@ def _early_stop_fn(p: int):
             n, smallest, window, stop, best = 0, float("inf"), [], None, float("inf")
         batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="mergesort")
         for loss in batch["loss"].tolist():
-            if len(window) == p:
-                window.pop(0)
             window.append(loss)
-            wmin = min(window)
-            if stop is None:
-                if wmin > smallest:
-                    stop = n
-                else:
-                    smallest = wmin
+            if len(window) > p:         # smallest: the best loss before the last p
+                smallest = min(smallest, window.pop(0))
+            if stop is None and min(window) > smallest:
+                stop = n
             best = min(best, loss)
             n += 1
         state.update((n, smallest, window, stop, best))
@@ -193,7 +192,7 @@ def _early_stop_fn(p: int):
 
 
 def early_stop(loss_events: DataFrame, p: int) -> DataFrame:
-    """Keyed state per worker: the last p losses, the best window minimum,
+    """Keyed state per worker: the last p losses, the best loss before them,
     the step count and the first stop step."""
     return loss_events.groupBy("worker_idx").applyInPandasWithState(
         _early_stop_fn(p), STOP_OUT, STOP_STATE, "update", GroupStateTimeout.NoTimeout)

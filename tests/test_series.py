@@ -4,15 +4,9 @@ from linearspark.operators import series as SE
 
 
 def _loop(values, p):
-    window, smallest = [], float("inf")
-    for t, v in enumerate(values):
-        if len(window) == p:
-            window.pop(0)
-        window.append(v)
-        if min(window) > smallest:
-            return t
-        smallest = min(window)
-    return None
+    """First step whose last p values are all above some value before them."""
+    return next((t for t in range(p, len(values))
+                 if any(all(x > old for x in values[t - p + 1:t + 1]) for old in values[:t - p + 1])), None)
 
 
 def _spark_stop(spark, series, p):

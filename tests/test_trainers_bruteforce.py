@@ -24,6 +24,24 @@ def data(spark):
     return ex, feats, dim
 
 
+def _row_loss(w, keys, values, y, lam):
+    margin = sum(v * w[k] for k, v in zip(keys, values))
+    return max(0.0, 1 - y * margin) + lam * sum(w[k] * w[k] for k in keys) / len(keys)
+
+
+def _replay(w, rows, lr, lam):
+    """The documented row rule in plain Python; returns weights and summed moves."""
+    moves = {}
+    for keys, values, y in rows:
+        inside = y * sum(v * w[k] for k, v in zip(keys, values)) < 1
+        g = 2 * lam * sum(w[k] for k in keys) / len(keys)
+        for k, v in zip(keys, values):
+            d = y * v - g if inside else g
+            moves[k] = moves.get(k, 0.0) + d
+            w[k] += lr * d
+    return w, moves
+
+
 def test_local_sgd_round_equals_python_replay(spark, data):
     ex, feats, dim = data
     packed = LS.packed_examples(ex, feats)
@@ -33,8 +51,7 @@ def test_local_sgd_round_equals_python_replay(spark, data):
     expect = {}
     for worker in range(3):
         mine = sorted((r for r in rows if r["worker"] == worker), key=lambda r: (r["_h"], r["id"]))
-        svm = LS.SequentialSVM(0.01, 1e-5, w0)
-        total, _ = svm.fit([(list(r["idx"]), list(r["val"]), r["y"]) for r in mine])
+        _, total = _replay(dict(enumerate(w0)), [(r["idx"], r["val"], r["y"]) for r in mine], 0.01, 1e-5)
         expect.update({(worker, k): d for k, d in total.items()})
     assert got.keys() == expect.keys()
     assert max(abs(got[k] - expect[k]) for k in got) < 1e-12
@@ -80,19 +97,14 @@ def test_independent_workers_equal_python_replay(spark, data):
     for wk in range(workers):
         mine = sorted((r for r in pool if r["worker"] == wk), key=lambda r: (r["_h"], r["id"]))
         rows = [(list(r["idx"]), list(r["val"]), r["y"]) for r in mine]
-        svm = LS.SequentialSVM(0.05, 1e-5, np.zeros(dim))
-        window, smallest = [], float("inf")
+        w, losses = dict.fromkeys(range(dim), 0.0), []
         for e in range(budget):
-            svm.fit(rows[e * subset:(e + 1) * subset])
-            vl = svm.loss(vrows)
-            expect_losses[(wk, e)] = vl
-            if len(window) == p:
-                window.pop(0)
-            window.append(vl)
-            if min(window) > smallest:
+            _replay(w, rows[e * subset:(e + 1) * subset], 0.05, 1e-5)
+            losses.append(sum(_row_loss(w, *r, 1e-5) for r in vrows) / len(vrows))
+            expect_losses[(wk, e)] = losses[-1]
+            if any(all(x > old for x in losses[-p:]) for old in losses[:-p]):
                 break
-            smallest = min(window)
-        expect_w += svm.w
+        expect_w += np.array([w[k] for k in range(dim)])
     assert got_losses.keys() == expect_losses.keys()
     assert max(abs(got_losses[k] - expect_losses[k]) for k in got_losses) < 1e-12
     assert max(abs(got_w.get(k, 0.0) - expect_w[k]) for k in range(dim)) < 1e-12
