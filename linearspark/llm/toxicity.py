@@ -106,18 +106,19 @@ def _train_windows(ids: list[np.ndarray], target: np.ndarray, rng, embed, out, b
             flat = np.concatenate([ids[i] for i in batch])
             owner = np.repeat(np.arange(len(batch)), size)
             at = np.concatenate([[0], np.cumsum(size)[:-1]])
-            mean = np.add.reduceat(embed[flat], at, axis=0) / size[:, None]
+            mean = np.add.reduceat(embed.take(flat, axis=0), at, axis=0) / size[:, None]
             logits = mean @ out + bias
             prob = np.exp(logits - logits.max(axis=1, keepdims=True))
             prob /= prob.sum(axis=1, keepdims=True)
             prob[np.arange(len(batch)), target[batch]] -= 1.0
             grad = prob.astype(np.float32)
-            grad_out, grad_mean = mean.T @ grad, (grad @ out.T).astype(np.float32)
-            order = np.argsort(flat, kind="stable")
-            bucket, begin = np.unique(flat[order], return_index=True)
-            grad_embed = np.add.reduceat((grad_mean / size[:, None])[owner[order]], begin, axis=0)
-            embed[bucket] -= np.clip(rate * grad_embed, -0.5, 0.5)
-            embed[bucket] *= 1 - DECAY * rate
+            grad_out = mean.T @ grad
+            # the two columns of ``grad`` are opposite, so a bucket's gradient is a multiple of one vector
+            pull = np.bincount(flat, weights=(grad[:, 1] / size)[owner], minlength=BUCKETS)
+            bucket = np.flatnonzero(np.bincount(flat, minlength=BUCKETS) > 0)
+            grad_embed = pull[bucket, None].astype(np.float32) * (out[:, 1] - out[:, 0])
+            moved = embed.take(bucket, axis=0) - np.clip(rate * grad_embed, -0.5, 0.5)
+            embed[bucket] = moved * np.float32(1 - DECAY * rate)
             out -= np.clip(0.01 * grad_out, -0.1, 0.1)
             bias -= 0.002 * grad.sum(axis=0)
 
