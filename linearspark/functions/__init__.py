@@ -1,5 +1,4 @@
 from linearspark.functions.columns import (  # noqa: F401
-    MARGIN_DIGITS,
     OUT_DIGITS,
     fixed_weight,
     hash_prefix,

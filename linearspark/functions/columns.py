@@ -9,9 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Digits used to make float results engine-independent before comparisons
-# (margins) and on output (every reported double).
-MARGIN_DIGITS = 9
+# Digits of every reported double.
 OUT_DIGITS = 6
 
 
@@ -37,10 +35,14 @@ def out(c, digits: int = OUT_DIGITS) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(r) + F.lit(0.0)
 
 
-def stable_margin(c) -> Column:
-    """Margin rounded before it feeds a comparison (support test, sign)."""
+def stable_margin(c, digits: int | None = None) -> Column:
+    """The margin that feeds a comparison (support test, sign): raw, or rounded
+    to ``digits`` places where two engines that sum in different orders must
+    agree on margins that are mathematically 0 or 1."""
     x = col(c)
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(round_half_up(x, MARGIN_DIGITS))
+    if digits is None:
+        return x
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(round_half_up(x, digits))
 
 
 def predict_sign(m) -> Column:

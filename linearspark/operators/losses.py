@@ -16,14 +16,14 @@ from linearspark.operators.features import BROADCAST_MAX_KEYS, bounded_broadcast
 
 
 def feature_rows(ex: DataFrame, feats: DataFrame, weights: DataFrame, n_weights: int | None = None,
-                 keys: tuple[str, ...] = ("id",), n_examples: int | None = None) -> DataFrame:
+                 keys: tuple[str, ...] = ("id",), n_examples: int | None = None,
+                 digits: int | None = None) -> DataFrame:
     """(keys..., y, k, v, w, m, sw, sw2, nnz): every feature row of a labelled
     example with its weight and the example's margin and weight sums.
 
     ``keys`` identify an example occurrence, e.g. ("worker", "id") when the
-    same example is drawn by several workers.  ``m`` is rounded
-    (``stable_margin``) so that comparisons on it do not depend on the
-    summation order.
+    same example is drawn by several workers.  ``m`` is raw unless ``digits``
+    asks for rounding (``stable_margin``).
 
     With ``n_examples`` (a known bound on the rows of ``ex``, e.g. a
     mini-batch) the examples are broadcast and the features are first
@@ -39,14 +39,15 @@ def feature_rows(ex: DataFrame, feats: DataFrame, weights: DataFrame, n_weights:
     win = Window.partitionBy(*keys)
     return j.select(
         *keys, "y", "k", "v", "w",
-        stable_margin(F.sum(F.col("v") * F.col("w")).over(win)).alias("m"),
+        stable_margin(F.sum(F.col("v") * F.col("w")).over(win), digits).alias("m"),
         F.sum("w").over(win).alias("sw"),
         F.sum(F.col("w") * F.col("w")).over(win).alias("sw2"),
         F.count(F.lit(1)).over(win).alias("nnz"),
     )
 
 
-def example_stats(ex: DataFrame, feats: DataFrame, weights: DataFrame, n_weights: int | None = None) -> DataFrame:
+def example_stats(ex: DataFrame, feats: DataFrame, weights: DataFrame, n_weights: int | None = None,
+                  digits: int | None = None) -> DataFrame:
     """(id, y, ex columns..., m, sw, sw2, nnz) with one aggregation by id."""
     w = bounded_broadcast(weights.select("k", "w"), n_weights)
     j = feats.join(w, "k", "left").withColumn("w", F.coalesce(F.col("w"), F.lit(0.0)))
@@ -57,7 +58,7 @@ def example_stats(ex: DataFrame, feats: DataFrame, weights: DataFrame, n_weights
         F.count(F.lit(1)).alias("nnz"),
     )
     extra = [c for c in ex.columns if c not in ("id", "y")]
-    return ex.join(g, "id", "inner").select("id", "y", *extra, stable_margin("m").alias("m"), "sw", "sw2", "nnz")
+    return ex.join(g, "id", "inner").select("id", "y", *extra, stable_margin("m", digits).alias("m"), "sw", "sw2", "nnz")
 
 
 def support_rows(margins: DataFrame) -> DataFrame:

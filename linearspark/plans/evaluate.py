@@ -12,9 +12,10 @@ from linearspark.operators import sampling as SP
 from linearspark.session import materialize
 
 
-def score_all(ex: DataFrame, feats: DataFrame, weights: DataFrame, n_weights: int | None = None) -> DataFrame:
+def score_all(ex: DataFrame, feats: DataFrame, weights: DataFrame, n_weights: int | None = None,
+              digits: int | None = None) -> DataFrame:
     """(id, y, m, pred_sign, pred_threshold) for every example."""
-    m = FT.labelled_margins(ex, feats, weights, n_weights).select("id", "y", stable_margin("m").alias("m"))
+    m = FT.labelled_margins(ex, feats, weights, n_weights).select("id", "y", stable_margin("m", digits).alias("m"))
     return L.score(m)
 
 
@@ -32,17 +33,17 @@ def tag_splits(ex: DataFrame, ratio: float = 0.9, seed: int = 1, holdout: float
 
 
 def evaluation_report(tagged: DataFrame, feats: DataFrame, weights: DataFrame, lam: float,
-                      n_weights: int | None = None) -> DataFrame:
+                      n_weights: int | None = None, digits: int | None = None) -> DataFrame:
     """Per split: recall of +1 and -1, accuracy (sign rule), SVM loss, rows.
     One aggregation grouped by split instead of three loads."""
-    st = L.example_stats(tagged, feats, weights, n_weights)
+    st = L.example_stats(tagged, feats, weights, n_weights, digits)
     loss = hinge("y", "m") + F.lit(lam) * F.col("sw2") / F.col("nnz")
     return st.groupBy("split").agg(*L.class_accuracy_cols(), F.avg(loss).alias("loss"),
                                    F.count(F.lit(1)).alias("n"))
 
 
 def step_metrics(parts: DataFrame, feats: DataFrame, weights: DataFrame, steps: int, batch: int,
-                 seed: int, reg: float, n_weights: int | None = None) -> DataFrame:
+                 seed: int, reg: float, n_weights: int | None = None, digits: int | None = None) -> DataFrame:
     """Per step: validation objective, train and validation batch accuracy.
 
     Batches of all steps are drawn in one job (grouped exact samples); only
@@ -53,7 +54,7 @@ def step_metrics(parts: DataFrame, feats: DataFrame, weights: DataFrame, steps:
     both = tr.withColumn("set", F.lit("train")).unionByName(va.withColumn("set", F.lit("val")))
     ids = both.select("id").distinct()
     f = feats.join(F.broadcast(ids), "id", "left_semi")
-    m = FT.margins(f, weights, n_weights).select("id", stable_margin("m").alias("m"))
+    m = FT.margins(f, weights, n_weights).select("id", stable_margin("m", digits).alias("m"))
     j = both.join(m, "id", "inner")
     w2 = weights.agg(F.sum(F.col("w") * F.col("w"))).scalar()
     right = F.when(F.col("y") == predict_threshold("m"), 1.0).otherwise(0.0)

@@ -23,7 +23,7 @@ def _empty_weights(like: DataFrame) -> DataFrame:
 
 
 def hinge_steps(ex: DataFrame, feats: DataFrame, steps: int, batch: int, seed: int, lr: float, reg: float,
-                weights: DataFrame | None = None, dim: int | None = None) -> DataFrame:
+                weights: DataFrame | None = None, dim: int | None = None, digits: int | None = None) -> DataFrame:
     """M1: ``steps`` mini-batch steps of the hinge_sq rule (sparse weights)."""
     w = weights if weights is not None else _empty_weights(ex)
     n_rows = ex.count()
@@ -31,7 +31,7 @@ def hinge_steps(ex: DataFrame, feats: DataFrame, steps: int, batch: int, seed: i
     # unknown, adaptive execution measures the weights at run time instead
     for s in range(steps):
         b = SP.sample_exact(ex, batch, seed, s, n_rows=n_rows)
-        fr = L.feature_rows(b, feats, w, n_weights=dim, n_examples=batch)
+        fr = L.feature_rows(b, feats, w, n_weights=dim, n_examples=batch, digits=digits)
         g = G.hinge_sq_gradient(fr, lr, reg)
         w = G.apply_delta(w, g, -1.0, value="g")
         if s < steps - 1:
@@ -40,7 +40,7 @@ def hinge_steps(ex: DataFrame, feats: DataFrame, steps: int, batch: int, seed: i
 
 
 def svm_sync_steps(ex: DataFrame, feats: DataFrame, steps: int, workers: int, subset: int, seed: int,
-                   lr: float, lam: float, weights: DataFrame | None = None, dim: int | None = None) -> DataFrame:
+                   lr: float, lam: float, weights: DataFrame | None = None, dim: int | None = None, digits: int | None = None) -> DataFrame:
     """M2: synchronous SVM rounds: each worker draws its own exact sample,
     computes the svm_mean delta at the round's weights, deltas are summed
     and applied with ``lr``."""
@@ -48,7 +48,7 @@ def svm_sync_steps(ex: DataFrame, feats: DataFrame, steps: int, workers: int, su
     n_rows = ex.count()
     for s in range(steps):
         b = SP.group_samples(ex, subset, seed, workers, group_col="worker", step=s, n_rows=n_rows)
-        fr = L.feature_rows(b, feats, w, n_weights=dim, keys=("worker", "id"), n_examples=workers * subset)
+        fr = L.feature_rows(b, feats, w, n_weights=dim, keys=("worker", "id"), n_examples=workers * subset, digits=digits)
         dlt = G.svm_mean_delta(fr, lam)
         w = G.apply_delta(w, dlt, lr, value="d")
         if s < steps - 1:
@@ -62,13 +62,13 @@ def _final(g: DataFrame, w: list[float], lr: float, scale: float) -> DataFrame:
 
 
 def dense_steps(points: DataFrame, dim: int, steps: int, batch: int, seed: int, lr: float, lam: float,
-                w0: list[float] | None = None) -> DataFrame:
+                w0: list[float] | None = None, digits: int | None = None) -> DataFrame:
     """M5: mini-batch SGD with the dense_l2 rule; w <- w - lr * sum(g)/batch."""
     w = list(w0) if w0 is not None else [0.0] * dim
     n_rows = points.count()
     for s in range(steps):
         b = SP.sample_exact(points, batch, seed, s, n_rows=n_rows)
-        g = G.dense_l2_gradient(G.dense_rows(b, w), w, lam)
+        g = G.dense_l2_gradient(G.dense_rows(b, w, digits=digits), w, lam)
         if s == steps - 1:
             return _final(g, w, lr, batch)
         got = {r["i"]: r["g"] for r in g.collect()}          # dim numbers
@@ -76,11 +76,11 @@ def dense_steps(points: DataFrame, dim: int, steps: int, batch: int, seed: int,
     raise ValueError("steps must be >= 1")
 
 
-def logistic_steps(points: DataFrame, w0: list[float], steps: int) -> DataFrame:
+def logistic_steps(points: DataFrame, w0: list[float], steps: int, digits: int | None = None) -> DataFrame:
     """M6: full-batch logistic regression, step size 1: w <- w - sum(g)."""
     w = list(w0)
     for s in range(steps):
-        g = G.logistic_gradient(G.dense_rows(points, w))
+        g = G.logistic_gradient(G.dense_rows(points, w, digits=digits))
         if s == steps - 1:
             return _final(g, w, 1.0, 1.0)
         got = {r["i"]: r["g"] for r in g.collect()}

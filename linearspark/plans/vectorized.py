@@ -83,7 +83,8 @@ def margin_udf(spark, w: np.ndarray):
     return margin
 
 
-def vector_hinge_gradient(batch: DataFrame, w: np.ndarray, lr: float, reg: float, bw=None) -> DataFrame:
+def vector_hinge_gradient(batch: DataFrame, w: np.ndarray, lr: float, reg: float, bw=None,
+                          digits: int | None = None) -> DataFrame:
     """(k, g): hinge_sq rule summed over ``batch`` (one partial vector per
     task); the extra row k = -1 carries the number of batch rows.  ``bw`` is
     an existing broadcast of ``w`` (the caller then releases it)."""
@@ -101,7 +102,8 @@ def vector_hinge_gradient(batch: DataFrame, w: np.ndarray, lr: float, reg: float
             if len(ks) == 0:
                 continue
             wk = _lookup(wv, ks)
-            m = np.round(np.bincount(rows, weights=vs * wk, minlength=len(pdf)), 9)
+            m = np.bincount(rows, weights=vs * wk, minlength=len(pdf))
+            m = m if digits is None else np.round(m, digits)
             y = pdf["y"].to_numpy().astype(float)
             supp = (y * m < 1)[rows]
             contrib = lr * np.where(supp, -vs * y[rows], 0.0) + wk * wk * reg
@@ -137,7 +139,7 @@ def jvm_hinge_gradient(batch: DataFrame, w: np.ndarray, lr: float, reg: float) -
     """(k, g) of the hinge_sq rule plus a (-1, rows) row: JVM-side."""
     wl = _wlit(w)
     m = F.aggregate(F.zip_with("idx", "val", lambda k, v: v * _wk(wl, k)), F.lit(0.0), lambda a, b: a + b)
-    rows = batch.select("y", F.round(m, 9).alias("m"), F.arrays_zip("idx", "val").alias("e"))
+    rows = batch.select("y", m.alias("m"), F.arrays_zip("idx", "val").alias("e"))
     e = rows.select("y", "m", F.explode("e").alias("e")).select("y", "m", F.col("e.idx").alias("k"),
                                                                 F.col("e.val").alias("v"))
     wk = _wk(wl, F.col("k"))
@@ -178,7 +180,7 @@ def _stats_rows(packed: DataFrame, w: np.ndarray) -> DataFrame:
 
 def train_hinge(ex: DataFrame, feats: DataFrame, dim: int, steps: int, batch: int, seed: int, lr: float,
                 reg: float, val: DataFrame | None = None, persistence: int | None = None,
-                checkpoint_every: int = 0):
+                checkpoint_every: int = 0, digits: int | None = None):
     """M1 / M7 driver loop in vectorized form.
 
     Returns (w, history) where history has one (step, objective, accuracy)
@@ -202,7 +204,7 @@ def train_hinge(ex: DataFrame, feats: DataFrame, dim: int, steps: int, batch: in
             jobs = []
             bw = sc.broadcast(np.asarray(w, dtype=float)) if s < steps else None
             if s < steps:
-                jobs.append(grad_fn(SP.top_n(SP.with_hash(packed, seed, s), batch, n_rows), w, lr, reg, bw=bw))
+                jobs.append(grad_fn(SP.top_n(SP.with_hash(packed, seed, s), batch, n_rows), w, lr, reg, bw=bw, digits=digits))
             if vpacked is not None and s > 0:
                 jobs.append(_stats_rows(vpacked, w))
             if not jobs:
@@ -225,7 +227,7 @@ def train_hinge(ex: DataFrame, feats: DataFrame, dim: int, steps: int, batch: in
                 # the hash pre-filter kept fewer than batch rows: exact cutoff
                 b = SP.flag_first_n(SP.with_hash(packed, seed, s), batch, bits=SP.balanced_bits(n_rows)).filter(
                     "_in").drop("_in")
-                got = {int(r["k"]): r["g"] for r in grad_fn(b, w, lr, reg, bw=bw).collect()}
+                got = {int(r["k"]): r["g"] for r in grad_fn(b, w, lr, reg, bw=bw, digits=digits).collect()}
                 got.pop(-1, None)
                 if bw is not None:
                     bw.destroy()

@@ -49,7 +49,7 @@ def parse_label_first_lines(spark, sf_dir):
 
 
 @query("parse_dense_points", with_(POINTS) +
-       "SELECT id, y, CAST(i - 1 AS INTEGER) AS i, x[i] AS x FROM pt, range(1, 11) r(i)")
+       "SELECT id, y, CAST(i - 1 AS INTEGER) AS i, x[i] AS x FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM pt)")
 def parse_dense_points(spark, sf_dir):
     p = T.points(spark, sf_dir)
     # every other line uses commas, like the reference's mixed input

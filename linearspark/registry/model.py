@@ -12,8 +12,8 @@ from linearspark.operators import losses as L
 from linearspark.operators import sampling as SP
 from linearspark.plans import evaluate as EV
 from linearspark.plans import steps as ST
-from linearspark.registry.base import (DELTAS, EX_DOCS, EX_ORDERS, FEAT_DOCS, FEAT_ORDERS, POINTS, fixed_w, h,
-                                       query, r6, r9, with_)
+from linearspark.registry.base import (DELTAS, EX_DOCS, EX_ORDERS, FEAT_DOCS, FEAT_ORDERS, MARGIN_DIGITS, POINTS,
+                                       fixed_w, h, query, r6, r9, with_)
 from linearspark.session import materialize
 from linearspark.sources import tables as T
 
@@ -25,7 +25,6 @@ LR_SVM = 0.03 * (100 / 100) / 4   # 0.03 * (100 / subset) / n_workers, 4 workers
 LAM_DENSE = 1e-3
 LR_DENSE = 0.1
 DELTA_SCALE = 0.01
-DENSE_DIM = 10
 BATCH = 1500
 SEED = 1
 DENSE_BATCH = 50
@@ -57,7 +56,7 @@ def _orders(spark, sf_dir):
 def _order_margins(spark, sf_dir):
     ex, feats, w = _orders(spark, sf_dir)
     m = FT.labelled_margins(ex, feats, w)
-    return m.select("id", "y", stable_margin("m").alias("m"))
+    return m.select("id", "y", stable_margin("m", MARGIN_DIGITS).alias("m"))
 
 
 @query("sparse_margin", with_(*MG_ORDERS) + f"SELECT id, y, {r6('m')} AS m FROM mg")
@@ -65,13 +64,25 @@ def sparse_margin(spark, sf_dir):
     return _order_margins(spark, sf_dir).select("id", "y", out("m").alias("m"))
 
 
-W10 = FT.fixed_dense_weights(DENSE_DIM)
-DOT10 = " + ".join(f"x[{i + 1}] * {d(w)}" for i, w in enumerate(W10))
-PT_MARGIN = [POINTS, f"pm AS (SELECT id, y, x, {r9(DOT10)} AS m FROM pt)"]
+# fixed dense weights, as long as the row's vector
+FIXED_WL = f"[{fixed_w('i')} for i in range(len(x))]"
+DOT = "list_dot_product(x, wl)"
+PT_MARGIN = [POINTS, f"pm AS (SELECT id, y, x, wl, {r9(DOT)} AS m FROM (SELECT *, {FIXED_WL} AS wl FROM pt))"]
+
+
+def by_slot(source: str) -> str:
+    """Rows of ``source`` once per coordinate ``i`` (from 1)."""
+    return f"(SELECT *, unnest(range(1, len(x) + 1)) AS i FROM {source})"
+
+
+def _fixed_points(spark, sf_dir):
+    points = T.points(spark, sf_dir)
+    return points, FT.fixed_dense_weights(T.point_dim(points))
 
 
 def _point_margins(spark, sf_dir):
-    return G.dense_rows(T.points(spark, sf_dir), W10)
+    points, w = _fixed_points(spark, sf_dir)
+    return G.dense_rows(points, w, digits=MARGIN_DIGITS)
 
 
 @query("dense_dot", with_(*PT_MARGIN) + f"SELECT id, y, {r6('m')} AS m FROM pm")
@@ -105,7 +116,7 @@ SELECT id, y, {r6('m')} AS m, CAST(sign(m) AS INTEGER) AS pred_sign,
        CAST(CASE WHEN m > 0 THEN 1 ELSE -1 END AS INTEGER) AS pred_threshold FROM mg""")
 def score_all(spark, sf_dir):
     ex, feats, w = _orders(spark, sf_dir)
-    s = EV.score_all(ex, feats, w)
+    s = EV.score_all(ex, feats, w, digits=MARGIN_DIGITS)
     return s.select("id", "y", out("m").alias("m"), "pred_sign", "pred_threshold")
 
 
@@ -116,7 +127,7 @@ SELECT k, ({r9(f"sum({d(LR_HINGE)} * CASE WHEN y * m < 1 THEN -v * y ELSE 0 END
 FROM rw GROUP BY k""")
 def hinge_gradient(spark, sf_dir):
     ex, feats, w = _orders(spark, sf_dir)
-    fr = L.feature_rows(ex, feats, w)
+    fr = L.feature_rows(ex, feats, w, digits=MARGIN_DIGITS)
     # exact values lie on a 1e-8 grid: report 9 places so that no value sits
     # on a rounding boundary
     return G.hinge_sq_gradient(fr, LR_HINGE, REG_HINGE).select("k", out("g", 9).alias("g"))
@@ -128,20 +139,18 @@ SVM_D = f"CASE WHEN y * m < 1 THEN v * y - {d(2 * LAM_SVM)} * sw / nnz ELSE {d(2
 @query("svm_delta", with_(*ROWS_ORDERS) + f"SELECT k, {r6(f'sum({SVM_D})')} AS d FROM rw GROUP BY k")
 def svm_delta(spark, sf_dir):
     ex, feats, w = _orders(spark, sf_dir)
-    fr = L.feature_rows(ex, feats, w)
+    fr = L.feature_rows(ex, feats, w, digits=MARGIN_DIGITS)
     return G.svm_mean_delta(fr, LAM_SVM).select("k", out("d").alias("d"))
 
 
-W10_LIST = "[" + ", ".join(d(w) for w in W10) + "]"
-
-
 @query("dense_gradient", with_(*PT_MARGIN) + f"""
 SELECT CAST(i - 1 AS INTEGER) AS i,
-       {r6(f"sum(CASE WHEN y * m < 1 THEN -x[i] * y ELSE 0 END + {d(LAM_DENSE)} * ({W10_LIST})[i])")} AS g,
+       {r6(f"sum(CASE WHEN y * m < 1 THEN -x[i] * y ELSE 0 END + {d(LAM_DENSE)} * wl[i])")} AS g,
        count(*) AS n
-FROM pm, range(1, {DENSE_DIM + 1}) r(i) GROUP BY i""")
+FROM {by_slot("pm")} GROUP BY i""")
 def dense_gradient(spark, sf_dir):
-    g = G.dense_l2_gradient(_point_margins(spark, sf_dir), W10, LAM_DENSE)
+    points, w = _fixed_points(spark, sf_dir)
+    g = G.dense_l2_gradient(G.dense_rows(points, w, digits=MARGIN_DIGITS), w, LAM_DENSE)
     return g.select("i", out("g").alias("g"), "n")
 
 
@@ -150,7 +159,7 @@ LOGF = "((1 / (1 + exp(-y * m)) - 1) * y)"
 
 @query("logistic_gradient", with_(*PT_MARGIN) + f"""
 SELECT CAST(i - 1 AS INTEGER) AS i, {r6(f'sum({LOGF} * x[i])')} AS g
-FROM pm, range(1, {DENSE_DIM + 1}) r(i) GROUP BY i""")
+FROM {by_slot("pm")} GROUP BY i""")
 def logistic_gradient(spark, sf_dir):
     return G.logistic_gradient(_point_margins(spark, sf_dir)).select("i", out("g").alias("g"))
 
@@ -160,7 +169,7 @@ def logistic_gradient(spark, sf_dir):
 @query("svm_loss", with_(*MG_ORDERS) + f"SELECT {r6(f'avg({HINGE_SQL} + {d(LAM_SVM)} * sw2 / nnz)')} AS loss FROM mg")
 def svm_loss(spark, sf_dir):
     ex, feats, w = _orders(spark, sf_dir)
-    return L.svm_loss(L.example_stats(ex, feats, w), LAM_SVM).select(out("loss").alias("loss"))
+    return L.svm_loss(L.example_stats(ex, feats, w, digits=MARGIN_DIGITS), LAM_SVM).select(out("loss").alias("loss"))
 
 
 @query("primal_objective", with_(*MG_ORDERS) + f"""
@@ -194,7 +203,7 @@ def class_accuracy(spark, sf_dir):
     feats = T.feat_docs(spark, sf_dir, ids=ex)          # tokenise labelled documents only
     keys = T.doc_weights_universe(spark)
     w = keys.select("k", fixed_weight("k").alias("w"))
-    m = FT.labelled_margins(ex, feats, w, n_weights=T.DOC_BUCKETS + 1).select("id", "y", stable_margin("m").alias("m"))
+    m = FT.labelled_margins(ex, feats, w, n_weights=T.DOC_BUCKETS + 1).select("id", "y", stable_margin("m", MARGIN_DIGITS).alias("m"))
     return L.class_accuracy(m).select(*[out(c).alias(c) for c in ("acc_pos", "acc_neg", "acc_tot")])
 
 
@@ -214,7 +223,7 @@ FROM mg JOIN tagged USING (id) GROUP BY split""")
 def evaluation_report(spark, sf_dir):
     ex, feats, w = _orders(spark, sf_dir)
     tagged = EV.tag_splits(ex, ratio=0.9, seed=SEED, holdout=0.1, holdout_seed=7)   # cuts lineage inside
-    r = EV.evaluation_report(tagged, feats, w, LAM_SVM)
+    r = EV.evaluation_report(tagged, feats, w, LAM_SVM, digits=MARGIN_DIGITS)
     return r.select("split", *[out(c).alias(c) for c in ("acc_pos", "acc_neg", "acc_tot", "loss")], "n")
 
 
@@ -243,7 +252,8 @@ SELECT v.step, v.val_objective, t.train_acc, v.val_acc FROM
 def step_metrics(spark, sf_dir):
     ex, feats, w = _orders(spark, sf_dir)
     parts = materialize(SP.ratio_split(ex, 0.9, seed=SEED, label="part"))
-    m = EV.step_metrics(parts, feats, w, steps=STEPS, batch=STEP_BATCH, seed=SEED, reg=REG_HINGE)
+    m = EV.step_metrics(parts, feats, w, steps=STEPS, batch=STEP_BATCH, seed=SEED, reg=REG_HINGE,
+                        digits=MARGIN_DIGITS)
     return m.select("step", *[out(c).alias(c) for c in ("val_objective", "train_acc", "val_acc")])
 
 
@@ -304,7 +314,8 @@ def _hinge_step_sql(prev: str | None, step: int, out_name: str) -> list[str]:
                                   *_hinge_step_sql("w1", 1, "w2")) + f"SELECT k, {r6('w')} AS w FROM w2")
 def train_hinge_2step(spark, sf_dir):
     ex, feats = T.ex_orders(spark, sf_dir), T.feat_orders(spark, sf_dir)
-    w = ST.hinge_steps(ex, feats, steps=2, batch=BATCH, seed=SEED, lr=LR_HINGE, reg=REG_HINGE)
+    w = ST.hinge_steps(ex, feats, steps=2, batch=BATCH, seed=SEED, lr=LR_HINGE, reg=REG_HINGE,
+                       digits=MARGIN_DIGITS)
     return w.select("k", out("w").alias("w"))
 
 
@@ -334,45 +345,45 @@ def _svm_step_sql(prev: str | None, step: int, out_name: str) -> list[str]:
 def train_svm_sync_2step(spark, sf_dir):
     ex, feats = T.ex_orders(spark, sf_dir), T.feat_orders(spark, sf_dir)
     w = ST.svm_sync_steps(ex, feats, steps=2, workers=SYNC_WORKERS, subset=SYNC_SUBSET, seed=SEED,
-                          lr=LR_SVM, lam=LAM_SVM)
+                          lr=LR_SVM, lam=LAM_SVM, digits=MARGIN_DIGITS)
     return w.select("k", out("w").alias("w"))
 
 
 def _dense_step_sql(prev: str | None, step: int, out_name: str) -> list[str]:
     s = f"d{step}"
-    wl = f"(SELECT list(w ORDER BY i) FROM {prev})" if prev else "[" + ", ".join(["CAST(0 AS DOUBLE)"] * DENSE_DIM) + "]"
-    dot = " + ".join(f"x[{i + 1}] * wl[{i + 1}]" for i in range(DENSE_DIM))
+    wl = f"(SELECT list(w ORDER BY i) FROM {prev})" if prev else "[CAST(0 AS DOUBLE) for v in x]"
     return [
         f"""b{s} AS (SELECT id, y, x, {wl} AS wl FROM pt ORDER BY {h(DENSE_SEED, str(step), 'id')}, id LIMIT {DENSE_BATCH})""",
-        f"m{s} AS (SELECT id, y, x, wl, {r9(dot)} AS m FROM b{s})",
+        f"m{s} AS (SELECT id, y, x, wl, {r9(DOT)} AS m FROM b{s})",
         f"""{out_name} AS (SELECT CAST(i - 1 AS INTEGER) AS i,
                   any_value(wl[i]) - {d(LR_DENSE)} * sum(CASE WHEN y * m < 1 THEN -x[i] * y ELSE 0 END
                                                           + {d(LAM_DENSE)} * wl[i]) / {DENSE_BATCH} AS w
-                  FROM m{s}, range(1, {DENSE_DIM + 1}) r(i) GROUP BY i)""",
+                  FROM {by_slot(f"m{s}")} GROUP BY i)""",
     ]
 
 
 @query("train_dense_2step", with_(POINTS, *_dense_step_sql(None, 0, "w1"), *_dense_step_sql("w1", 1, "w2")) +
        f"SELECT i, {r6('w')} AS w FROM w2")
 def train_dense_2step(spark, sf_dir):
-    w = ST.dense_steps(T.points(spark, sf_dir), DENSE_DIM, steps=2, batch=DENSE_BATCH, seed=DENSE_SEED,
-                       lr=LR_DENSE, lam=LAM_DENSE)
+    points = T.points(spark, sf_dir)
+    w = ST.dense_steps(points, T.point_dim(points), steps=2, batch=DENSE_BATCH, seed=DENSE_SEED,
+                       lr=LR_DENSE, lam=LAM_DENSE, digits=MARGIN_DIGITS)
     return w.select("i", out("w").alias("w"))
 
 
 def _logistic_step_sql(prev: str | None, step: int, out_name: str) -> list[str]:
     s = f"l{step}"
-    wl = f"(SELECT list(w ORDER BY i) FROM {prev})" if prev else W10_LIST
-    dot = " + ".join(f"x[{i + 1}] * wl[{i + 1}]" for i in range(DENSE_DIM))
+    wl = f"(SELECT list(w ORDER BY i) FROM {prev})" if prev else FIXED_WL
     return [
-        f"m{s} AS (SELECT y, x, wl, {r9(dot)} AS m FROM (SELECT y, x, {wl} AS wl FROM pt))",
+        f"m{s} AS (SELECT y, x, wl, {r9(DOT)} AS m FROM (SELECT y, x, {wl} AS wl FROM pt))",
         f"""{out_name} AS (SELECT CAST(i - 1 AS INTEGER) AS i, any_value(wl[i]) - sum({LOGF} * x[i]) AS w
-                  FROM m{s}, range(1, {DENSE_DIM + 1}) r(i) GROUP BY i)""",
+                  FROM {by_slot(f"m{s}")} GROUP BY i)""",
     ]
 
 
 @query("train_logistic_2step", with_(POINTS, *_logistic_step_sql(None, 0, "w1"), *_logistic_step_sql("w1", 1, "w2")) +
        f"SELECT i, {r6('w')} AS w FROM w2")
 def train_logistic_2step(spark, sf_dir):
-    w = ST.logistic_steps(T.points(spark, sf_dir), W10, steps=2)
+    points, w0 = _fixed_points(spark, sf_dir)
+    w = ST.logistic_steps(points, w0, steps=2, digits=MARGIN_DIGITS)
     return w.select("i", out("w").alias("w"))

@@ -13,7 +13,7 @@ from linearspark.operators import sampling as SP
 from linearspark.operators import series as SE
 from linearspark.plans import local_sgd as LS
 from linearspark.plans import vectorized as VZ
-from linearspark.registry.base import DELTAS, EX_ORDERS, FEAT_ORDERS, LOSS_EVENTS, h, query, r6, r9, with_
+from linearspark.registry.base import DELTAS, EX_ORDERS, FEAT_ORDERS, LOSS_EVENTS, MARGIN_DIGITS, h, query, r6, r9, with_
 from linearspark.registry.model import LAM_SVM, LR_HINGE, LR_SVM, REG_HINGE
 from linearspark.session import materialize
 from linearspark.sources import tables as T
@@ -192,7 +192,7 @@ def train_early_stop(spark, sf_dir):
     train = parts.filter(F.col("part") == "train").select("id", "y")
     val = parts.filter(F.col("part") == "test").select("id", "y")
     w, hist = VZ.train_hinge(train, feats, dim, EARLY_STEPS, 1500, seed=1, lr=LR_HINGE, reg=REG_HINGE,
-                             val=val, persistence=STOP_P)
+                             val=val, persistence=STOP_P, digits=MARGIN_DIGITS)
     h = spark.createDataFrame([(int(s), float(o), float(a)) for s, o, a in hist],
                               "step long, val_objective double, val_acc double")
     return h.select("step", out("val_objective").alias("val_objective"), out("val_acc").alias("val_acc"))

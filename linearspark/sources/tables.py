@@ -13,7 +13,7 @@ feat_docs      (id, k, v)       tokens of documents.text hashed to 1 + md5
                                 bucket, v = count / tokens in the document,
                                 plus bias
 topics         (topic, doc_id)  events: event_type, event_id div 4
-points         (id, y, x)       embeddings: first 10 floats, y = +1 if label < 5
+points         (id, y, x)       embeddings: the whole vector, y = +1 if label < 5
 loss_events    (worker_idx, event_id, loss, ts)   events: user_id % 4, value
 deltas         (worker, k, d)   lineitem: l_linenumber, l_suppkey + 1,
                                 l_discount - l_tax
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 DOC_BUCKETS = 1024          # hash buckets for document tokens
 TOKEN_SPLIT = "[ \t\n\r]+"  # token separator of documents.text
 N_LOSS_WORKERS = 4          # loss_events.worker_idx = user_id % 4
-POINT_DIM = 10              # dense points keep the first 10 coordinates
 
 
 def few_splits(scan: DataFrame) -> bool:
@@ -118,10 +117,15 @@ def points(spark, sf_dir) -> DataFrame:
     return emb.select(
         F.col("vec_id").alias("id"),
         F.when(F.col("label") < 5, 1.0).otherwise(-1.0).alias("y"),
-        F.slice("embedding", 1, POINT_DIM).cast("array<double>").alias("x"),
+        F.col("embedding").cast("array<double>").alias("x"),
     )
 
 
+def point_dim(points: DataFrame) -> int:
+    """Coordinates of the longest point (one row reaches the driver)."""
+    return points.agg(F.max(F.size("x"))).first()[0] or 0
+
+
 def loss_events(spark, sf_dir) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.select(
