@@ -6,7 +6,6 @@ from linearspark.functions.columns import (  # noqa: F401
     hinge,
     is_support,
     logistic_factor,
-    md5_bucket,
     out,
     pct_text,
     predict_sign,

@@ -89,11 +89,6 @@ def hash_prefix(h, bits: int) -> Column:
     return F.shiftright(v, nhex * 4 - bits) if nhex * 4 != bits else v
 
 
-def md5_bucket(c, n_buckets: int) -> Column:
-    """First 32 bits of md5(text) modulo ``n_buckets``."""
-    return F.pmod(F.conv(F.substring(F.md5(col(c)), 1, 8), 16, 10).cast("long"), F.lit(n_buckets))
-
-
 def _wall(ts) -> Column:
     """Wall-clock text of a timestamp without time-zone conversion (a
     TIMESTAMP_NTZ casts to text as is; the fraction has no trailing zeros)."""

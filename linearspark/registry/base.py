@@ -47,7 +47,7 @@ FEAT_DOCS = r"""toks0 AS (
 toks AS (SELECT id, tok, count(*) OVER (PARTITION BY id) AS n FROM toks0 WHERE tok <> ''),
 fd AS (
     SELECT id, k, c / n AS v FROM (
-        SELECT id, CAST(('0x' || substr(md5(tok), 1, 8))::UBIGINT % 1024 AS BIGINT) + 1 AS k, n,
+        SELECT id, CAST(('0x' || substr(md5(tok), 1, 12))::UBIGINT AS BIGINT) + 1 AS k, n,
                count(*) AS c
         FROM toks GROUP BY ALL)
     UNION ALL

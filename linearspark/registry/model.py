@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linearspark.functions import fixed_weight, hinge, out, predict_sign, predict_threshold, stable_margin
+from linearspark.functions import hinge, out, predict_sign, predict_threshold, stable_margin
 from linearspark.operators import features as FT
 from linearspark.operators import gradients as G
 from linearspark.operators import losses as L
@@ -200,10 +200,9 @@ MG_DOCS = [EX_DOCS, FEAT_DOCS, f"fwd AS (SELECT DISTINCT k, {fixed_w('k')} AS w
 @query("class_accuracy", with_(*MG_DOCS) + f"SELECT {CLASS_ACC_COLS} FROM mgd")
 def class_accuracy(spark, sf_dir):
     ex = T.ex_docs(spark, sf_dir)
-    feats = T.feat_docs(spark, sf_dir, ids=ex)          # tokenise labelled documents only
-    keys = T.doc_weights_universe(spark)
-    w = keys.select("k", fixed_weight("k").alias("w"))
-    m = FT.labelled_margins(ex, feats, w, n_weights=T.DOC_BUCKETS + 1).select("id", "y", stable_margin("m", MARGIN_DIGITS).alias("m"))
+    # labelled documents only, tokenised once: the weights read the table
+    feats = materialize(T.feat_docs(spark, sf_dir, ids=ex))
+    m = FT.labelled_margins(ex, feats, FT.fixed_weights(feats)).select("id", "y", stable_margin("m", MARGIN_DIGITS).alias("m"))
     return L.class_accuracy(m).select(*[out(c).alias(c) for c in ("acc_pos", "acc_neg", "acc_tot")])
 
 

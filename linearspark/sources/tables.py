@@ -9,9 +9,9 @@ ex_orders      (id, y)          y = +1 if o_orderstatus = 'F' else -1
 feat_orders    (id, k, v)       per order and supplier k = l_suppkey + 1,
                                 v = sum(l_quantity) / 50, plus bias (id, 0, 1.0)
 ex_docs        (id, y)          labels.quality -> +1 / -1
-feat_docs      (id, k, v)       tokens of documents.text hashed to 1 + md5
-                                bucket, v = count / tokens in the document,
-                                plus bias
+feat_docs      (id, k, v)       tokens of documents.text, k = 1 + leading
+                                48 bits of the md5, v = count / tokens in
+                                the document, plus bias
 topics         (topic, doc_id)  events: event_type, event_id div 4
 points         (id, y, x)       embeddings: the whole vector, y = +1 if label < 5
 loss_events    (worker_idx, event_id, loss, ts)   events: user_id % 4, value
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed parameters of the derived datasets.
-DOC_BUCKETS = 1024          # hash buckets for document tokens
+TOKEN_HEX = 12              # hex digits of a token's md5 in its key: 48 bits
 TOKEN_SPLIT = "[ \t\n\r]+"  # token separator of documents.text
 N_LOSS_WORKERS = 4          # loss_events.worker_idx = user_id % 4
 
@@ -70,11 +70,6 @@ def feat_orders(spark, sf_dir) -> DataFrame:
     return lines.unionByName(bias)
 
 
-def doc_weights_universe(spark) -> DataFrame:
-    """Every key feat_docs can produce: the bias and the hash buckets."""
-    return spark.range(0, DOC_BUCKETS + 1).select(F.col("id").alias("k"))
-
-
 def ex_docs(spark, sf_dir) -> DataFrame:
     lab = table(spark, sf_dir, "labels")
     return lab.select(
@@ -97,7 +92,7 @@ def feat_docs(spark, sf_dir, ids: DataFrame | None = None) -> DataFrame:
         F.col("doc_id").alias("id"),
         F.filter(F.split("text", TOKEN_SPLIT), lambda t: t != "").alias("toks"),
     ).select("id", F.size("toks").alias("n"), F.explode("toks").alias("tok"))
-    k = (F.pmod(F.conv(F.substring(F.md5("tok"), 1, 8), 16, 10).cast("long"), F.lit(DOC_BUCKETS)) + 1)
+    k = F.conv(F.substring(F.md5("tok"), 1, TOKEN_HEX), 16, 10).cast("long") + 1
     counts = toks.groupBy("id", k.alias("k"), "n").agg(F.count(F.lit(1)).alias("c"))
     feats = counts.select("id", "k", (F.col("c") / F.col("n")).alias("v"))
     bias = docs.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("k"), F.lit(1.0).alias("v"))

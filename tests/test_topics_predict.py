@@ -3,10 +3,12 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from linearspark.functions import hinge, is_support, predict_sign, predict_threshold
+from linearspark.functions import hinge, is_support, out, predict_sign, predict_threshold
 from linearspark.operators import features as FT
+from linearspark.operators import gradients
 from linearspark.operators import losses as L
 from linearspark.operators.topics import topic_label, topics_per_doc
+from linearspark.sources import tables
 
 
 def test_topic_label_missing_and_duplicates(spark):
@@ -61,3 +63,24 @@ def test_ts_text_whole_seconds(spark):
     from linearspark.functions import ts_text
     r = spark.sql("SELECT TIMESTAMP_NTZ'1995-01-02 00:00:00' AS t").select(ts_text("t").alias("f")).first()
     assert r.f == "1995-01-02 00:00:00.000000"
+
+
+def test_margins_are_compared_raw_unless_digits_are_asked_for(spark):
+    points = spark.createDataFrame([(1, 1.0, [4e-10, 0.0]), (2, 1.0, [1e11, 1.0])], "id long, y double, x array<double>")
+    raw = {r["id"]: r["m"] for r in gradients.dense_rows(points, [1.0, 0.0]).collect()}
+    assert raw == {1: 4e-10, 2: 1e11}
+    near = gradients.dense_rows(points, [1.0, 0.0], digits=9).select("id", predict_threshold("m").alias("p")).collect()
+    assert {r["id"]: r["p"] for r in near} == {1: -1, 2: 1}
+
+
+def test_reported_doubles_do_not_saturate(spark):
+    row = spark.createDataFrame([(1e13, -1e300)], "a double, b double").select(out("a").alias("a"), out("b").alias("b")).first()
+    assert (row["a"], row["b"]) == (1e13, -1e300)
+
+
+def test_points_keep_every_coordinate(spark, tmp_path):
+    spark.createDataFrame([(1, [float(i) for i in range(64)], 3), (2, [1.0], 7)],
+                          "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    points = tables.points(spark, str(tmp_path))
+    assert {r["id"]: len(r["x"]) for r in points.collect()} == {1: 64, 2: 1}
+    assert tables.point_dim(points) == 64
