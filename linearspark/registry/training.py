@@ -136,7 +136,7 @@ SELECT k, {r6('sum(x)')} AS w FROM (
     SELECT unnest(range(len(w))) AS k, unnest(w) AS x FROM it WHERE rn = {n}) WHERE x <> 0 GROUP BY k"""
 
 
-@query("train_independent", _independent_sql())
+@query("train_independent", small_sql=_independent_sql())
 def train_independent(spark, sf_dir):
     ex, feats = T.ex_orders(spark, sf_dir), T.feat_orders(spark, sf_dir)
     packed = LS.packed_examples(ex, feats).persist(StorageLevel.MEMORY_AND_DISK)

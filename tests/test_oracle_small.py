@@ -5,7 +5,9 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from linearspark.registry import SMALL_ORACLE
 
+SQL = E.oracle_sql() | SMALL_ORACLE
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -25,16 +27,18 @@ def _norm(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, con, name):
     from linearspark.operators.sampling import SampleTooLarge
     try:
         sdf = E.queries()[name](spark, SF_SMALL)
-    except SampleTooLarge as e:          # the query's batch is larger than the tiny fixture
+    except SampleTooLarge as e:          # this query's batch is larger than the tiny fixture
+        if name != "train_early_stop":
+            raise
         pytest.skip(f"{name}: {e}")
     cols = sorted(sdf.columns)
     srows = _norm(sdf.select(*cols).collect())
-    res = con.execute(E.oracle_sql()[name])
+    res = con.execute(SQL[name])
     dcols = [d[0] for d in res.description]
     assert sorted(dcols) == cols
     drows = res.fetchall()
