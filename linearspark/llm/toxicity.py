@@ -1,13 +1,16 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
-A text is read in windows of ``WINDOW_WORDS`` words.  A window is the bag of the
-character n-grams of its words (with their borders), hashed to buckets; the
-mean of the buckets' embeddings goes through a linear softmax with two classes.
+A text is read in windows of about ``WINDOW_WORDS`` words, equally long to a
+word; signs at both ends of a word go.  A window is the bag of the character
+n-grams of its words (with their borders), hashed to buckets and filled up to
+``LEAST_GRAMS`` with empty ones, so that a few n-grams alone, or one short word
+said again and again, do not decide; the mean of the buckets' embeddings goes
+through a linear softmax with two classes.
 Embeddings and softmax are trained jointly in numpy.  Only documents carry
 labels, so windows start with the label of their document.  In each round, each
 half of the documents is judged by a model of the other half, and the windows
 of toxic documents that do not stand out among those of clean documents become
-clean ones.  The score of a text is that of its highest window, through a
+clean ones.  The score of a text is that of its two highest windows, through a
 logistic curve fitted on those judgements.
 
 Training data are a bounded sample, ``MAX_DOCS`` labelled documents of each
@@ -31,6 +34,8 @@ BUCKETS = 1 << 16
 DIM = 8
 GRAMS = (3, 4, 5)
 WINDOW_WORDS = 8
+LEAST_GRAMS = 60
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘’…–—"
 MAX_DOCS = 1000
 MAX_WINDOWS = 96
 THRESHOLD = 0.7
@@ -44,11 +49,16 @@ CLEAN_SHARE = 0.995           # of the windows of clean documents lie below the
 class Model:
     weights: np.ndarray   # per bucket: its embedding times the difference of the two class vectors
     bias: float
-    slope: float          # logistic curve from a document's highest window to its score
+    slope: np.ndarray     # logistic curve from a document's two highest windows to its score
     offset: float
 
     def score(self, highest: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * highest + self.offset, -30, 30)))
+        return 1.0 / (1.0 + np.exp(-np.clip(highest @ self.slope + self.offset, -30, 30)))
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-case words without the signs at their ends; words of signs alone go."""
+    return [w for w in (part.strip(SIGNS) for part in text.lower().split()) if w]
 
 
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,7 +66,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     all texts; a text without words has no window."""
     parts, n_words = [], []
     for text in texts:
-        found = text.lower().split()
+        found = words_of(text)
         n_words.append(len(found))
         if found:
             parts.append(" " + " ".join(found) + " ")
@@ -72,7 +82,8 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     full = n_words > 0
     words = n_words[full]
     within = np.arange(words.sum()) - np.repeat(np.cumsum(words) - words, words)
-    window_of_word = np.repeat(first[:-1][full], words) + within // WINDOW_WORDS
+    share = np.repeat(np.diff(first)[full], words)
+    window_of_word = np.repeat(first[:-1][full], words) + within * share // np.repeat(words, words)
     word = np.cumsum(start) - 1
     buckets, windows = [], []
     for n in GRAMS:
@@ -103,10 +114,11 @@ def _train_windows(ids: list[np.ndarray], target: np.ndarray, rng, embed, out, b
         rate = RATE * (1 - epoch / epochs)
         for batch in np.array_split(rng.permutation(len(ids)), batches):
             size = np.array([len(ids[i]) for i in batch])
+            bag = np.maximum(size, LEAST_GRAMS)
             flat = np.concatenate([ids[i] for i in batch])
             owner = np.repeat(np.arange(len(batch)), size)
             at = np.concatenate([[0], np.cumsum(size)[:-1]])
-            mean = np.add.reduceat(embed.take(flat, axis=0), at, axis=0) / size[:, None]
+            mean = np.add.reduceat(embed.take(flat, axis=0), at, axis=0) / bag[:, None]
             logits = mean @ out + bias
             prob = np.exp(logits - logits.max(axis=1, keepdims=True))
             prob /= prob.sum(axis=1, keepdims=True)
@@ -114,7 +126,7 @@ def _train_windows(ids: list[np.ndarray], target: np.ndarray, rng, embed, out, b
             grad = prob.astype(np.float32)
             grad_out = mean.T @ grad
             # the two columns of ``grad`` are opposite, so a bucket's gradient is a multiple of one vector
-            pull = np.bincount(flat, weights=(grad[:, 1] / size)[owner], minlength=BUCKETS)
+            pull = np.bincount(flat, weights=(grad[:, 1] / bag)[owner], minlength=BUCKETS)
             bucket = np.flatnonzero(np.bincount(flat, minlength=BUCKETS) > 0)
             grad_embed = pull[bucket, None].astype(np.float32) * (out[:, 1] - out[:, 0])
             moved = embed.take(bucket, axis=0) - np.clip(rate * grad_embed, -0.5, 0.5)
@@ -127,7 +139,7 @@ def train(texts: list[str], labels: list[int], seed: int = 1, rounds: int = 3, s
     """Fit on labelled texts.  Without both classes every score is the share of toxic ones."""
     label = np.array(labels, dtype=np.int64)
     toxic = label.mean() if len(label) else 0.0
-    plain = Model(np.zeros(BUCKETS, dtype=np.float32), 0.0, 0.0, float(np.log((toxic + 1e-3) / (1 - toxic + 1e-3))))
+    plain = Model(np.zeros(BUCKETS, dtype=np.float32), 0.0, np.zeros(2), float(np.log((toxic + 1e-3) / (1 - toxic + 1e-3))))
     if not 0 < toxic < 1:
         return plain
     rng = np.random.default_rng(seed)
@@ -150,14 +162,14 @@ def train(texts: list[str], labels: list[int], seed: int = 1, rounds: int = 3, s
     for turn in range(rounds):
         for part in (0, 1):        # windows are judged by a model that has not seen their document
             weights, bias = _fit_windows([x for x, h in zip(ids, half) if h != part], target[half != part], rng, steps)
-            margin[half == part] = [weights[x].mean() + bias for x, h in zip(ids, half) if h == part]
+            margin[half == part] = [weights[x].sum() / max(len(x), LEAST_GRAMS) + bias for x, h in zip(ids, half) if h == part]
+        held, tops = two_highest(margin, doc)
         highest = np.full(len(label), -np.inf)
-        np.maximum.at(highest, doc, margin)
+        highest[held] = tops[:, 0]
         # a toxic document keeps its highest window and those that stand out among the clean documents' windows
         bar = np.quantile(margin[label[doc] == 0], CLEAN_SHARE)
         target = ((label[doc] == 1) & ((margin > bar) | (margin == highest[doc]))).astype(np.int64)
-    known = np.isfinite(highest)
-    slope, offset = _logistic(highest[known], label[known])
+    slope, offset = _logistic(tops, label[held])
     weights, bias = _fit_windows(ids, target, rng, steps)
     return Model(weights.astype(np.float32), bias, slope, offset)
 
@@ -172,31 +184,42 @@ def _fit_windows(ids: list[np.ndarray], target: np.ndarray, rng, steps: int) ->
     return embed @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Damped Newton fit of ``P(y = 1) = 1 / (1 + exp(-(a x + b)))`` with smoothed targets."""
+def two_highest(margin: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The owners in order, and the highest and second highest margin of each (of one alone: it, twice)."""
+    order = np.lexsort((margin, owner))
+    owners, size = np.unique(owner, return_counts=True)
+    last = np.cumsum(size) - 1
+    return owners, margin[order][np.stack([last, last - (size > 1)], axis=1)]
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[np.ndarray, float]:
+    """Damped Newton fit of ``P(y = 1) = 1 / (1 + exp(-(a x + b)))`` with smoothed
+    targets; ``a`` is never negative."""
     pos, neg = (y == 1).sum(), (y == 0).sum()
     goal = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    centre, scale = x.mean(), x.std() + 1e-9
-    z = np.stack([(x - centre) / scale, np.ones(len(x))])
-    w = np.array([1.0, 0.0])
+    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = np.concatenate([((x - centre) / scale).T, np.ones((1, len(x)))])
+    w = np.array([1.0] * x.shape[1] + [0.0])
+    ridge = np.array([1e-2] * x.shape[1] + [0.0])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(w @ z, -30, 30)))
-        hess = (z * (p * (1 - p))) @ z.T + np.eye(2) * 1e-2
-        w = w + np.clip(np.linalg.solve(hess, z @ (goal - p) - 1e-2 * w * [1, 0]), -2, 2)
-    slope = max(w[0], 1e-3) / scale
-    return float(slope), float(w[1] - slope * centre)
+        hess = (z * (p * (1 - p))) @ z.T + np.eye(len(w)) * 1e-2
+        w = w + np.clip(np.linalg.solve(hess, z @ (goal - p) - ridge * w), -2, 2)
+        w[:-1] = np.maximum(w[:-1], 0.0)
+    slope = w[:-1] / scale
+    return slope, float(w[-1] - slope @ centre)
 
 
 def highest_windows(texts: list[str], model: Model) -> np.ndarray:
-    """Margin of the highest window of each text (no words: that of an empty bag)."""
+    """Margins of the two highest windows of each text (no words: those of an empty bag)."""
     bucket, window, first = ngrams(texts)
-    out = np.full(len(texts), model.bias, dtype=np.float64)
+    out = np.full((len(texts), 2), model.bias, dtype=np.float64)
     if not first[-1]:
         return out
     total = np.bincount(window, weights=model.weights[bucket], minlength=first[-1])
-    margin = total / np.maximum(np.bincount(window, minlength=first[-1]), 1) + model.bias
-    full = np.nonzero(np.diff(first))[0]
-    out[full] = np.maximum.reduceat(margin, first[:-1][full])
+    margin = total / np.maximum(np.bincount(window, minlength=first[-1]), LEAST_GRAMS) + model.bias
+    full, out_full = two_highest(margin, np.repeat(np.arange(len(texts)), np.diff(first)))
+    out[full] = out_full
     return out
 
 
@@ -213,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
         """At most MAX_WINDOWS runs of words of each text, evenly spread."""
         texts = []
         for text in strings(batch, "text"):
-            found = text.split()
+            found = words_of(text)
             runs = [found[i:i + WINDOW_WORDS] for i in range(0, len(found), WINDOW_WORDS)]
             step = max(1, -(-len(runs) // MAX_WINDOWS))
             texts.append(" ".join(w for run in runs[::step] for w in run))
