@@ -8,6 +8,7 @@ from linearspark.functions import out
 from linearspark.operators import features as FT
 from linearspark.operators import sampling as SP
 from linearspark.registry.base import (EX_ORDERS, FEAT_ORDERS, POINTS, TOPICS, h, query, r6, with_)
+from linearspark.session import scratch_path
 from linearspark.sources import tables as T
 from linearspark.sources import text as TX
 
@@ -35,32 +36,58 @@ FO_LONG_SQL = with_(FEAT_ORDERS) + f"SELECT id, k, {r6('v')} AS v FROM fo"
 
 @query("parse_sparse_lines", FO_LONG_SQL)
 def parse_sparse_lines(spark, sf_dir):
-    parsed = TX.parse_sparse_lines(_order_lines(spark, sf_dir).select("line"))
+    parsed = TX.read_sparse_text(spark, TX.write_lines(_order_lines(spark, sf_dir), scratch_path(spark, "sparse-lines")))
     return TX.explode_sparse(parsed).select("id", "k", out("v").alias("v"))
 
 
+def _label_first_lines(spark, sf_dir):
+    lines = _order_lines(spark, sf_dir).join(T.ex_orders(spark, sf_dir), "id")
+    return lines.select("id", F.concat(F.col("y").cast("string"), F.lit(" "), F.col("body")).alias("line"))
+
+
 @query("parse_label_first_lines", with_(EX_ORDERS, FEAT_ORDERS) +
        f"SELECT f.id, CAST(e.y AS VARCHAR) AS label, f.k, {r6('f.v')} AS v FROM fo f JOIN ex e USING (id)")
 def parse_label_first_lines(spark, sf_dir):
-    lines = _order_lines(spark, sf_dir).join(T.ex_orders(spark, sf_dir), "id")
-    lines = lines.select("id", F.concat(F.col("y").cast("string"), F.lit(" "), F.col("body")).alias("line"))
-    parsed = TX.parse_label_first_lines(lines, keep=("id",))
+    parsed = TX.parse_label_first_lines(_label_first_lines(spark, sf_dir), keep=("id",))
     return TX.explode_sparse(parsed, keep=("id", "label")).select("id", "label", "k", out("v").alias("v"))
 
 
-@query("parse_dense_points", with_(POINTS) +
-       "SELECT id, y, CAST(i - 1 AS INTEGER) AS i, x[i] AS x FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM pt)")
-def parse_dense_points(spark, sf_dir):
+@query("scan_label_first", with_(EX_ORDERS, FEAT_ORDERS) +
+       f"SELECT CAST(e.y AS VARCHAR) AS label, f.k, count(*) AS n_rows, {r6('sum(f.v)')} AS v_sum "
+       "FROM fo f JOIN ex e USING (id) GROUP BY e.y, f.k")
+def scan_label_first(spark, sf_dir):
+    """Label-first text files; their lines carry no id, so the result is a sum for each label and feature."""
+    path = TX.write_lines(_label_first_lines(spark, sf_dir), scratch_path(spark, "label-first-lines"))
+    long = TX.explode_sparse(TX.read_label_first_text(spark, path), keep=("label",))
+    return long.groupBy("label", "k").agg(F.count(F.lit(1)).alias("n_rows"), out(F.sum("v")).alias("v_sum"))
+
+
+def _point_lines(spark, sf_dir):
     p = T.points(spark, sf_dir)
-    # every other line uses commas, like the reference's mixed input
+    # every other line uses commas, as the format allows both
     sep = F.when(F.pmod("id", F.lit(2)) == 0, F.lit(",")).otherwise(F.lit(" "))
     lines = p.select("id", F.concat_ws(" ", F.col("y").cast("string"),
                                        F.array_join(F.transform("x", lambda v: v.cast("string")), " ")).alias("l"), sep.alias("s"))
-    lines = lines.select("id", F.when(F.col("s") == ",", F.regexp_replace("l", " ", ",")).otherwise(F.col("l")).alias("line"))
-    parsed = TX.parse_dense_points(lines, keep=("id",))
+    return lines.select("id", F.when(F.col("s") == ",", F.regexp_replace("l", " ", ",")).otherwise(F.col("l")).alias("line"))
+
+
+@query("parse_dense_points", with_(POINTS) +
+       "SELECT id, y, CAST(i - 1 AS INTEGER) AS i, x[i] AS x FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM pt)")
+def parse_dense_points(spark, sf_dir):
+    parsed = TX.parse_dense_points(_point_lines(spark, sf_dir), keep=("id",))
     return parsed.select("id", "y", F.posexplode("x").alias("i", "x")).select("id", "y", "i", "x")
 
 
+@query("scan_dense_points", with_(POINTS) +
+       "SELECT y, CAST(i - 1 AS INTEGER) AS i, count(*) AS n_rows, min(x[i]) AS x_min, max(x[i]) AS x_max "
+       "FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM pt) GROUP BY ALL")
+def scan_dense_points(spark, sf_dir):
+    """Dense text files; their lines carry no id, so the result is the range of each coordinate and label."""
+    path = TX.write_lines(_point_lines(spark, sf_dir), scratch_path(spark, "point-lines"))
+    x = TX.read_dense_points(spark, path).select("y", F.posexplode("x").alias("i", "x"))
+    return x.groupBy("y", "i").agg(F.count(F.lit(1)).alias("n_rows"), F.min("x").alias("x_min"), F.max("x").alias("x_max"))
+
+
 def _topic_lines(spark, sf_dir):
     t = T.topics(spark, sf_dir)
     return t.select(F.concat_ws(" ", "topic", F.col("doc_id").cast("string"), F.lit("1")).alias("line"))
@@ -72,7 +99,7 @@ SELECT doc_id, string_agg(topic, ',' ORDER BY topic) AS topics,
 FROM (SELECT doc_id, topic, count(*) AS c FROM tp GROUP BY ALL) GROUP BY doc_id""")
 def topics_per_doc(spark, sf_dir):
     from linearspark.operators.topics import topics_per_doc as op
-    t = TX.parse_topic_lines(_topic_lines(spark, sf_dir))
+    t = TX.read_topics(spark, TX.write_lines(_topic_lines(spark, sf_dir), scratch_path(spark, "topic-lines")))
     return op(t).select("doc_id", F.array_join("topics", ",").alias("topics"), "n_lines")
 
 
@@ -91,12 +118,9 @@ def topic_label(spark, sf_dir):
        "SELECT CAST(id % 4 AS INTEGER) AS part, id, count(*) AS n_features, "
        f"{r6('sum(v)')} AS v_sum FROM fo GROUP BY id")
 def union_parts(spark, sf_dir):
-    lines = _order_lines(spark, sf_dir)
-    parts = [lines.filter(F.pmod("id", F.lit(4)) == p).select(F.lit(p).alias("part"), "line") for p in range(4)]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    parsed = TX.parse_sparse_lines(u, keep=("part",))
+    lines = _order_lines(spark, sf_dir).withColumn("part", F.pmod("id", F.lit(4)).cast("int"))
+    path = TX.write_lines(lines, scratch_path(spark, "sparse-parts"), ["part"])
+    parsed = TX.read_sparse_text(spark, [f"{path}/part={p}" for p in range(4)], base_path=path, keep=("part",))
     return parsed.select(
         "part", "id", F.size("idx").cast("long").alias("n_features"),
         out(F.aggregate("val", F.lit(0.0), lambda s, x: s + x)).alias("v_sum"))

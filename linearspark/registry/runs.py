@@ -37,6 +37,19 @@ def run_log_flatten(spark, sf_dir):
                        out("running_time").alias("running_time"), "start_time")
 
 
+@query("run_log_append", with_(*RUNS_T) + f"""
+SELECT run_id, n_workers, CASE WHEN run_id % 2 = 1 THEN running_mode END AS running_mode,
+       CASE WHEN run_id % 2 = 0 THEN {r6('accuracy_test')} END AS accuracy_test FROM rt""")
+def run_log_append(spark, sf_dir):
+    """Logs of two program versions with different fields, appended by name."""
+    runs, paths = T.runs(spark, sf_dir), [scratch_path(spark, "runlogs-old"), scratch_path(spark, "runlogs-new")]
+    for rest, path, field in ((0, paths[0], "accuracy_test"), (1, paths[1], "running_mode")):
+        RL.write_run_logs(runs.filter(F.pmod("run_id", F.lit(2)) == rest).select("run_id", "n_workers", field), path)
+    logs = RL.read_run_logs_inferred(spark, paths, multi_line=False)
+    return logs.select("run_id", F.col("n_workers").cast("int").alias("n_workers"), "running_mode",
+                       out("accuracy_test").alias("accuracy_test"))
+
+
 @query("runs_above_threshold", with_(*RUNS_T) +
        f"SELECT run_id, {r6('accuracy_test')} AS accuracy_test FROM rt WHERE accuracy_test > CAST({THR} AS DOUBLE)")
 def runs_above_threshold(spark, sf_dir):

@@ -67,10 +67,10 @@ def write_run_logs(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").json(path)
 
 
-def read_run_logs_inferred(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_run_logs_inferred(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
     """Logs of different program versions, each read with its own inferred
     schema and appended by name; fields a version lacks come back null."""
-    frames = [spark.read.option("multiLine", True).json(p) for p in paths]
+    frames = [spark.read.option("multiLine", multi_line).json(p) for p in paths]
     return append_logs(frames)
 
 

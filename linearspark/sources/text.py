@@ -106,24 +106,28 @@ def explode_sparse(df: DataFrame, keep: Sequence[str] = ("id",)) -> DataFrame:
 
 # ---------------------------------------------------------------- readers
 
-def read_sparse_text(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """One or many sparse text files (the train file and test parts) in one scan."""
-    lines = spark.read.text(list(paths) if not isinstance(paths, str) else paths)
-    return parse_sparse_lines(lines.withColumnRenamed("value", "line"))
+def _lines(spark: SparkSession, paths: str | Sequence[str], base_path: str | None = None) -> DataFrame:
+    r = spark.read if base_path is None else spark.read.option("basePath", base_path)
+    return r.text(paths if isinstance(paths, str) else list(paths)).withColumnRenamed("value", "line")
 
 
-def read_label_first_text(spark: SparkSession, paths) -> DataFrame:
-    lines = spark.read.text(paths).withColumnRenamed("value", "line")
-    return parse_label_first_lines(lines)
+def read_sparse_text(spark: SparkSession, paths: str | Sequence[str], base_path: str | None = None,
+                     keep: Sequence[str] = ()) -> DataFrame:
+    """One or many sparse text files (the train file and test parts) in one scan.
+    With ``base_path``, partition columns of the folders can be kept."""
+    return parse_sparse_lines(_lines(spark, paths, base_path), keep=keep)
 
 
-def read_dense_points(spark: SparkSession, paths) -> DataFrame:
-    lines = spark.read.text(paths).withColumnRenamed("value", "line")
-    return parse_dense_points(lines)
+def read_label_first_text(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    return parse_label_first_lines(_lines(spark, paths))
 
 
-def read_topics(spark: SparkSession, path) -> DataFrame:
-    return spark.read.csv(path, sep=" ", schema="topic STRING, doc_id LONG, rel INT")
+def read_dense_points(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    return parse_dense_points(_lines(spark, paths))
+
+
+def read_topics(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    return parse_topic_lines(_lines(spark, paths))
 
 
 # ---------------------------------------------------------------- writers
@@ -143,5 +147,11 @@ def render_sparse_lines(feats: DataFrame, id_col: str = "id") -> DataFrame:
     )
 
 
+def write_lines(lines: DataFrame, path: str, partition: Sequence[str] = ()) -> str:
+    """Text files of the column ``line``, in a folder for each value of ``partition``."""
+    lines.select("line", *partition).write.mode("overwrite").partitionBy(*partition).text(path)
+    return path
+
+
 def write_sparse_text(feats: DataFrame, path: str) -> None:
-    render_sparse_lines(feats).select("line").write.mode("overwrite").text(path)
+    write_lines(render_sparse_lines(feats), path)
