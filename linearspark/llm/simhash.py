@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linearspark.llm.common import map_batches, map_partition, parallel, utf8
+from linearspark.llm.common import map_batches, map_partition, parallel, text_hash, utf8
 from linearspark.llm.components import connected_components
 from linearspark.session import materialize
 
@@ -60,14 +60,15 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id, fp)`` for every row; a null or empty text has fingerprint 0."""
-    src = docs.select("doc_id", "text")
+    """``(doc_id, th, fp)`` for every row; a null or empty text has fingerprint 0."""
+    src = docs.select("doc_id", text_hash().alias("th"), "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t, shingle_words) for t in utf8(batch, "text")], dtype=np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(fps.view(np.int64))],
+                                          ["doc_id", "th", "fp"])
 
-    return map_batches(parallel(src), run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_batches(parallel(src), run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, th long, fp long")
 
 
 @cache
@@ -162,6 +163,24 @@ def links(distinct_fps: DataFrame) -> DataFrame:
             .filter(f"hi > lo AND bit_count(hi ^ lo) <= {MAX_BITS}").distinct())
 
 
+def _components(docs: DataFrame, shingle_words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, th, fp)`` of every row, and ``(fp, first)`` of every distinct
+    fingerprint: ``first (no_id, doc_id, th)`` is the smallest row of its
+    component, null ids last."""
+    if max_bits != MAX_BITS:
+        raise ValueError(f"the segments are laid out for {MAX_BITS} differing bits")
+    fps = materialize(fingerprints(docs, shingle_words), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    classes = materialize(fps.groupBy("fp").agg(F.min(row).alias("own")), "classes")
+    member = connected_components(links(classes)).select(F.col("vertex").alias("fp"), "root")
+    named = member.join(classes, "fp")
+    smallest = named.groupBy("root").agg(F.min("own").alias("first"))
+    linked = member.join(smallest, "root").select("fp", "first")
+    # written, so that a join with it can split a fingerprint of very many copies
+    return fps, materialize(classes.join(linked, "fp", "left").select(
+        "fp", F.coalesce("first", "own").alias("first")), "component-ids")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``(doc_id, fp, component_id)``: one row per row of ``docs``.
 
@@ -172,29 +191,22 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     rows give repeated rows; an empty table gives none; other columns are
     ignored.
     """
-    if max_bits != MAX_BITS:
-        raise ValueError(f"the segments are laid out for {MAX_BITS} differing bits")
-    fps = materialize(fingerprints(docs, shingle_words), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    member = connected_components(links(classes)).select(F.col("vertex").alias("fp"), "root")
-    named = member.join(classes, "fp")
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("group_id"))
-    linked = member.join(smallest, "root").select("fp", "group_id")
-    # written, so that the join below can split a fingerprint of very many copies
-    ids = materialize(classes.join(linked, "fp", "left").select(
-        "fp", F.coalesce("group_id", "first_id").alias("component_id")), "component-ids")
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    fps, ids = _components(docs, shingle_words, max_bits)
+    return fps.join(ids.select("fp", F.col("first.doc_id").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` without near-duplicates: the row with the smallest id of each
-    component stays (of rows that repeat this id, the one with the smallest
-    hash of all columns)."""
-    found = near_duplicates(docs, shingle_words, max_bits)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    return kept.withColumn("_place", F.row_number().over(order)).filter("_place = 1").select(*docs.columns)
+    """``docs`` without near-duplicates: one row of each component stays, that
+    of the smallest ``(doc_id, text hash)``, null ids last (of rows that repeat
+    both, the one with the smallest hash of all columns)."""
+    _, ids = _components(docs, shingle_words, max_bits)
+    # equal texts have equal fingerprints: no two components share a row's (doc_id, th)
+    stay = ids.select(F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th")).distinct()
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]) & (text_hash() == stay["_th"]), "left_semi")
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    one = kept.groupBy(F.col("doc_id").alias("_id"), text_hash().alias("_th")).agg(
+        F.min_by(row, F.xxhash64(*docs.columns)).alias("_row"))
+    return one.select("_row.*")
 
 
 def op5_simhash(spark, sf_dir) -> DataFrame:

@@ -1,5 +1,6 @@
 """Every operator on awkward rows, on empty tables and with clashing extra columns."""
 
+import numpy as np
 import pytest
 
 from linearspark.llm import chat, decontaminate, extract, language_model, licences, lines, packing, quality, simhash, toxicity
@@ -62,6 +63,19 @@ def test_simhash(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.filter("doc_id = 5").count() == 1
 
 
+def test_simhash_keeps_one_of_each_component(spark):
+    """Null ids with different texts, and an id repeated with different texts."""
+    rng = np.random.default_rng(5)
+    a, b, c, d = (" ".join(f"w{n}" for n in rng.integers(0, 10**6, 60)) for _ in range(4))
+    rows = [(None, a), (None, a), (None, b), (5, c), (5, d), (9, c), (3, d), (None, d), (None, ""), (None, None), (7, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(None, a), (None, b), (5, c), (3, d), (None, None), (7, "alone")], key=repr)
+    got = sorted([(r["doc_id"], r["text"] or None) for r in simhash.keep_one(docs).collect()], key=repr)
+    assert got == want
+    assert sorted([(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()], key=repr) == sorted(
+        [(None, None)] * 5 + [(5, 5), (9, 5), (5, 3), (3, 3), (None, 3), (7, 7)], key=repr)
+
+
 def test_lines(odd_docs, no_docs):
     got = lines.drop_common_lines(odd_docs, min_docs=2)
     assert got.count() == 19 and got.columns[:9] == odd_docs.columns
