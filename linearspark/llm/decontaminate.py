@@ -2,11 +2,15 @@
 
 The phrases are windows of consecutive words of the benchmark items.  The
 index holds postings ``(term, doc_id, th, pos)`` of the corpus for the rarest
-term of each phrase (its pivot), and with each posting the test terms around
+terms of each phrase (its seeds), and with each posting the test terms around
 it, which are the offset-adjusted postings that any phrase through it can need.
-A lookup joins phrases and index on the pivot and intersects the other terms
+A lookup joins phrases and index on the seeds and intersects the other terms
 at their adjusted offsets: all equal is an exact phrase match, nearly all of
-them present nearby is a proximity match.
+them in one span is a proximity match.
+
+A proximity match needs ``need`` of the ``d`` distinct words of a phrase, so it
+has one of any ``d - need + 1`` of them (pigeonhole): with that many of the
+rarest as seeds none is missed, also if the rarest words are changed or absent.
 
 Term numbers come from the benchmark only.  They are broadcast in blocks of at
 most ``BLOCK_WORDS`` benchmark words; a larger benchmark takes more passes.
@@ -26,7 +30,7 @@ from linearspark.session import materialize
 
 WINDOW = 13
 RATIO = 20            # contaminated: RATIO * n_hit >= n_words
-NEAR_WORDS = 10       # words of a phrase that a proximity match needs around its pivot
+NEAR_WORDS = 10       # distinct words of a phrase that a proximity match needs in one span of 2 * WINDOW - 1 words
 BLOCK_WORDS = 1_000_000
 
 # Bytes that part words: ASCII other than letters and digits.
@@ -71,27 +75,33 @@ def term_counts(docs: DataFrame, terms) -> DataFrame:
     return map_partition(docs.select("text"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def build_index(docs: DataFrame, terms, pivots, reach: int) -> DataFrame:
-    """Postings ``(term, doc_id, th, pos, around)`` of every occurrence of a
-    pivot term in ``docs (doc_id, th, text)``; ``around`` has the numbers of the
-    test terms from ``pos - reach`` to ``pos + reach`` (-1: another word, or none)."""
+def build_index(docs: DataFrame, terms, seeds, span: int) -> DataFrame:
+    """Postings ``(term, doc_id, th, pos, around)`` of the seed terms in ``docs
+    (doc_id, th, text)``; ``around`` has the numbers of the test terms less than
+    ``span`` words away (-1: another word, or none).  ``seeds`` has for each term
+    the fewest test words that a match through it has (0: no seed); occurrences
+    in no span of so many are left out."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        number, pivot = terms.value, pivots.value
+        number, least = terms.value, seeds.value
         rows, term, pos, around = [], [], [], []
         for row, text in enumerate(utf8(batch, "text")):
             ids = np.array([number.get(w, -1) for w in words(text)], dtype=np.int32)
-            at = np.nonzero(pivot[ids])[0]       # the last entry of pivot is for -1
+            at = np.nonzero(least[ids])[0]       # the last entry of least is for -1
+            if len(at):
+                padded = np.pad(ids, span - 1, constant_values=-1)
+                before = np.concatenate([[0], np.cumsum(padded >= 0)])
+                held = before[span:] - before[:-span]              # test words of the span from each place
+                at = at[held[at[:, None] + np.arange(span)].max(axis=1) >= least[ids[at]]]
             if len(at):
                 rows.append(np.full(len(at), row))
                 term.append(ids[at])
                 pos.append(at)
-                padded = np.pad(ids, reach, constant_values=-1)
-                around.append(padded[at[:, None] + np.arange(2 * reach + 1)])
+                around.append(padded[at[:, None] + np.arange(2 * span - 1)])
         if not rows:
             return None
         rows, flat = pa.array(np.concatenate(rows)), np.concatenate(around)
-        offsets = np.arange(len(flat) + 1, dtype=np.int32) * (2 * reach + 1)
+        offsets = np.arange(len(flat) + 1, dtype=np.int32) * (2 * span - 1)
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(term)), batch.column("doc_id").take(rows), batch.column("th").take(rows),
              pa.array(np.concatenate(pos).astype(np.int32)),
@@ -103,13 +113,15 @@ def build_index(docs: DataFrame, terms, pivots, reach: int) -> DataFrame:
                        f"term int, doc_id {kind}, th long, pos int, around array<int>")
 
 
-def _lookup(index: DataFrame, wanted: DataFrame, reach: int, near_words: int) -> DataFrame:
-    """Join phrases ``(term, off, ids, items)`` and postings on the pivot and
-    intersect the other terms at their adjusted offsets."""
+def _lookup(index: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
+    """Join the seeds of phrases ``(term, off, rarest, need, ids, items)`` and
+    postings and intersect the other terms at their adjusted offsets; an exact
+    match is found through the rarest seed."""
     joined = index.join(wanted, "term")
-    here = F.slice("around", reach + 1 - F.col("off"), F.size("ids"))
-    exact = here == F.col("ids")
-    near = F.size(F.array_intersect("around", "ids")) >= F.least(F.lit(near_words), F.size(F.array_distinct("ids")))
+    exact = F.col("rarest") & (F.slice("around", span - F.col("off"), F.size("ids")) == F.col("ids"))
+    shared = lambda terms: F.size(F.array_intersect(terms, "ids")) >= F.col("need")
+    spans = F.sequence(F.lit(1), F.lit(span))
+    near = shared(F.col("around")) & F.exists(spans, lambda i: shared(F.slice("around", i, span)))
     return joined.filter(exact | near).select(
         "doc_id", "th", (F.col("pos") - F.col("off")).alias("start"),
         (F.col("pos") - F.col("off") + F.size("ids")).alias("end"), "items", exact.alias("exact"))
@@ -119,9 +131,10 @@ def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, near_words:
            block_words: int = BLOCK_WORDS) -> DataFrame:
     """Matches ``(doc_id, th, start, end, items, exact)`` of the phrases of
     ``items`` in ``docs``, in words from the start of the text; ``exact`` is
-    false for a proximity match (at least ``near_words`` of the phrase's words
-    around its pivot).  ``th`` is the hash of the text."""
-    spark = docs.sparkSession
+    false for a proximity match (at least ``near_words`` of the phrase's distinct
+    words, or all if it has fewer, in ``2 * window - 1`` consecutive words; it
+    has a row for each seed found).  ``th`` is the hash of the text."""
+    spark, span = docs.sparkSession, 2 * window - 1
     corpus = parallel(docs).select("doc_id", text_hash().alias("th"), "text")
     every = materialize(phrases(items, window), "phrases")
     n_words = every.agg(F.sum(F.size("phrase")).alias("n")).first()["n"] or 0
@@ -136,15 +149,21 @@ def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, near_words:
         weight = numbered.join(counts, "term", "left").select("w", "term", F.coalesce("n", F.lit(0)).alias("n"))
         placed = own.withColumn("phrase_id", F.xxhash64("phrase")).select(
             "phrase_id", "phrase", "items", F.posexplode("phrase").alias("off", "w")).join(weight, "w")
-        wanted = materialize(placed.groupBy("phrase_id", "phrase", "items").agg(
-            F.min(F.struct("n", "off", "term")).alias("rarest"),
-            F.transform(F.array_sort(F.collect_list(F.struct("off", "term"))), lambda x: x["term"]).alias("ids")).select(
-            F.col("rarest.term").alias("term"), F.col("rarest.off").alias("off"), "ids", "items").filter(
-            F.col("rarest.n") > 0), "wanted")
-        rare = np.zeros(len(vocabulary) + 1, dtype=bool)
-        rare[[r["term"] for r in wanted.select("term").distinct().collect()]] = True            # <= block_words
-        index = materialize(build_index(corpus, terms, spark.sparkContext.broadcast(rare), window - 1), "index")
-        parts.append(_lookup(index, wanted, window - 1, near_words))
+        ranked = placed.groupBy("phrase_id", "phrase", "items", "n", "term").agg(F.min("off").alias("off")).groupBy(
+            "phrase_id", "phrase", "items").agg(F.array_sort(F.collect_list(F.struct("n", "off", "term"))).alias("rank"))
+        whole = placed.groupBy(F.col("phrase_id").alias("_pid"), F.col("phrase").alias("_phrase")).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("off", "term"))), lambda x: x["term"]).alias("ids"))
+        need = F.least(F.lit(near_words), F.size("rank"))
+        wanted = materialize(
+            ranked.join(whole, (F.col("phrase_id") == F.col("_pid")) & (F.col("phrase") == F.col("_phrase")))
+            .select("ids", "items", need.alias("need"), F.posexplode(F.slice("rank", 1, F.size("rank") - need + 1)).alias("place", "seed"))
+            .filter("seed.n > 0").select(F.col("seed.term").alias("term"), F.col("seed.off").alias("off"),
+                                         (F.col("place") == 0).alias("rarest"), "need", "ids", "items"), "wanted")
+        least = np.zeros(len(vocabulary) + 1, dtype=np.int64)
+        for r in wanted.groupBy("term").agg(F.min("need").alias("need")).collect():             # <= block_words
+            least[r["term"]] = r["need"]
+        index = materialize(build_index(corpus, terms, spark.sparkContext.broadcast(least), span), "index")
+        parts.append(_lookup(index, wanted, span))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -178,8 +197,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, ratio: int = RATIO) -> DataFrame:
-    """One row per row of ``docs``: doc_id, th, n_words, n_hit, items, near_items,
-    contaminated (``n_hit > 0 and ratio * n_hit >= n_words``).
+    """One row per row of ``docs``: doc_id, th, n_words, n_hit, items, near_items
+    (of proximity matches only, without ``items``), contaminated (``n_hit > 0 and
+    ratio * n_hit >= n_words``).
 
     Null and empty texts and items have no words and no match.  Rows that repeat
     an id and a text each get the row of that text.  Equal windows of several
@@ -195,7 +215,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, ratio
         near, counts["doc_id"].eqNullSafe(F.col("_nid")) & (counts["th"] == F.col("_nth")), "left")
     none = F.array().cast("array<string>")
     found = joined.select("doc_id", "th", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-                          F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"))
+                          F.coalesce("items", none).alias("items"),
+                          F.array_except(F.coalesce("near_items", none), F.coalesce("items", none)).alias("near_items"))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * ratio >= F.col("n_words")))
 
 
@@ -214,6 +235,15 @@ def op9_decontaminate(spark, sf_dir) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_proximity(spark, sf_dir) -> DataFrame:
+    """doc_id, n_words, n_near_items, near_items_sha256: the items that only
+    proximity matches find (the contract of ``op9_decontaminate`` has no column for them)."""
+    found = contamination(read_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                          read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", F.size("near_items").cast("long").alias("n_near_items"),
+                        F.sha2(F.array_join("near_items", ","), 256).alias("near_items_sha256"))
+
+
 _WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 OP9_SQL = f"""

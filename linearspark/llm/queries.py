@@ -25,6 +25,7 @@ QUERIES = {
     "op7_chat_format": chat.op7_chat_format,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op9_proximity": decontaminate.op9_proximity,
     "op10_lm_score": language_model.op10_lm_score,
 }
 

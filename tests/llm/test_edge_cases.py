@@ -115,6 +115,34 @@ def test_decontaminate(odd_docs, no_docs, items):
     assert decontaminate.drop_contaminated(odd_docs, items).columns == odd_docs.columns
 
 
+def test_proximity_matches_are_complete(spark):
+    """All passages that keep ten words of a phrase, whichever words are changed, against brute force."""
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [list(rng.choice(vocabulary, n)) for n in (13, 13, 16, 20, 5, 9)] + [[f"only{i}" for i in range(14)]]
+    docs = [list(rng.choice(vocabulary, 300)) for _ in range(3)]
+    for k, item in enumerate(items):
+        for n_changed in (0, 1, 2, 3, 4):
+            for spread in (0, 1):
+                own = list(item)
+                for j in rng.choice(len(own), min(n_changed, len(own)), replace=False):
+                    own[j] = f"new{k}"
+                own = [x for w in own for x in [w] + ["gap"] * (spread and int(rng.integers(0, 3)))]
+                docs.append(["pad"] * 3 + own + ["pad"] * int(rng.integers(0, 30)))
+    changed = ["edited"] + items[6][1:]
+    docs.append(changed)                          # the rarest word, by any measure, is changed
+    phrases = [(k, set(w[a:a + 13]), w[a:a + 13]) for k, w in enumerate(items) for a in range(max(1, len(w) - 12))]
+    want = {}
+    for i, own in enumerate(docs):
+        exact = {k for k, _, p in phrases if any(own[j:j + len(p)] == p for j in range(len(own)))}
+        near = {k for k, p, _ in phrases for j in range(len(own)) if len(p & set(own[j:j + 25])) >= min(10, len(p))}
+        want[i] = (sorted(map(str, exact)), sorted(map(str, near - exact)))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: (r["items"], r["near_items"]) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == want and sum(bool(n) for _, n in want.values()) > 20
+
+
 def test_language_model(odd_docs, no_docs):
     got = language_model.score(odd_docs, odd_docs).collect()
     assert len(got) == 19 and all(r["score"] < 0 and r["base_score"] < 0 for r in got)
