@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from linearspark.llm import (
+    centroids,
     chat,
     decontaminate,
     extract,
@@ -11,6 +12,7 @@ from linearspark.llm import (
     lines,
     packing,
     quality,
+    repair,
     simhash,
     toxicity,
 )
@@ -27,6 +29,8 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op9_proximity": decontaminate.op9_proximity,
     "op10_lm_score": language_model.op10_lm_score,
+    "op12_centroid_clusters": centroids.op12_centroid_clusters,
+    "op13_repair": repair.op13_repair,
 }
 
 ORACLE = {
@@ -34,4 +38,6 @@ ORACLE = {
     "op6_line_dedup": lines.OP6_SQL,
     "op7_chat_format": chat.OP7_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
+    "op12_centroid_clusters": centroids.OP12_SQL,
+    "op13_repair": repair.OP13_SQL,
 }

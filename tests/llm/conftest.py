@@ -21,3 +21,12 @@ def odd_docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(spark, odd_docs):
     return odd_docs.filter("false")
+
+
+def assert_same_rows(got, con, sql):
+    """A DataFrame and a DuckDB query give the same columns and rows (any order)."""
+    cursor = con.execute(sql)
+    names = [c[0] for c in cursor.description]
+    assert sorted(got.columns) == sorted(names)
+    want = sorted(map(repr, cursor.fetchall()))
+    assert sorted(repr(tuple(r[c] for c in names)) for r in got.collect()) == want
