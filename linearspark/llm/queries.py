@@ -7,6 +7,7 @@ from linearspark.llm import (
     chat,
     decontaminate,
     extract,
+    jaccard,
     language_model,
     licences,
     lines,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op9_proximity": decontaminate.op9_proximity,
     "op10_lm_score": language_model.op10_lm_score,
+    "op11_jaccard_join": jaccard.op11_jaccard_join,
     "op12_centroid_clusters": centroids.op12_centroid_clusters,
     "op13_repair": repair.op13_repair,
 }
