@@ -9,8 +9,9 @@ tokens that occur in one document only come first:
 * ``up``: then by hash;
 * ``down``: then by the hash read in the other byte order.
 
-Pairs are found by a join on rare prefix tokens, with the size and the
-positional bound of that order; pairs without a common prefix token in the two
+Pairs are found by a join on rare prefix tokens, within the bounds of sizes, of
+positions in that order, and of the difference that counts of own tokens and
+parity bits of the others show; pairs without a common prefix token in the two
 other orders are dropped; what is left is verified on the whole sets.
 
 Frequencies are counted in packed form: the sorted token hashes of a block of
@@ -50,6 +51,7 @@ RANGE_TOKENS = 1 << 21        # tokens that one counting task holds
 TOKEN_BYTES = 6
 BYTES_A_TOKEN = 6             # expected, for the number of ranges
 TOKEN_BITS = 8 * TOKEN_BYTES
+PARITY_BITS = 256
 STAR_ROUNDS = 6               # at most; they only make the last, complete round smaller
 
 
@@ -204,7 +206,16 @@ def shared_tokens(dealt: DataFrame, bits: int) -> DataFrame:
                          f"doc_ids {kind}, sizes array<int>, set_hashes array<long>")
 
 
-_SET = "n int, set_hash long, alone int, tokens array<long>, rare array<long>, up array<long>, down array<long>"
+_PARITY = [f"odd{i}" for i in range(PARITY_BITS // 64)]
+_SET = ("n int, set_hash long, alone int, tokens array<long>, rare array<long>, up array<long>, down array<long>, "
+        + ", ".join(f"{c} long" for c in _PARITY))
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """For every value of a token's lowest bits, whether an odd number of the tokens
+    have it: two sets differ in as many tokens at least as in such bits."""
+    odd = np.bincount((tokens & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def prefixes(tokens: np.ndarray, logs: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,7 +226,7 @@ def prefixes(tokens: np.ndarray, logs: np.ndarray, kept: int) -> tuple[np.ndarra
 def sets_of(shared: DataFrame, bits: int, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n, set_hash, alone, tokens, rare, up, down)``, one row a document:
     the size of its set, how many of its tokens are in no other document, the
-    others, and what the prefixes hold of these.  ``tokens`` is null for a set
+    others, what the prefixes hold of these, and their parity bits.  ``tokens`` is null for a set
     that cannot have a partner: its prefix is all its own."""
     kind = shared.schema["doc_ids"].dataType.elementType.simpleString()
     low = np.uint64(TOKEN_BITS - bits)
@@ -235,14 +246,15 @@ def sets_of(shared: DataFrame, bits: int, percent: int = PERCENT) -> DataFrame:
             for doc_id, n, name, b in zip(docs["doc_ids"], docs["sizes"], docs["set_hashes"], ends):
                 alone = n - int(b - a)
                 kept = prefix_size(n, percent) - alone
-                arrays = [None] * 4
+                found = [None] * (4 + len(_PARITY))
                 if n and kept > 0:
-                    arrays = [x.view(np.int64) for x in (tokens[a:b], *prefixes(tokens[a:b], logs[a:b], kept))]
-                out.append((doc_id, n, name, alone, *arrays))
+                    own = tokens[a:b]
+                    found = [*(x.view(np.int64) for x in (own, *prefixes(own, logs[a:b], kept))), *parity(own).tolist()]
+                out.append((doc_id, n, name, alone, *found))
                 a = b
-            types = [id_type, pa.int32(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 4]
+            types = [id_type, pa.int32(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 4, *[pa.int64()] * len(_PARITY)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
-                                             ["doc_id", "n", "set_hash", "alone", "tokens", "rare", "up", "down"])
+                                             ["doc_id", "n", "set_hash", "alone", "tokens", "rare", "up", "down", *_PARITY])
 
     placed = shared.repartition("block").sortWithinPartitions("block")
     return map_partition(placed, run, f"doc_id {kind}, {_SET}")
@@ -251,16 +263,24 @@ def sets_of(shared: DataFrame, bits: int, percent: int = PERCENT) -> DataFrame:
 # ------------------------------------------------------------------ pairs
 
 def postings(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``(token, sid, n, pos)``: the rare prefix of each set."""
-    return sets.select("sid", "n", "alone", F.posexplode("rare").alias("at", "token")).select(
-        "sid", "n", (F.col("alone") + F.col("at")).alias("pos"), "token")
+    """``(token, sid, n, alone, pos)`` and parity bits: the rare prefix of each set."""
+    return sets.select("sid", "n", "alone", *_PARITY, F.posexplode("rare").alias("at", "token")).select(
+        "sid", "n", "alone", *_PARITY, (F.col("alone") + F.col("at")).alias("pos"), "token")
+
+
+def _fits(a: str, b: str, percent: int):
+    """The bounds for a pair that shares this token: sizes, prefix of the smaller
+    set, positions, and tokens that only one of the two has."""
+    apart = " + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in _PARITY)
+    both = f"({a}.n + {b}.n)"
 
+    def ordered(large: str, small: str) -> str:
+        return (f"100 * {small}.n >= {percent} * {large}.n AND {small}.pos < {small}.n - "
+                f"(2 * {percent} * {small}.n + {99 + percent}) div {100 + percent} + 1")
 
-def _fits(large: str, small: str, percent: int):
-    """The bounds of sizes and positions for a pair that shares this token."""
-    return F.expr(f"100 * {small}.n >= {percent} * {large}.n AND {small}.pos < {small}.n - "
-                  f"(2 * {percent} * {small}.n + {99 + percent}) div {100 + percent} + 1 AND "
-                  f"{100 + percent} * least({large}.n - {large}.pos, {small}.n - {small}.pos) >= {percent} * ({large}.n + {small}.n)")
+    return F.expr(f"({100 + percent} * ({a}.alone + {b}.alone + {apart}) <= {100 - percent} * {both}) AND "
+                  f"({100 + percent} * least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {percent} * {both}) AND "
+                  f"CASE WHEN {a}.n > {b}.n OR ({a}.n = {b}.n AND {a}.sid > {b}.sid) THEN {ordered(a, b)} ELSE {ordered(b, a)} END")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -284,6 +304,7 @@ def components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     post = materialize(postings(sets, percent), "postings")
     shared = post.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token")
     post = materialize(post.join(shared, "token", "left_semi"), "shared-postings")
+    rows = post.count()
     links = spark.createDataFrame([], "hi long, lo long")
     comp = spark.createDataFrame([], "sid long, comp long")
     left = None
@@ -296,7 +317,6 @@ def components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
                                             F.max(F.struct("m", F.col("comp"))).alias("top")).filter("comps > 1")
         open_ = materialize(open_.select("token", "size", F.col("top.m").alias("top_m"), F.col("top.comp").alias("top")), "open")
         todo = open_.agg(F.sum((F.col("size") - F.col("top_m")) * F.col("size")).alias("pairs")).first()["pairs"] or 0
-        rows = post.count()
         complete = star == STAR_ROUNDS or todo <= 4 * rows or (left is not None and todo > 0.9 * left)
         left = todo
         own = named.join(open_, "token")
@@ -304,16 +324,13 @@ def components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             # every pair of different components: one of them is outside the bucket's largest
             minor = own.filter("comp <> top").alias("a")
             cross = minor.join(own.alias("b"), F.expr("a.token = b.token AND a.comp <> b.comp AND a.sid <> b.sid"))
-            a_large = F.expr("a.n > b.n OR (a.n = b.n AND a.sid > b.sid)")
-            found = cross.filter(F.when(a_large, _fits("a", "b", percent)).otherwise(_fits("b", "a", percent)))
+            found = cross.filter(_fits("a", "b", percent))
         else:
             # one leader a bucket, of its largest component, another one in each round
             lead = own.filter("comp = top").groupBy("token").agg(
-                F.min_by(F.struct("sid", "n", "pos"), F.xxhash64(F.lit(star), "sid")).alias("l")).select(
-                F.col("token"), F.col("l.sid").alias("sid"), F.col("l.n").alias("n"), F.col("l.pos").alias("pos"))
-            found = own.filter("comp <> top").alias("a").join(lead.alias("b"), F.expr("a.token = b.token AND a.sid <> b.sid"))
-            a_large = F.expr("a.n > b.n OR (a.n = b.n AND a.sid > b.sid)")
-            found = found.filter(F.when(a_large, _fits("a", "b", percent)).otherwise(_fits("b", "a", percent)))
+                F.min_by(F.struct("sid", "n", "alone", "pos", *_PARITY), F.xxhash64(F.lit(star), "sid")).alias("l")).select("token", "l.*")
+            found = own.filter("comp <> top").alias("a").join(
+                lead.alias("b"), F.expr("a.token = b.token AND a.sid <> b.sid")).filter(_fits("a", "b", percent))
         pairs = materialize(found.select(F.greatest("a.sid", "b.sid").alias("hi"), F.least("a.sid", "b.sid").alias("lo")).distinct(),
                             "candidates")
         new = materialize(linked(pairs, sets, percent), "links")
@@ -338,7 +355,7 @@ def similar_documents(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, perce
     rows = materialize(sets_of(shared_tokens(dealt_tokens(docs, bits, shingle_words), bits), bits, percent), "sets")
     # one set of each class of equal ones; its name is its id
     sets = materialize(rows.filter("tokens IS NOT NULL").dropDuplicates(["set_hash"]).select(
-        F.col("set_hash").alias("sid"), "n", "alone", "tokens", "rare", "up", "down"), "distinct-sets")
+        F.col("set_hash").alias("sid"), "n", "alone", "tokens", "rare", "up", "down", *_PARITY), "distinct-sets")
     comp = components(sets, percent).withColumnRenamed("sid", "set_hash")
     classes = rows.filter("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("least"))
     classes = classes.join(comp, "set_hash", "left").withColumn("comp", F.coalesce("comp", "set_hash"))
