@@ -27,6 +27,7 @@ VAL_ROWS = 500
 STOP_P = 3
 EARLY_STEPS = 30
 STREAM_LR = 0.0075
+STREAM_SUBSET = 2
 
 
 def _weights_frame(spark, w: np.ndarray):
@@ -200,11 +201,17 @@ def train_early_stop(spark, sf_dir):
 
 # ------------------------------------------------------------------ streaming
 
+ARRIVALS = 4        # files, and so micro-batches, that a streamed table arrives in
+
+
+def _arriving(spark, table, name):
+    """``table`` as a stream of several micro-batches."""
+    path = SJ.arrivals(table, ARRIVALS, SJ.new_root(spark, name))
+    return SJ.file_stream(spark, path, table.schema, max_files=1)
+
+
 def _events_stream(spark, sf_dir):
-    schema = T.table(spark, sf_dir, "events").schema
-    ev = SJ.file_stream(spark, sf_dir, "events.parquet", schema)
-    return ev.select(F.pmod(F.col("user_id"), F.lit(4)).cast("int").alias("worker_idx"), "event_id",
-                     F.col("value").alias("loss"), "ts")
+    return _arriving(spark, T.loss_events(spark, sf_dir), "events")
 
 
 @query("stream_loss_stats", with_(LOSS_EVENTS) + f"""
@@ -212,19 +219,18 @@ SELECT worker_idx, count(*) AS n, {r6('min(loss)')} AS min_loss, {r6('avg(loss)'
 FROM le GROUP BY worker_idx""")
 def stream_loss_stats(spark, sf_dir):
     # The receiver appends every loss message, and keeps per-worker stats
-    SJ.run_loss_log(spark, _events_stream(spark, sf_dir), SJ.new_root(spark, "loss-log"))
-    r = SJ.run_loss_stats(spark, _events_stream(spark, sf_dir), SJ.new_root(spark, "loss-stats"))
+    events = _events_stream(spark, sf_dir)
+    SJ.run_loss_log(spark, events, SJ.new_root(spark, "loss-log"))
+    r = SJ.run_loss_stats(spark, events, SJ.new_root(spark, "loss-stats"))
     return r.select("worker_idx", "n", out("min_loss").alias("min_loss"), out("avg_loss").alias("avg_loss"))
 
 
 @query("stream_delta_merge", with_(DELTAS) +
        f"SELECT k, {r6(f'CAST({STREAM_LR!r} AS DOUBLE) * sum(d)')} AS w FROM dl GROUP BY k")
 def stream_delta_merge(spark, sf_dir):
-    schema = T.table(spark, sf_dir, "lineitem").schema
-    li = SJ.file_stream(spark, sf_dir, "lineitem.parquet", schema)
-    dl = li.select(F.col("l_linenumber").alias("worker"), (F.col("l_suppkey") + 1).alias("k"),
-                   (F.col("l_discount") - F.col("l_tax")).alias("d"))
-    w = SJ.run_delta_merge(spark, dl, SJ.new_root(spark, "delta-merge"), STREAM_LR, flush_keys=SUBSET * SHARDS)
+    # the workers' subsets are small beside the key space here, so that the rule fires
+    dl = _arriving(spark, T.deltas(spark, sf_dir), "deltas")
+    w = SJ.run_delta_merge(spark, dl, SJ.new_root(spark, "delta-merge"), STREAM_LR, flush_keys=STREAM_SUBSET * SHARDS)
     return w.select("k", out("w").alias("w"))
 
 
@@ -241,14 +247,14 @@ def stream_early_stop(spark, sf_dir):
     return r.select("worker_idx", "stop_step", "n_steps", out("best_loss").alias("best_loss"))
 
 
-# The orders file arrives as one micro-batch (one file, availableNow), so the
-# stream's result is one full hinge step from w = 0 over every order.
+# All files of orders arrive in one micro-batch (availableNow without a bound on
+# files), so the stream's result is one full hinge step from w = 0 over every order.
 @query("stream_online_sgd", with_(EX_ORDERS, FEAT_ORDERS) + f"""
 SELECT k, {r6(f"-sum(CAST({LR_HINGE!r} AS DOUBLE) * CASE WHEN y * 0 < 1 THEN -v * y ELSE 0 END + 0.0)")} AS w
 FROM fo JOIN ex USING (id) GROUP BY k""")
 def stream_online_sgd(spark, sf_dir):
     schema = T.table(spark, sf_dir, "orders").schema
-    o = SJ.file_stream(spark, sf_dir, "orders.parquet", schema)
+    o = SJ.file_stream(spark, f"{sf_dir}/orders.parquet", schema)
     ex = o.select(F.col("o_orderkey").alias("id"),
                   F.when(F.col("o_orderstatus") == "F", 1).otherwise(-1).cast("int").alias("y"))
     feats = T.feat_orders(spark, sf_dir)

@@ -1,7 +1,8 @@
 """Structured Streaming operators.
 
 The reference moves loss messages and weight deltas between processes over
-gRPC.  Here the messages are rows of a streaming DataFrame:
+gRPC.  Here the messages are rows of a streaming DataFrame, read from a table
+that is one file or a folder of part files:
 
 * R1 ``loss_stats``       per-worker count / min / mean loss, complete mode
 * R2 ``delta_merge``      deltas summed per key and applied to a versioned
@@ -9,37 +10,45 @@ gRPC.  Here the messages are rows of a streaming DataFrame:
                           pending >= subset * workers" (plus a final flush)
 * R3 ``online_sgd``       one hinge SGD step per micro-batch of examples,
                           weights versioned by batch id
-* R4 ``early_stop``       the early-stopping rule as keyed state
-                          (``applyInPandasWithState``)
+* R4 ``early_stop``       the early-stopping rule in event order, whatever the
+                          order in which the rows arrive
 
 Every sink is written from ``foreachBatch`` into the shared scratch folder;
 a batch id is part of every path, so a replayed batch overwrites its own
-output (idempotent).  Checkpoints live in the same shared folder.
+output (idempotent).  A version counts once its commit row is written, which
+is the last write of its batch.  Checkpoints live in the same shared folder.
 """
 
 from __future__ import annotations
 
 import os
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from linearspark.operators import gradients as G
 from linearspark.operators import losses as L
+from linearspark.operators import series as SE
 from linearspark.session import scratch_path
 
 
-def file_stream(spark: SparkSession, folder: str, name_glob: str, schema: T.StructType,
-                max_files: int | None = None) -> DataFrame:
-    """Parquet files of ``folder`` matching ``name_glob`` as a stream."""
-    r = spark.readStream.schema(schema).option("pathGlobFilter", name_glob)
+def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
+    """The parquet table at ``path``, one file or a folder of part files, as a
+    stream of at most ``max_files`` files a micro-batch."""
+    r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(folder)
+    # a pattern that matches the path alone: the source takes a plain path for a folder
+    return r.parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def arrivals(df: DataFrame, parts: int, path: str) -> str:
+    """``df`` written as a folder of ``parts`` files or more: a table that a stream
+    with ``max_files`` reads in several micro-batches."""
+    df.repartition(parts).write.mode("overwrite").parquet(path)
+    return path
 
 
 def _run(writer, name: str, spark: SparkSession) -> None:
@@ -66,11 +75,13 @@ def run_loss_log(spark: SparkSession, loss_events: DataFrame, out: str) -> DataF
 
 
 def run_loss_stats(spark: SparkSession, loss_events: DataFrame, out: str) -> DataFrame:
-    """Complete-mode aggregate; each batch replaces the table."""
+    """Complete-mode aggregate; each batch writes a table of its own, the last
+    committed one counts."""
     def sink(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(out)
+        df.write.mode("overwrite").parquet(os.path.join(out, "stats", f"v={batch_id}"))
+        _commit(spark, out, batch_id)
     _run(loss_stats(loss_events).writeStream.outputMode("complete").foreachBatch(sink), "loss-stats", spark)
-    return spark.read.parquet(out)
+    return spark.read.parquet(os.path.join(out, "stats", f"v={_committed(spark, out)}"))
 
 
 # ------------------------------------------------------------------ R2
@@ -84,57 +95,66 @@ def _read_opt(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def _flushed_upto(spark: SparkSession, root: str, before: int | None = None) -> int:
-    w = _read_opt(spark, os.path.join(root, "weights"))
-    if w is None:
+def _commit(spark: SparkSession, root: str, version: int) -> None:
+    """The last write of a version: one row that names it."""
+    spark.range(version, version + 1).toDF("v").coalesce(1).write.mode("overwrite").parquet(
+        os.path.join(root, "commits", f"batch={version}"))
+
+
+def _committed(spark: SparkSession, root: str, before: int | None = None) -> int:
+    """The newest committed version (below ``before``), -1 without one: a row a
+    version is read, never the weights."""
+    c = _read_opt(spark, os.path.join(root, "commits"))
+    if c is None:
         return -1
-    if before is not None:
-        w = w.filter(F.col("v") < before)
-    v = w.agg(F.max("v")).first()[0]
+    v = (c if before is None else c.filter(F.col("v") < before)).agg(F.max("v")).first()[0]
     return -1 if v is None else int(v)
 
 
 def _latest_weights(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
     """The newest weights, or those of the newest version below ``before``."""
-    v = _flushed_upto(spark, root, before)
+    v = _committed(spark, root, before)
     if v < 0:
         return spark.createDataFrame([], "k long, w double")
-    return spark.read.parquet(os.path.join(root, "weights")).filter(F.col("v") == v).select("k", "w")
+    return spark.read.parquet(os.path.join(root, "weights", f"v={v}")).select("k", "w")
 
 
-def _pending(spark: SparkSession, root: str, after: int) -> DataFrame | None:
+def _pending(spark: SparkSession, root: str, after: int, upto: int | None = None) -> DataFrame | None:
+    """Buffered deltas of the batches after the last flush (and up to ``upto``)."""
     b = _read_opt(spark, os.path.join(root, "buffer"))
     if b is None:
         return None
     b = b.filter(F.col("batch") > after)
+    if upto is not None:
+        b = b.filter(F.col("batch") <= upto)
     return b if b.limit(1).count() else None
 
 
 def delta_merge_sink(root: str, lr: float, flush_keys: int):
-    """foreachBatch function of R2."""
+    """foreachBatch function of R2.  A replayed batch sees what it saw first: the
+    versions below its own and the buffers up to its own."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         merged = batch.groupBy("k").agg(F.sum("d").alias("d"))
         merged.write.mode("overwrite").parquet(os.path.join(root, "buffer", f"batch={batch_id}"))
-        pend = _pending(spark, root, _flushed_upto(spark, root))
-        if pend is None:
-            return
-        if pend.select("k").distinct().count() >= flush_keys:
-            flush(spark, root, lr, version=batch_id)
+        pend = _pending(spark, root, _committed(spark, root, batch_id), batch_id)
+        if pend is not None and pend.select("k").distinct().count() >= flush_keys:
+            flush(spark, root, lr, batch_id)
     return sink
 
 
 def flush(spark: SparkSession, root: str, lr: float, version: int | None = None) -> DataFrame:
-    """Apply every pending buffered delta to the latest weights."""
-    pend = _pending(spark, root, _flushed_upto(spark, root))
-    w = _latest_weights(spark, root)
+    """Apply the pending deltas to the latest weights, as version ``version`` (that
+    of the last buffered batch, if not given)."""
+    pend = _pending(spark, root, _committed(spark, root, version), version)
     if pend is None:
-        return w
-    summed = pend.groupBy("k").agg(F.sum("d").alias("d"))
+        return _latest_weights(spark, root)
     if version is None:
         version = int(pend.agg(F.max("batch")).first()[0])
-    new = G.apply_delta(w, summed, lr)
+    summed = pend.groupBy("k").agg(F.sum("d").alias("d"))
+    new = G.apply_delta(_latest_weights(spark, root, version), summed, lr)
     new.write.mode("overwrite").parquet(os.path.join(root, "weights", f"v={version}"))
+    _commit(spark, root, version)
     return _latest_weights(spark, root)
 
 
@@ -149,10 +169,13 @@ def online_sgd_sink(root: str, feats: DataFrame, lr: float, reg: float, dim: int
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         w = _latest_weights(spark, root, batch_id)      # a replay starts where the batch first did
-        fr = L.feature_rows(batch.select("id", "y"), feats, w, n_weights=dim)
+        own = batch.select("id", "y")
+        mine = feats.join(own.select("id"), "id", "left_semi")      # the batch's features only
+        fr = L.feature_rows(own, mine, w, n_weights=dim)
         g = G.hinge_sq_gradient(fr, lr, reg)
         new = G.apply_delta(w, g, -1.0, value="g")
         new.write.mode("overwrite").parquet(os.path.join(root, "weights", f"v={batch_id}"))
+        _commit(spark, root, batch_id)
     return sink
 
 
@@ -164,47 +187,41 @@ def run_online_sgd(spark: SparkSession, examples: DataFrame, feats: DataFrame, r
 
 # ------------------------------------------------------------------ R4
 
-STOP_OUT = "worker_idx int, stop_step long, n_steps long, best_loss double"
-STOP_STATE = "n_steps long, smallest double, window array<double>, stop_step long, best double"
-
-
-def _early_stop_fn(p: int):
-    def fn(key, pdfs, state):
-        if state.exists:
-            n, smallest, window, stop, best = state.get
-            window = list(window)
-        else:
-            n, smallest, window, stop, best = 0, float("inf"), [], None, float("inf")
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="mergesort")
-        for loss in batch["loss"].tolist():
-            window.append(loss)
-            if len(window) > p:         # smallest: the best loss before the last p
-                smallest = min(smallest, window.pop(0))
-            if stop is None and min(window) > smallest:
-                stop = n
-            best = min(best, loss)
-            n += 1
-        state.update((n, smallest, window, stop, best))
-        yield pd.DataFrame({"worker_idx": pd.array([int(key[0])], dtype="int32"),
-                            "stop_step": pd.array([stop], dtype="Int64"),
-                            "n_steps": pd.array([n], dtype="int64"), "best_loss": [float(best)]})
-    return fn
-
-
-def early_stop(loss_events: DataFrame, p: int) -> DataFrame:
-    """Keyed state per worker: the last p losses, the best loss before them,
-    the step count and the first stop step."""
-    return loss_events.groupBy("worker_idx").applyInPandasWithState(
-        _early_stop_fn(p), STOP_OUT, STOP_STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def run_early_stop(spark: SparkSession, loss_events: DataFrame, root: str, p: int) -> DataFrame:
-    def sink(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(os.path.join(root, f"batch={batch_id}"))
-    _run(early_stop(loss_events, p).writeStream.outputMode("update").foreachBatch(sink), "early-stop", spark)
-    allb = spark.read.parquet(root)
-    latest = allb.groupBy("worker_idx").agg(F.max_by(F.struct("stop_step", "n_steps", "best_loss"), "batch").alias("s"))
-    return latest.select("worker_idx", "s.stop_step", "s.n_steps", "s.best_loss")
+def early_stop_sink(root: str, p: int, delay: str | None = None):
+    """foreachBatch function of R4: the batch's events join the log, the rule runs
+    over the log in event order (``series.early_stop_step``: blocks with a halo, so
+    no task holds a worker's series), and the result is a version of its own.
+
+    With ``delay`` (an interval such as ``'10 minutes'``) an event that is older
+    than the latest of the batches before it, less the delay, is late: it goes to a
+    table of its own and does not count."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        log = os.path.join(root, "log")
+        keep = batch
+        if delay is not None:
+            before = _read_opt(spark, log)
+            latest = before.filter(F.col("batch") < batch_id).agg(F.max("ts")).first()[0] if before is not None else None
+            if latest is not None:
+                on_time = F.col("ts") >= F.lit(latest) - F.expr(f"INTERVAL {delay}")
+                batch.filter(~on_time).write.mode("overwrite").parquet(os.path.join(root, "late", f"batch={batch_id}"))
+                keep = batch.filter(on_time)
+        keep.write.mode("overwrite").parquet(os.path.join(log, f"batch={batch_id}"))
+        seen = spark.read.parquet(log).filter(F.col("batch") <= batch_id)
+        SE.early_stop_step(SE.loss_curve(seen.drop("batch")), p).write.mode("overwrite").parquet(
+            os.path.join(root, "stops", f"v={batch_id}"))
+        _commit(spark, root, batch_id)
+    return sink
+
+
+def late_events(spark: SparkSession, root: str) -> DataFrame | None:
+    return _read_opt(spark, os.path.join(root, "late"))
+
+
+def run_early_stop(spark: SparkSession, loss_events: DataFrame, root: str, p: int, delay: str | None = None) -> DataFrame:
+    """``(worker_idx, stop_step, n_steps, best_loss)`` after the last micro-batch."""
+    _run(loss_events.writeStream.foreachBatch(early_stop_sink(root, p, delay)), "early-stop", spark)
+    return spark.read.parquet(os.path.join(root, "stops", f"v={_committed(spark, root)}"))
 
 
 def new_root(spark: SparkSession, name: str) -> str:
