@@ -1,9 +1,10 @@
 """Training steps expressed as DataFrame plans (M1, M2, M5, M6).
 
-Each step is: exact sample -> margins at frozen weights -> per-key gradient
-(partial + final aggregate) -> weights update (union + aggregate).  Sparse
-weights stay a DataFrame; dense weights (``dim`` numbers) pass through the
-driver between steps, which is the only data that does.
+Sparse steps run over batches that are drawn and packed once for all steps
+(``plans.batches``) with weights that stay a table (``plans.trainer``).  Dense
+steps are: exact sample -> margins at frozen weights -> gradient per coordinate;
+dense weights (``dim`` numbers) pass through the driver between steps, which is
+the only data that does.
 """
 
 from __future__ import annotations
@@ -11,49 +12,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linearspark.operators import features as FT
 from linearspark.operators import gradients as G
-from linearspark.operators import losses as L
 from linearspark.operators import sampling as SP
-from linearspark.session import materialize
-
-
-def _empty_weights(like: DataFrame) -> DataFrame:
-    return like.sparkSession.createDataFrame([], "k long, w double")
+from linearspark.plans.batches import draw, write_batches
+from linearspark.plans.trainer import HingeSq, Run, SvmMean, train
+from linearspark.session import scratch_path
 
 
 def hinge_steps(ex: DataFrame, feats: DataFrame, steps: int, batch: int, seed: int, lr: float, reg: float,
-                weights: DataFrame | None = None, dim: int | None = None, digits: int | None = None) -> DataFrame:
-    """M1: ``steps`` mini-batch steps of the hinge_sq rule (sparse weights)."""
-    w = weights if weights is not None else _empty_weights(ex)
-    n_rows = ex.count()
-    # dim (when given) bounds the weight table for an explicit broadcast; when
-    # unknown, adaptive execution measures the weights at run time instead
-    for s in range(steps):
-        b = SP.sample_exact(ex, batch, seed, s, n_rows=n_rows)
-        fr = L.feature_rows(b, feats, w, n_weights=dim, n_examples=batch, digits=digits)
-        g = G.hinge_sq_gradient(fr, lr, reg)
-        w = G.apply_delta(w, g, -1.0, value="g")
-        if s < steps - 1:
-            w = materialize(w)          # dim rows; the next step reads a table
-    return w
+                weights: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+    """M1: ``steps`` mini-batch steps of the hinge_sq rule.  The base tables are read
+    once for all batches; a step reads its own rows and the weights."""
+    run = Run(ex.sparkSession, scratch_path(ex.sparkSession, "hinge-run"), weights)
+    batches = write_batches(draw(ex, batch, seed, steps), feats, rows=steps * batch)
+    return run.weights(train(run, batches, steps, HingeSq(lr, reg), digits=digits))
 
 
 def svm_sync_steps(ex: DataFrame, feats: DataFrame, steps: int, workers: int, subset: int, seed: int,
-                   lr: float, lam: float, weights: DataFrame | None = None, dim: int | None = None, digits: int | None = None) -> DataFrame:
+                   lr: float, lam: float, weights: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """M2: synchronous SVM rounds: each worker draws its own exact sample,
     computes the svm_mean delta at the round's weights, deltas are summed
     and applied with ``lr``."""
-    w = weights if weights is not None else _empty_weights(ex)
-    n_rows = ex.count()
-    for s in range(steps):
-        b = SP.group_samples(ex, subset, seed, workers, group_col="worker", step=s, n_rows=n_rows)
-        fr = L.feature_rows(b, feats, w, n_weights=dim, keys=("worker", "id"), n_examples=workers * subset, digits=digits)
-        dlt = G.svm_mean_delta(fr, lam)
-        w = G.apply_delta(w, dlt, lr, value="d")
-        if s < steps - 1:
-            w = materialize(w)
-    return w
+    run = Run(ex.sparkSession, scratch_path(ex.sparkSession, "svm-run"), weights)
+    batches = write_batches(draw(ex, subset, seed, steps, workers), feats, rows=steps * workers * subset)
+    return run.weights(train(run, batches, steps, SvmMean(lr, lam), digits=digits))
 
 
 def _final(g: DataFrame, w: list[float], lr: float, scale: float) -> DataFrame:

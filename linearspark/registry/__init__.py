@@ -5,3 +5,4 @@ from linearspark.registry import data  # noqa: F401,E402
 from linearspark.registry import model  # noqa: F401,E402
 from linearspark.registry import runs  # noqa: F401,E402
 from linearspark.registry import training  # noqa: F401,E402
+from linearspark.registry import jobs  # noqa: F401,E402
