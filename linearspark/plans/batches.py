@@ -14,6 +14,8 @@ the feature key never see its hot key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,19 +70,22 @@ def pack_with_bias(feats: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("k") != BIAS_KEY, kv))).alias("kv"))
 
 
-def write_batches(drawn: DataFrame, feats: DataFrame, rows: int | None = None) -> str:
-    """The drawn rows with their features, one folder a step; returns the path.
-    ``rows`` (a bound on the drawn rows) lets their ids travel as a broadcast."""
+def write_batches(drawn: DataFrame, feats: DataFrame, rows: int | None = None,
+                  pack: Callable[[DataFrame], DataFrame] = pack_with_bias) -> str:
+    """The drawn rows with their features (as ``pack`` has them), one folder a step;
+    returns the path.  ``rows`` (a bound on the drawn rows) lets their ids travel
+    as a broadcast."""
     spark = drawn.sparkSession
     drawn = materialize(drawn, "drawn-rows")
     ids = drawn.select("id").distinct()
     ids = F.broadcast(ids) if rows is not None and rows <= BROADCAST_MAX_KEYS else ids
-    packed = pack_with_bias(feats.join(ids, "id", "left_semi"))
+    packed = pack(feats.join(ids, "id", "left_semi"))
     path = scratch_path(spark, "batches")
     drawn.join(packed, "id").repartition("step").write.partitionBy("step").parquet(path)
     return path
 
 
-def of_step(spark, path: str, step: int) -> DataFrame:
+def of_step(spark, path: str, step: int, schema=None) -> DataFrame:
     """The rows of one step's batch: the other folders are not listed or read."""
-    return spark.read.parquet(f"{path}/step={step}")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{path}/step={step}")

@@ -12,18 +12,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linearspark.functions.stopping import has_risen
-from linearspark.operators import sampling as SP
+from linearspark.operators import features as FT
 from linearspark.operators.features import BROADCAST_MAX_KEYS
+from linearspark.plans.batches import draw, of_step, write_batches
 from linearspark.plans.local_sgd import packed_examples
+from linearspark.session import materialize
 
 LITERAL_MAX = 10_000    # weight vectors up to this size may travel inside a plan (one-off scoring)
 MARGIN_SCHEMA = "id long, y int, m double"
 GRAD_SCHEMA = "k long, g double"
+BATCH_SCHEMA = "id long, y int, idx array<long>, val array<double>"
 
 
 def _flat(pdf: pd.DataFrame):
@@ -55,10 +57,12 @@ def _check(dim: int) -> None:
         raise ValueError(f"weight vector of {dim} keys is above the broadcast bound; use the relational form")
 
 
-def vector_margins(packed: DataFrame, w: np.ndarray) -> DataFrame:
-    """(id, y, m) for packed examples against a dense weight vector."""
+def vector_margins(packed: DataFrame, w: np.ndarray, bw=None) -> DataFrame:
+    """(id, y, m) for packed examples against a dense weight vector (``bw``: an
+    existing broadcast of it, which the caller releases)."""
     _check(len(w))
-    bw = packed.sparkSession.sparkContext.broadcast(np.asarray(w, dtype=float))
+    if bw is None:
+        bw = packed.sparkSession.sparkContext.broadcast(np.asarray(w, dtype=float))
 
     def fn(it):
         wv = bw.value
@@ -135,20 +139,6 @@ def jvm_margins(packed: DataFrame, w: np.ndarray) -> DataFrame:
     return packed.select("id", "y", m.alias("m"))
 
 
-def jvm_hinge_gradient(batch: DataFrame, w: np.ndarray, lr: float, reg: float) -> DataFrame:
-    """(k, g) of the hinge_sq rule plus a (-1, rows) row: JVM-side."""
-    wl = _wlit(w)
-    m = F.aggregate(F.zip_with("idx", "val", lambda k, v: v * _wk(wl, k)), F.lit(0.0), lambda a, b: a + b)
-    rows = batch.select("y", m.alias("m"), F.arrays_zip("idx", "val").alias("e"))
-    e = rows.select("y", "m", F.explode("e").alias("e")).select("y", "m", F.col("e.idx").alias("k"),
-                                                                F.col("e.val").alias("v"))
-    wk = _wk(wl, F.col("k"))
-    g = F.lit(lr) * F.when(F.col("y") * F.col("m") < 1, -F.col("v") * F.col("y")).otherwise(0.0) + wk * wk * F.lit(reg)
-    grad = e.groupBy("k").agg(F.sum(g).alias("g"))
-    n = batch.agg(F.count(F.lit(1)).cast("double").alias("g")).select(F.lit(-1).cast("long").alias("k"), "g")
-    return grad.unionByName(n)
-
-
 def hinge_loss_stats(packed: DataFrame, w: np.ndarray, reg: float) -> tuple[float, float]:
     """(objective, accuracy) over ``packed``: mean hinge + reg/2*||w||^2 and
     the threshold-rule accuracy, in one job."""
@@ -162,12 +152,12 @@ def hinge_loss_stats(packed: DataFrame, w: np.ndarray, reg: float) -> tuple[floa
 STAT_H, STAT_OK, STAT_N = -2, -3, -4      # keys of the statistics rows
 
 
-def _stats_rows(packed: DataFrame, w: np.ndarray) -> DataFrame:
+def _stats_rows(packed: DataFrame, w: np.ndarray, bw=None) -> DataFrame:
     """Hinge sum, right predictions and rows over ``packed`` as (k, g) rows.
 
     The weights travel as a broadcast, not as plan literals: literals would
     change the generated code every step and force a recompile."""
-    m = vector_margins(packed, w)
+    m = vector_margins(packed, w, bw)
     z = F.lit(1.0) - F.col("y") * F.col("m")
     a = m.agg(F.sum(F.greatest(z, F.lit(0.0))).alias("h"),
               F.sum(F.when(F.col("y") == F.when(F.col("m") > 0, 1).otherwise(-1), 1.0).otherwise(0.0)).alias("ok"),
@@ -179,62 +169,42 @@ def _stats_rows(packed: DataFrame, w: np.ndarray) -> DataFrame:
 
 
 def train_hinge(ex: DataFrame, feats: DataFrame, dim: int, steps: int, batch: int, seed: int, lr: float,
-                reg: float, val: DataFrame | None = None, persistence: int | None = None,
-                checkpoint_every: int = 0, digits: int | None = None):
-    """M1 / M7 driver loop in vectorized form.
-
-    Returns (w, history) where history has one (step, objective, accuracy)
-    entry per step when ``val`` is given; with ``persistence`` the loop stops
-    by the early-stopping rule on the validation objective."""
-    packed = packed_examples(ex, feats).persist(StorageLevel.MEMORY_AND_DISK)
-    vpacked = packed_examples(val, feats).persist(StorageLevel.MEMORY_AND_DISK) if val is not None else None
-    n_rows = packed.count()                  # also fills the cache
-    if batch > n_rows:
-        raise SP.SampleTooLarge(f"batch of {batch} asked from {n_rows} rows")
+                reg: float, val: DataFrame | None = None, persistence: int | None = None, digits: int | None = None):
+    """M1 / M7 driver loop in vectorized form, for weights that fit a broadcast
+    (``plans.trainer`` has no such bound).
+
+    All batches are drawn and packed once; a step reads its own rows.  Returns
+    (w, history) where history has one (step, objective, accuracy) entry per
+    step when ``val`` is given; with ``persistence`` the loop stops by the
+    early-stopping rule on the validation objective."""
+    _check(dim)
+    spark = ex.sparkSession
+    path = write_batches(draw(ex, batch, seed, steps), feats, steps * batch, FT.pack)
+    vpacked = materialize(packed_examples(val, feats), "val") if val is not None else None
     w = np.zeros(dim)
     hist = []
-    # measured at sf0.1: the pandas partial-vector gradient (one small row set
-    # per task) beats exploding every non-zero on the JVM side
-    grad_fn = vector_hinge_gradient
-    try:
-        # one job per step: validation statistics of w_s (the previous step's
-        # result) and the gradient at w_s are collected together
-        sc = packed.sparkSession.sparkContext
-        for s in range(steps + 1):
-            jobs = []
-            bw = sc.broadcast(np.asarray(w, dtype=float)) if s < steps else None
-            if s < steps:
-                jobs.append(grad_fn(SP.top_n(SP.with_hash(packed, seed, s), batch, n_rows), w, lr, reg, bw=bw, digits=digits))
-            if vpacked is not None and s > 0:
-                jobs.append(_stats_rows(vpacked, w))
-            if not jobs:
-                break
+    # one job per step: validation statistics of w_s (the previous step's
+    # result) and the gradient at w_s are collected together
+    for s in range(steps + 1):
+        jobs = []
+        bw = spark.sparkContext.broadcast(np.asarray(w, dtype=float))
+        if s < steps:
+            rows = of_step(spark, path, s, BATCH_SCHEMA)
+            jobs.append(vector_hinge_gradient(rows, w, lr, reg, bw=bw, digits=digits))
+        if vpacked is not None and s > 0:
+            jobs.append(_stats_rows(vpacked, w, bw))
+        got = {}
+        if jobs:
             u = jobs[0] if len(jobs) == 1 else jobs[0].unionByName(jobs[1])
             got = {int(r["k"]): r["g"] for r in u.collect()}          # <= dim + 4 rows
-            if bw is not None and (s == steps - 1 or got.get(-1, batch) >= batch):
-                bw.destroy()                                          # one weight copy per step
-                bw = None
-            if vpacked is not None and s > 0:
-                n = got.pop(STAT_N)
-                obj = got.pop(STAT_H) / n + reg / 2.0 * float(np.dot(w, w))
-                acc = got.pop(STAT_OK) / n
-                hist.append((s - 1, obj, acc))
-                if persistence and has_risen([h[1] for h in hist], persistence):
-                    break
-            if s == steps:
+        bw.destroy()                                                  # one weight copy per step
+        if vpacked is not None and s > 0:
+            n = got.pop(STAT_N)
+            obj = got.pop(STAT_H) / n + reg / 2.0 * float(np.dot(w, w))
+            hist.append((s - 1, obj, got.pop(STAT_OK) / n))
+            if persistence and has_risen([h[1] for h in hist], persistence):
                 break
-            if got.pop(-1, 0) < batch:
-                # the hash pre-filter kept fewer than batch rows: exact cutoff
-                b = SP.flag_first_n(SP.with_hash(packed, seed, s), batch, bits=SP.balanced_bits(n_rows)).filter(
-                    "_in").drop("_in")
-                got = {int(r["k"]): r["g"] for r in grad_fn(b, w, lr, reg, bw=bw, digits=digits).collect()}
-                got.pop(-1, None)
-                if bw is not None:
-                    bw.destroy()
-            for k, gv in got.items():
-                w[k] -= gv
-    finally:
-        packed.unpersist()
-        if vpacked is not None:
-            vpacked.unpersist()
+        got.pop(-1, None)
+        for k, gv in got.items():
+            w[k] -= gv
     return w, hist

@@ -26,6 +26,7 @@ EPOCHS = 40
 VAL_ROWS = 500
 STOP_P = 3
 EARLY_STEPS = 30
+EARLY_BATCH = 1000     # fits the smallest tables too
 STREAM_LR = 0.0075
 STREAM_SUBSET = 2
 
@@ -164,7 +165,7 @@ def _early_stop_sql() -> str:
     for s in range(EARLY_STEPS):
         w, w1 = f"w{s}", f"w{s + 1}"
         ctes += [
-            f"b{s} AS (SELECT id, y FROM sp WHERE part = 'train' ORDER BY {h(1, str(s), 'id')}, id LIMIT 1500)",
+            f"b{s} AS (SELECT id, y FROM sp WHERE part = 'train' ORDER BY {h(1, str(s), 'id')}, id LIMIT {EARLY_BATCH})",
             f"""r{s} AS (SELECT f.id, b.y, f.k, f.v, coalesce(pw.w, 0) AS w
                  FROM fo f JOIN b{s} b USING (id) LEFT JOIN {w} pw USING (k))""",
             f"m{s} AS (SELECT id, {r9('sum(v * w)')} AS m FROM r{s} GROUP BY id)",
@@ -192,7 +193,7 @@ def train_early_stop(spark, sf_dir):
     parts = materialize(SP.ratio_split(ex, 0.9, seed=1, label="part"))
     train = parts.filter(F.col("part") == "train").select("id", "y")
     val = parts.filter(F.col("part") == "test").select("id", "y")
-    w, hist = VZ.train_hinge(train, feats, dim, EARLY_STEPS, 1500, seed=1, lr=LR_HINGE, reg=REG_HINGE,
+    w, hist = VZ.train_hinge(train, feats, dim, EARLY_STEPS, EARLY_BATCH, seed=1, lr=LR_HINGE, reg=REG_HINGE,
                              val=val, persistence=STOP_P, digits=MARGIN_DIGITS)
     h = spark.createDataFrame([(int(s), float(o), float(a)) for s, o, a in hist],
                               "step long, val_objective double, val_acc double")

@@ -68,7 +68,7 @@ def test_vectorized_trainer_equals_relational_steps(spark, data):
 def test_online_sgd_single_batch_is_full_gradient_step(spark, data):
     ex, feats, dim = data
     schema = T.table(spark, SF_SMALL, "orders").schema
-    o = SJ.file_stream(spark, SF_SMALL, "orders.parquet", schema)
+    o = SJ.file_stream(spark, f"{SF_SMALL}/orders.parquet", schema)
     stream_ex = o.select(F.col("o_orderkey").alias("id"),
                          F.when(F.col("o_orderstatus") == "F", 1).otherwise(-1).cast("int").alias("y"))
     w = {r["k"]: r["w"] for r in SJ.run_online_sgd(spark, stream_ex, feats, scratch_path(spark, "osgd"),
