@@ -1,4 +1,4 @@
-"""Feature-level operators: pack/unpack, dimension, densify, margins.
+"""Feature-level operators: pack, dimension, densify, margins.
 
 Two physical forms are supported and tested equal:
 
@@ -50,11 +50,6 @@ def pack(feats: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def unpack(packed: DataFrame, keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    z = packed.select(*keep, F.explode(F.arrays_zip(F.col("idx").alias("k"), F.col("val").alias("v"))).alias("_e"))
-    return z.select(*keep, F.col("_e.k").alias("k"), F.col("_e.v").alias("v"))
-
-
 def feature_dim(feats: DataFrame) -> DataFrame:
     """max key + 1 (one row, ``dim``); partial max per partition."""
     return feats.agg((F.max("k") + 1).cast("long").alias("dim"))
@@ -71,14 +66,30 @@ def densify(packed: DataFrame, dim: int, keep: tuple[str, ...] = ("id",)) -> Dat
     return packed.select(*keep, x.alias("x"))
 
 
-def margins(feats: DataFrame, weights: DataFrame, n_weights: int | None = None) -> DataFrame:
-    """Relational sparse dot product: (id, m) = sum(v * w_k), absent w = 0.
+BIAS_KEY = 0
+BIAS_SALTS = 1024       # join keys that the bias, a feature of every example, is dealt over
+
+
+def with_weights(rows: DataFrame, weights: DataFrame, n_weights: int | None = None, id_col: str = "id") -> DataFrame:
+    """``rows (id, k, ...)`` with their weight ``w`` (absent: 0).
 
-    The weight table is broadcast when its size is known to be bounded;
-    otherwise the join is left to the planner (sort-merge on ``k``)."""
-    w = bounded_broadcast(weights.select("k", "w"), n_weights)
-    j = feats.join(w, "k", "left")
-    return j.groupBy("id").agg(F.sum(F.col("v") * F.coalesce(F.col("w"), F.lit(0.0))).alias("m"))
+    The weight table is broadcast when its size is known to be bounded; otherwise
+    the join is left to the planner (sort-merge on the key).  The bias key, which
+    every example has, is dealt over ``BIAS_SALTS`` join keys, so no task gets
+    them all."""
+    bias = F.col("k") == BIAS_KEY
+    salt = -1 - F.pmod(F.xxhash64(id_col), F.lit(BIAS_SALTS))
+    salted = F.when(bias, F.sequence(F.lit(-BIAS_SALTS).cast("long"), F.lit(-1).cast("long"))).otherwise(
+        F.array(F.col("k").cast("long")))
+    w = weights.select("w", F.explode(salted).alias("_at"))
+    w = bounded_broadcast(w, None if n_weights is None else n_weights + BIAS_SALTS)
+    return rows.withColumn("_at", F.when(bias, salt).otherwise(F.col("k").cast("long"))).join(w, "_at", "left").withColumn(
+        "w", F.coalesce("w", F.lit(0.0))).drop("_at")
+
+
+def margins(feats: DataFrame, weights: DataFrame, n_weights: int | None = None) -> DataFrame:
+    """Relational sparse dot product: (id, m) = sum(v * w_k), absent w = 0."""
+    return with_weights(feats, weights, n_weights).groupBy("id").agg(F.sum(F.col("v") * F.col("w")).alias("m"))
 
 
 def labelled_margins(ex: DataFrame, feats: DataFrame, weights: DataFrame, n_weights: int | None = None) -> DataFrame:
@@ -94,11 +105,6 @@ def dense_dot(x_col: str, w: list[float]):
     return F.aggregate(F.zip_with(F.col(x_col), wv, lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e)
 
 
-def dense_dot_cols(x_col: str, w_col: str):
-    """Dense dot product of two ARRAY<DOUBLE> columns."""
-    return F.aggregate(F.zip_with(F.col(x_col), F.col(w_col), lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e)
-
-
 def fixed_dense_weights(dim: int) -> list[float]:
     """Dense test weights, same rule as ``fixed_weight``: ((i*37)%11-5)/10."""
     return [float((i * 37) % 11 - 5) / 10.0 for i in range(dim)]

@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linearspark.functions import is_support, logistic_factor
+from linearspark.functions import is_support, logistic_factor, stable_margin
+from linearspark.operators.features import dense_dot
 
 
 def hinge_sq_gradient(frows: DataFrame, lr: float, reg: float, groups: tuple[str, ...] = ()) -> DataFrame:
@@ -36,14 +37,9 @@ def svm_mean_delta(frows: DataFrame, lam: float, groups: tuple[str, ...] = ()) -
     return frows.groupBy(*groups, "k").agg(F.sum(d).alias("d"))
 
 
-def dense_rows(points: DataFrame, w: list[float] | None, w_col: str | None = None,
-               digits: int | None = None) -> DataFrame:
-    """(id, y, x, m) for dense points against constant or per-row weights."""
-    from linearspark.operators.features import dense_dot, dense_dot_cols
-    from linearspark.functions import stable_margin
-
-    dot = dense_dot("x", w) if w_col is None else dense_dot_cols("x", w_col)
-    return points.withColumn("m", stable_margin(dot, digits))
+def dense_rows(points: DataFrame, w: list[float], digits: int | None = None) -> DataFrame:
+    """(id, y, x, m) for dense points against constant weights."""
+    return points.withColumn("m", stable_margin(dense_dot("x", w), digits))
 
 
 def dense_l2_gradient(drows: DataFrame, w: list[float], lam: float, n_examples: float = 1.0) -> DataFrame:

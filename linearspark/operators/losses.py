@@ -2,17 +2,17 @@
 
 Inputs are either a margins table ``(id, y, m)`` or long features with the
 label ``(id, y, k, v)``.  Per-row statistics over the features of one example
-use a window partitioned by ``id``: one shuffle, and a partition is a single
-example's features (bounded by the row width).
+come from one aggregation by the example, which carries its features along as
+an array (bounded by the row width): one shuffle, no sort.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linearspark.functions import hinge, is_support, predict_sign, predict_threshold, stable_margin
-from linearspark.operators.features import BROADCAST_MAX_KEYS, bounded_broadcast
+from linearspark.operators.features import BROADCAST_MAX_KEYS, with_weights
 
 
 def feature_rows(ex: DataFrame, feats: DataFrame, weights: DataFrame, n_weights: int | None = None,
@@ -29,28 +29,22 @@ def feature_rows(ex: DataFrame, feats: DataFrame, weights: DataFrame, n_weights:
     mini-batch) the examples are broadcast and the features are first
     semi-joined on their ids; the optimizer pushes that filter below the
     aggregation that builds the features, down to the scan."""
-    w = bounded_broadcast(weights.select("k", "w"), n_weights)
     exs = ex.select(*keys, "y")
     if n_examples is not None and n_examples <= BROADCAST_MAX_KEYS:
         feats = feats.join(F.broadcast(ex.select("id")), "id", "left_semi")
         exs = F.broadcast(exs)
-    j = feats.join(exs, "id", "inner").join(w, "k", "left")
-    j = j.withColumn("w", F.coalesce(F.col("w"), F.lit(0.0)))
-    win = Window.partitionBy(*keys)
-    return j.select(
-        *keys, "y", "k", "v", "w",
-        stable_margin(F.sum(F.col("v") * F.col("w")).over(win), digits).alias("m"),
-        F.sum("w").over(win).alias("sw"),
-        F.sum(F.col("w") * F.col("w")).over(win).alias("sw2"),
-        F.count(F.lit(1)).over(win).alias("nnz"),
-    )
+    j = with_weights(feats.join(exs, "id", "inner"), weights, n_weights)
+    per = j.groupBy(*keys, "y").agg(
+        F.sum(F.col("v") * F.col("w")).alias("dot"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sw2"),
+        F.count(F.lit(1)).alias("nnz"), F.collect_list(F.struct("k", "v", "w")).alias("kvw"))
+    return per.select(*keys, "y", stable_margin("dot", digits).alias("m"), "sw", "sw2", "nnz", F.explode("kvw").alias("e")).select(
+        *keys, "y", "e.k", "e.v", "e.w", "m", "sw", "sw2", "nnz")
 
 
 def example_stats(ex: DataFrame, feats: DataFrame, weights: DataFrame, n_weights: int | None = None,
                   digits: int | None = None) -> DataFrame:
     """(id, y, ex columns..., m, sw, sw2, nnz) with one aggregation by id."""
-    w = bounded_broadcast(weights.select("k", "w"), n_weights)
-    j = feats.join(w, "k", "left").withColumn("w", F.coalesce(F.col("w"), F.lit(0.0)))
+    j = with_weights(feats, weights, n_weights)
     g = j.groupBy("id").agg(
         F.sum(F.col("v") * F.col("w")).alias("m"),
         F.sum("w").alias("sw"),

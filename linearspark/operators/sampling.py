@@ -7,6 +7,8 @@ gives the same sizes (exact n, ``int(ratio*n)``) without a global sort:
 
 * small n, no groups: a top-k (``orderBy(...).limit(n)`` is planned as
   TakeOrderedAndProject, each task keeps at most n rows);
+* many groups (steps, workers): one scan for all, candidates by a hash
+  threshold, rank within a group;
 * otherwise the *histogram cutoff*: count rows per 16-bit hash prefix
   (a partial aggregate, at most 65,536 rows per group), find the bucket where
   the running count crosses n, and rank rows only inside that one bucket.
@@ -25,7 +27,6 @@ from linearspark.functions import hash_prefix, hash_text
 from linearspark.session import materialize
 
 TOPK_MAX = 100_000   # largest n drawn with a top-k
-TOPK_GROUPS = 32     # most groups drawn as a union of top-k plans
 HASH_BITS = 16       # histogram buckets = 2**HASH_BITS per group
 
 
@@ -114,69 +115,74 @@ def top_n(h: DataFrame, n: int, n_rows: int | None, id_col: str = "id") -> DataF
 
 
 def sample_exact(df: DataFrame, n: int, seed: int, step: int = 0, id_col: str = "id",
-                 strict: bool = True, n_rows: int | None = None, verify: bool = True) -> DataFrame:
+                 strict: bool = True, n_rows: int | None = None) -> DataFrame:
     """Exactly ``n`` rows without replacement, repeatable for (seed, step).
 
-    ``strict`` raises SampleTooLarge when the table has fewer than n rows.
-    With ``verify`` the pre-filtered candidate set is counted (a small job)
-    and the histogram cutoff is used in the rare case it is short."""
+    ``strict`` raises SampleTooLarge when the table has fewer than n rows.  The
+    pre-filtered candidate set is counted (a small job); in the rare case that
+    it is short, the histogram cutoff is used."""
     if strict or n_rows is None:
         n_rows = n_rows if n_rows is not None else df.count()
         if strict and n > n_rows:
             raise SampleTooLarge(f"sample of {n} asked from {n_rows} rows")
     h = with_hash(df, seed, step, id_col=id_col)
     if n <= TOPK_MAX:
-        if verify and prefilter_threshold(n, n_rows) is not None:
+        if prefilter_threshold(n, n_rows) is not None:
             cand = materialize(candidates(h, n, n_rows), "candidates")     # one pass, ~n rows
-            if cand.count() < n:
-                return flag_first_n(h, n, id_col=id_col, bits=balanced_bits(n_rows)).filter("_in").drop("_h", "_in")
-            return cand.orderBy("_h", id_col).limit(n).drop("_h")
-        return top_n(h, n, n_rows, id_col).drop("_h")
+            if cand.count() >= n:
+                return cand.orderBy("_h", id_col).limit(n).drop("_h")
+        else:
+            return top_n(h, n, n_rows, id_col).drop("_h")
     return flag_first_n(h, n, id_col=id_col, bits=balanced_bits(n_rows)).filter("_in").drop("_h", "_in")
 
 
-def group_samples(df: DataFrame, n: int, seed: int, groups: int, group_col: str = "worker",
-                  step: int | None = 0, id_col: str = "id", n_rows: int | None = None,
-                  verify: bool = True) -> DataFrame:
-    """An independent exact sample of ``n`` rows for each of ``groups``
-    groups (workers or steps); overlap between groups is allowed.
-
-    Few groups and small n: a union of one top-k per group over hash-
-    pre-filtered candidates, so each merging task sees about n + 8*sqrt(n)
-    rows whatever the number of input partitions.  The candidate counts are
-    verified in one small job; a short group (an 8-sigma event) switches to
-    the exact grouped histogram cutoff, which is also used for many groups or
-    large n."""
-    if n_rows is None:
-        n_rows = df.count()
+def _slot_hash(seed: int, step0: int, slot: Column, workers: int | None, id_col: str) -> Column:
+    """Hash of slot ``step * workers + worker`` (or ``step``) for the row's id."""
+    if workers is None:
+        return hash_text(seed, slot + F.lit(step0), id_col)
+    return hash_text(seed, F.floor(slot / workers).cast("long") + F.lit(step0), F.pmod(slot, F.lit(workers)), id_col)
+
+
+def slot_samples(df: DataFrame, n: int, seed: int, steps: int, workers: int | None = None, step0: int = 0,
+                 id_col: str = "id", n_rows: int | None = None) -> DataFrame:
+    """``(step, worker, df columns)``: an exact sample of ``n`` rows for every step
+    from ``step0`` on (and every worker; 0 if there are none), drawn in one scan.
+
+    A row's hashes of all slots are computed together and only those below a
+    threshold that keeps about n + 8 sqrt(n) rows a slot become rows; rank cuts
+    the rest.  A slot short of candidates (an 8-sigma event) makes the scan run
+    again with a larger threshold; the last one keeps every row."""
+    n_rows = df.count() if n_rows is None else n_rows
     if n > n_rows:
-        raise SampleTooLarge(f"sample of {n} per group asked from {n_rows} rows")
-    if groups <= TOPK_GROUPS and n <= TOPK_MAX and prefilter_threshold(n, n_rows) is not None:
-        # one pass: every group's hash-pre-filtered candidates (about
-        # n + 8*sqrt(n) rows each) are written once; counts and ranks then
-        # run on that small table
-        hs = [candidates(with_hash(df.withColumn(group_col, F.lit(g)), seed, step, group=group_col,
-                                   id_col=id_col), n, n_rows) for g in range(groups)]
-        u = hs[0]
-        for h in hs[1:]:
-            u = u.unionByName(h)
-        cand = materialize(u, "candidates")
-        got = {r[group_col]: r["count"] for r in cand.groupBy(group_col).count().collect()}   # <= groups rows
-        if not verify or all(got.get(g, 0) >= n for g in range(groups)):
-            rank = F.row_number().over(Window.partitionBy(group_col).orderBy("_h", id_col))
-            return cand.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r", "_h")
-    elif groups <= TOPK_GROUPS and n <= TOPK_MAX:
-        # the sample is (nearly) the whole table: plain per-group top-k
-        parts = [with_hash(df.withColumn(group_col, F.lit(g)), seed, step, group=group_col, id_col=id_col)
-                 .orderBy("_h", id_col).limit(n).drop("_h") for g in range(groups)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    x = df.withColumn(group_col, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    x = with_hash(x, seed, step, group=group_col, id_col=id_col)
-    return flag_first_n(x, n, id_col=id_col, groups=[group_col], bits=balanced_bits(n_rows)).filter(
-        "_in").drop("_h", "_in")
+        raise SampleTooLarge(f"sample of {n} asked from {n_rows} rows")
+    slots, w = steps * (workers or 1), workers or 1
+    limit = prefilter_threshold(n, n_rows)
+    while True:
+        each = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda s: F.struct(
+            s.alias("slot"), _slot_hash(seed, step0, s, workers, id_col).alias("h")))
+        if limit is not None:
+            each = F.filter(each, lambda e: hash_prefix(e["h"], 32) < F.lit(limit))
+        found = materialize(df.select("*", F.explode(each).alias("_e")), "drawn")
+        enough = found.groupBy("_e.slot").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= n).count()
+        if enough == slots or limit is None:
+            break
+        limit = None if limit >= 2 ** 30 else 4 * limit
+    rank = F.row_number().over(Window.partitionBy("_e.slot").orderBy("_e.h", id_col))
+    return found.withColumn("_r", rank).filter(F.col("_r") <= n).select(
+        (F.floor(F.col("_e.slot") / w) + F.lit(step0)).cast("int").alias("step"),
+        F.pmod("_e.slot", F.lit(w)).cast("int").alias("worker"), *df.columns)
+
+
+def group_samples(df: DataFrame, n: int, seed: int, groups: int, group_col: str = "worker",
+                  step: int | None = 0, id_col: str = "id", n_rows: int | None = None) -> DataFrame:
+    """An independent exact sample of ``n`` rows for each of ``groups`` groups
+    (workers of a step, or steps without workers); overlap between groups is
+    allowed.  One scan (``slot_samples``)."""
+    if step is None:
+        found, own, other = slot_samples(df, n, seed, groups, None, 0, id_col, n_rows), "step", "worker"
+    else:
+        found, own, other = slot_samples(df, n, seed, 1, groups, step, id_col, n_rows), "worker", "step"
+    return found.drop(other).select(*df.columns, F.col(own).alias(group_col))
 
 
 def step_samples(df: DataFrame, n: int, seed: int, steps: int, id_col: str = "id",

@@ -16,50 +16,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linearspark.functions import hash_prefix, hash_text
-from linearspark.operators.features import BROADCAST_MAX_KEYS
-from linearspark.operators.sampling import SampleTooLarge, prefilter_threshold
+from linearspark.operators.features import BIAS_KEY, BROADCAST_MAX_KEYS
+from linearspark.operators.sampling import slot_samples
 from linearspark.session import materialize, scratch_path
 
-BIAS_KEY = 0
-
-
-def _hash(seed: int, slot, workers: int | None):
-    """Hash of slot ``step * workers + worker`` (or ``step``) for the row's id."""
-    if workers is None:
-        return hash_text(seed, slot, "id")
-    return hash_text(seed, F.floor(slot / workers).cast("long"), F.pmod(slot, F.lit(workers)), "id")
 
 
 def draw(ex: DataFrame, n: int, seed: int, steps: int, workers: int | None = None,
          n_rows: int | None = None) -> DataFrame:
-    """``(step, worker, id, y)``: an exact sample of ``n`` rows of ``ex (id, y)`` for
-    every step (and worker; 0 if there are none), without replacement.
-
-    A pair short of candidates (an 8-sigma event) makes the scan run again with a
-    larger threshold; the last one keeps every row, so the sample is always exact."""
-    n_rows = ex.count() if n_rows is None else n_rows
-    if n > n_rows:
-        raise SampleTooLarge(f"batch of {n} asked from {n_rows} rows")
-    slots = steps * (workers or 1)
-    limit = prefilter_threshold(n, n_rows)
-    while True:
-        each = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)),
-                           lambda s: F.struct(s.alias("slot"), _hash(seed, s, workers).alias("h")))
-        if limit is not None:
-            each = F.filter(each, lambda e: hash_prefix(e["h"], 32) < F.lit(limit))
-        found = materialize(ex.select("id", "y", F.explode(each).alias("e")).select("id", "y", "e.slot", "e.h"), "drawn")
-        enough = found.groupBy("slot").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= n).count()
-        if enough == slots:
-            break
-        limit = None if limit is None or limit >= 2 ** 30 else 4 * limit
-    rank = F.row_number().over(Window.partitionBy("slot").orderBy("h", "id"))
-    w = workers or 1
-    return found.withColumn("r", rank).filter(F.col("r") <= n).select(
-        F.floor(F.col("slot") / w).cast("int").alias("step"), F.pmod("slot", F.lit(w)).cast("int").alias("worker"), "id", "y")
+    """``(step, worker, id, y)``: the batches of all steps and workers, in one scan."""
+    return slot_samples(ex.select("id", "y"), n, seed, steps, workers, n_rows=n_rows)
 
 
 def pack_with_bias(feats: DataFrame) -> DataFrame:

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from linearspark.functions import hinge, is_support, predict_sign, predict_threshold, stable_margin
 from linearspark.functions.stopping import has_risen
-from linearspark.plans.batches import BIAS_KEY, draw, of_step, pack_with_bias, write_batches
+from linearspark.operators.features import BIAS_KEY
+from linearspark.plans.batches import draw, of_step, pack_with_bias, write_batches
 from linearspark.session import materialize
 from linearspark.sources.runlog import ACCURACY_FIELDS, RUN_LOG_SCHEMA, write_run_logs
 

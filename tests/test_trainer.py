@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from linearspark.functions.stopping import has_risen
+from linearspark.operators import sampling as SP
 from linearspark.operators.sampling import SampleTooLarge
 from linearspark.plans import batches as B
 from linearspark.plans import trainer as TR
@@ -36,7 +37,7 @@ def test_draw_is_the_n_smallest_hashes(spark, n, workers):
 
 def test_draw_widens_a_short_threshold(spark, monkeypatch):
     ex = spark.range(200).select("id", F.lit(1).alias("y"))
-    monkeypatch.setattr(B, "prefilter_threshold", lambda n, rows: 1 << 20)      # keeps next to nothing
+    monkeypatch.setattr(SP, "prefilter_threshold", lambda n, rows: 1 << 20)      # keeps next to nothing
     want = sorted(range(200), key=lambda i: (_md5(1, 0, i), i))[:50]
     assert {r["id"] for r in B.draw(ex, 50, 1, 1).collect()} == set(want)
     with pytest.raises(SampleTooLarge):
