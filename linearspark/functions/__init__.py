@@ -13,4 +13,5 @@ from linearspark.functions.columns import (  # noqa: F401
     secs_text,
     stable_margin,
     ts_text,
+    uniform,
 )

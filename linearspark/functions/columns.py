@@ -126,3 +126,10 @@ def secs_text(x) -> Column:
 def fixed_weight(k) -> Column:
     """Deterministic test weights w_k = ((k*37) % 11 - 5) / 10."""
     return (F.pmod(col(k) * 37, F.lit(11)) - 5).cast("double") / 10.0
+
+
+def uniform(seed: int, index) -> Column:
+    """Random number ``index`` of stream ``seed``, in [0, 1): the leading 52 bits of
+    the md5 of both.  No state, so it is the same in any task, order and engine."""
+    bits = F.conv(F.substring(hash_text(seed, index), 1, 13), 16, 10).cast("long")
+    return bits.cast("double") / F.lit(float(2 ** 52))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linearspark.functions import uniform
 from linearspark.operators import gradients as G
 from linearspark.operators import sampling as SP
 from linearspark.plans.batches import draw, write_batches
@@ -58,6 +59,12 @@ def dense_steps(points: DataFrame, dim: int, steps: int, batch: int, seed: int,
     raise ValueError("steps must be >= 1")
 
 
+def random_start(spark, dim: int, seed: int) -> list[float]:
+    """``dim`` start weights, uniform in [-1, 1), repeatable for ``seed``."""
+    rows = spark.range(dim).select("id", (F.lit(2.0) * uniform(seed, "id") - F.lit(1.0)).alias("w")).collect()     # dim numbers
+    return [r["w"] for r in sorted(rows)]
+
+
 def logistic_steps(points: DataFrame, w0: list[float], steps: int, digits: int | None = None) -> DataFrame:
     """M6: full-batch logistic regression, step size 1: w <- w - sum(g)."""
     w = list(w0)

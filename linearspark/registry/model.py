@@ -386,3 +386,18 @@ def train_logistic_2step(spark, sf_dir):
     points, w0 = _fixed_points(spark, sf_dir)
     w = ST.logistic_steps(points, w0, steps=2, digits=MARGIN_DIGITS)
     return w.select("i", out("w").alias("w"))
+
+
+START_SEED = 42
+SEEDED_WL = f"""[2 * (CAST(('0x' || substr(md5('{START_SEED}:' || i), 1, 13))::UBIGINT AS DOUBLE) / {d(float(2 ** 52))}) - 1
+                for i in range(len(x))]"""
+
+
+@query("train_logistic_seeded_2step", with_(POINTS, *[c.replace(FIXED_WL, SEEDED_WL) for c in _logistic_step_sql(None, 0, "w1")],
+                                            *_logistic_step_sql("w1", 1, "w2")) + f"SELECT i, {r6('w')} AS w FROM w2")
+def train_logistic_seeded_2step(spark, sf_dir):
+    """M6 from random start weights."""
+    points = T.points(spark, sf_dir)
+    w0 = ST.random_start(spark, T.point_dim(points), START_SEED)
+    w = ST.logistic_steps(points, w0, steps=2, digits=MARGIN_DIGITS)
+    return w.select("i", out("w").alias("w"))

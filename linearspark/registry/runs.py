@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linearspark.functions import out
+from linearspark.functions import out, ts_text
 from linearspark.operators import runs as RN
 from linearspark.operators import series as SE
 from linearspark.registry.base import DELTAS, LOSS_EVENTS, RUNS, fixed_w, query, r6, with_
@@ -128,6 +128,38 @@ def elapsed_seconds(spark, sf_dir):
     return e.select("worker_idx", "event_id", out("seconds").alias("seconds"), "time")
 
 
+GRID_S = 86_400
+
+LOG_POINTS = """lp AS (SELECT user_id AS run_id, CASE WHEN event_id % 2 = 0 THEN 'val' ELSE 'train' END AS series,
+        CASE WHEN event_id % 2 = 0 THEN NULL ELSE CAST(event_id % 3 AS INTEGER) END AS worker, event_id AS pos,
+        epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id) AS us, value FROM events)"""
+
+
+@query("loss_curves_from_logs", with_(LOG_POINTS, f"""gr AS (SELECT run_id, series, worker, unnest(range(
+        min(us + {GRID_S * 10**6 - 1}) // {GRID_S * 10**6}, max(us + {GRID_S * 10**6 - 1}) // {GRID_S * 10**6} + 1)) AS c
+        FROM lp GROUP BY run_id, series, worker)""") + f"""
+SELECT g.run_id, g.series, g.worker, g.c * {GRID_S} AS seconds, {r6('arg_max(p.value, (p.us, p.pos))')} AS value
+FROM gr g JOIN lp p ON p.run_id = g.run_id AND p.series = g.series AND p.worker IS NOT DISTINCT FROM g.worker
+    AND p.us <= g.c * {GRID_S * 10**6} GROUP BY g.run_id, g.series, g.worker, g.c""")
+def loss_curves_from_logs(spark, sf_dir):
+    """Run logs with nested loss lists are written (a run a user, validation losses
+    and those of three workers), read back and aligned on a grid of days."""
+    ev = T.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("run_id"), "event_id", "ts", "value", (F.col("event_id") % 2 == 0).alias("val"))
+    order = lambda e: F.transform(F.array_sort(F.collect_list(e)), lambda x: x["e"])
+    time = ts_text("ts").alias("time")
+    val = F.when(F.col("val"), F.struct("ts", "event_id", F.struct(time, F.col("value").alias("loss_val")).alias("e")))
+    train = F.when(~F.col("val"), F.struct("ts", "event_id", F.struct(
+        F.pmod("event_id", F.lit(3)).cast("int").alias("worker_idx"), F.col("value").alias("loss_train"), time).alias("e")))
+    logs = ev.groupBy("run_id").agg(ts_text(F.min("ts")).alias("start_time"), ts_text(F.max("ts")).alias("end_time"),
+                                    order(val).alias("losses_val"), order(train).alias("losses_train"))
+    path = scratch_path(spark, "curve-logs")
+    RL.write_run_logs(logs, path)
+    back = RL.read_run_logs(spark, path, multi_line=False, glob="*.json")
+    grid = RN.on_time_grid(RN.log_curves(back), GRID_S)
+    return grid.select("run_id", "series", "worker", "seconds", out("value").alias("value"))
+
+
 # ------------------------------------------------------------------ sinks
 
 APPLIED_W = [DELTAS, f"""aw AS (SELECT k, sum(x) AS w FROM (

@@ -7,6 +7,7 @@ from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from linearspark.functions import out
+from linearspark.functions.columns import utc_micros
 from linearspark.operators import features as FT
 from linearspark.operators import gradients as G
 from linearspark.operators import sampling as SP
@@ -226,6 +227,23 @@ def stream_loss_stats(spark, sf_dir):
     return r.select("worker_idx", "n", out("min_loss").alias("min_loss"), out("avg_loss").alias("avg_loss"))
 
 
+WINDOW_S, DELAY_S = 86_400, 3_600
+
+
+@query("stream_loss_windows", with_(LOSS_EVENTS) + f"""
+SELECT worker_idx, (epoch_us(ts) // {WINDOW_S * 10**6}) * {WINDOW_S} AS start_s, count(*) AS n,
+       {r6('min(loss)')} AS min_loss, {r6('avg(loss)')} AS avg_loss
+FROM le GROUP BY worker_idx, epoch_us(ts) // {WINDOW_S * 10**6}
+HAVING (start_s + {WINDOW_S} + {DELAY_S}) * 1000 <= (SELECT max(epoch_us(ts)) // 1000 FROM le)""")
+def stream_loss_windows(spark, sf_dir):
+    le = T.loss_events(spark, sf_dir).withColumn("ts", F.timestamp_micros(utc_micros("ts")))    # a watermark needs an instant
+    path = SJ.arrivals_in_order(le, ARRIVALS, SJ.new_root(spark, "events-in-order"))
+    stream = SJ.file_stream(spark, path, le.schema, max_files=1)
+    r = SJ.run_window_stats(spark, stream, SJ.new_root(spark, "loss-windows"), f"{WINDOW_S} seconds", f"{DELAY_S} seconds")
+    return r.select("worker_idx", F.unix_seconds("start").alias("start_s"), "n", out("min_loss").alias("min_loss"),
+                    out("avg_loss").alias("avg_loss"))
+
+
 @query("stream_delta_merge", with_(DELTAS) +
        f"SELECT k, {r6(f'CAST({STREAM_LR!r} AS DOUBLE) * sum(d)')} AS w FROM dl GROUP BY k")
 def stream_delta_merge(spark, sf_dir):

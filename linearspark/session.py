@@ -7,6 +7,7 @@ is missing (local tests) do we create one ourselves.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -16,7 +17,12 @@ _CKPT_KEY = "spark.checkpoint.dir"
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """Session used by tests, the bench and the local checker."""
+    """Session used by tests, the bench and the local checker.  Python workers find
+    this package wherever the program was started (a cluster installs it)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("linearspark")

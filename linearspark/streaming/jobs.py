@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linearspark.functions.columns import utc_micros
 from linearspark.operators import gradients as G
 from linearspark.operators import losses as L
 from linearspark.operators import series as SE
@@ -84,6 +85,34 @@ def run_loss_stats(spark: SparkSession, loss_events: DataFrame, out: str) -> Dat
     return spark.read.parquet(os.path.join(out, "stats", f"v={_committed(spark, out)}"))
 
 
+def arrivals_in_order(df: DataFrame, parts: int, path: str, ts: str = "ts") -> str:
+    """``df`` written in ``parts`` files or more, one time range after the other, as
+    a log grows: a stream with ``max_files`` sees the events in order of ranges."""
+    at = utc_micros(ts)
+    cuts = df.select(at.alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        own = df if low is None else df.filter(at >= F.lit(int(low)))
+        own = own if high is None else own.filter(at < F.lit(int(high)))
+        own.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def window_stats(loss_events: DataFrame, width: str, delay: str) -> DataFrame:
+    """``(worker_idx, start, n, min_loss, avg_loss)`` of tumbling event-time windows;
+    a window's row comes once, when the watermark (the latest event less ``delay``)
+    has passed its end, and its state goes then.  Later events of it are dropped."""
+    per = loss_events.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "worker_idx").agg(
+        F.count(F.lit(1)).alias("n"), F.min("loss").alias("min_loss"), F.avg("loss").alias("avg_loss"))
+    return per.select("worker_idx", F.col("w.start").alias("start"), "n", "min_loss", "avg_loss")
+
+
+def run_window_stats(spark: SparkSession, loss_events: DataFrame, out: str, width: str, delay: str) -> DataFrame:
+    """The windows that are over, appended to a table (exactly once by its checkpoint)."""
+    w = window_stats(loss_events, width, delay).writeStream.format("parquet").option("path", out).outputMode("append")
+    _run(w, "loss-windows", spark)
+    return spark.read.schema("worker_idx int, start timestamp, n long, min_loss double, avg_loss double").parquet(out)
+
+
 # ------------------------------------------------------------------ R2
 
 def _read_opt(spark: SparkSession, path: str) -> DataFrame | None:
@@ -187,23 +216,23 @@ def run_online_sgd(spark: SparkSession, examples: DataFrame, feats: DataFrame, r
 
 # ------------------------------------------------------------------ R4
 
-def early_stop_sink(root: str, p: int, delay: str | None = None):
+def early_stop_sink(root: str, p: int, delay_s: int | None = None):
     """foreachBatch function of R4: the batch's events join the log, the rule runs
     over the log in event order (``series.early_stop_step``: blocks with a halo, so
     no task holds a worker's series), and the result is a version of its own.
 
-    With ``delay`` (an interval such as ``'10 minutes'``) an event that is older
-    than the latest of the batches before it, less the delay, is late: it goes to a
-    table of its own and does not count."""
+    With ``delay_s`` an event that is more than so many seconds older than the latest
+    of the batches before it is late: it goes to a table of its own and does not
+    count."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         log = os.path.join(root, "log")
         keep = batch
-        if delay is not None:
+        if delay_s is not None:
             before = _read_opt(spark, log)
-            latest = before.filter(F.col("batch") < batch_id).agg(F.max("ts")).first()[0] if before is not None else None
+            latest = before.filter(F.col("batch") < batch_id).agg(F.max(utc_micros("ts"))).first()[0] if before is not None else None
             if latest is not None:
-                on_time = F.col("ts") >= F.lit(latest) - F.expr(f"INTERVAL {delay}")
+                on_time = utc_micros("ts") >= latest - delay_s * 1_000_000
                 batch.filter(~on_time).write.mode("overwrite").parquet(os.path.join(root, "late", f"batch={batch_id}"))
                 keep = batch.filter(on_time)
         keep.write.mode("overwrite").parquet(os.path.join(log, f"batch={batch_id}"))
@@ -218,9 +247,9 @@ def late_events(spark: SparkSession, root: str) -> DataFrame | None:
     return _read_opt(spark, os.path.join(root, "late"))
 
 
-def run_early_stop(spark: SparkSession, loss_events: DataFrame, root: str, p: int, delay: str | None = None) -> DataFrame:
+def run_early_stop(spark: SparkSession, loss_events: DataFrame, root: str, p: int, delay_s: int | None = None) -> DataFrame:
     """``(worker_idx, stop_step, n_steps, best_loss)`` after the last micro-batch."""
-    _run(loss_events.writeStream.foreachBatch(early_stop_sink(root, p, delay)), "early-stop", spark)
+    _run(loss_events.writeStream.foreachBatch(early_stop_sink(root, p, delay_s)), "early-stop", spark)
     return spark.read.parquet(os.path.join(root, "stops", f"v={_committed(spark, root)}"))
 
 

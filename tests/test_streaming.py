@@ -109,7 +109,7 @@ def test_stop_step_is_the_same_for_every_arrival_order(spark):
         got = spark.read.parquet(f"{root}/stops/v=2").collect()
         assert {r["worker_idx"]: (r["stop_step"], r["n_steps"], r["best_loss"]) for r in got} == want, order
     root = scratch_path(spark, "es")
-    sink = SJ.early_stop_sink(root, 4, "'10' MINUTES")      # the first third comes last: late
+    sink = SJ.early_stop_sink(root, 4, 600)      # the first third comes last: late
     for batch_id, c in enumerate((1, 2, 0)):
         sink(cuts[c], batch_id)
     assert SJ.late_events(spark, root).count() == cuts[0].count()
@@ -135,3 +135,19 @@ def test_scratch_lives_under_checkpoint_dir(spark):
     root = base.replace("file:", "")
     assert df.count() == 5
     assert df.inputFiles() and all(root in f for f in df.inputFiles())
+
+
+def test_windows_are_appended_once_when_over(spark):
+    """Four files in time order; an event behind the watermark is dropped."""
+    rows = [(0, m, float(m)) for m in range(40)] + [(1, m, 1.0) for m in range(0, 40, 5)]
+    le = spark.createDataFrame(rows, "worker_idx int, m int, loss double").select(
+        "worker_idx", "loss", F.timestamp_seconds(F.col("m") * 60).alias("ts"))
+    path = SJ.arrivals_in_order(le, 4, scratch_path(spark, "ordered"))
+    spark.createDataFrame([(0, 1.0, 1)], "worker_idx int, loss double, m int").select(
+        "worker_idx", "loss", F.timestamp_seconds(F.col("m") * 60).alias("ts")).coalesce(1).write.mode("append").parquet(path)
+    stream = SJ.file_stream(spark, path, le.schema, max_files=1)
+    got = SJ.run_window_stats(spark, stream, scratch_path(spark, "windows"), "10 minutes", "2 minutes").select(
+        "worker_idx", F.unix_seconds("start").alias("s"), "n", "min_loss", "avg_loss").collect()
+    want = {(0, s * 600): (10, s * 10.0, s * 10 + 4.5) for s in range(3)} | {(1, s * 600): (2, 1.0, 1.0) for s in range(3)}
+    assert {(r["worker_idx"], r["s"]): (r["n"], r["min_loss"], r["avg_loss"]) for r in got} == want
+    assert len(got) == len(want)
