@@ -39,6 +39,12 @@ NOISE_NAMES = frozenset(
     "consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices "
     "paywall popup promo promotion related replies respond share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription tags toolbar widget widgets".split())
+# Parts that a noise name may have beside it: "site-footer", "ad-box-2"; any other part makes it another name.
+PLAIN_PARTS = frozenset(
+    "area bar block body bottom box btn bottombar cloud col column container content fixed float global group header holder "
+    "inline inner item items left link links list main page pane panel post posts primary region right row secondary section site "
+    "slot sticky strip top topbar unit widget wrap wrapper".split())
+NAMED_SHARE = 0.8       # a subtree with this share of the page's text is no noise, whatever its name
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -48,6 +54,7 @@ _PARTS = re.compile(r"[^a-z0-9]+")
 
 
 def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
+    """Elements that hold no article text by what HTML says of them."""
     if tag in NEVER_TEXT or tag == "header" and not in_article:
         return True
     if attributes and tag not in ("html", "body", "article", "main"):
@@ -55,11 +62,23 @@ def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
             value, name = "".join(values).lower(), name.lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in NOISE_ROLES:
                 return True
-            if name in ("class", "id") and not NOISE_NAMES.isdisjoint(_PARTS.split(value)):
-                return True
     return False
 
 
+def _noise_name(word: str) -> bool:
+    """A class or id that says noise and nothing else: every part is a noise name, a
+    plain part or a number ("has-sidebar" and "related-work" are neither)."""
+    parts = [p for p in _PARTS.split(word) if p]
+    return not NOISE_NAMES.isdisjoint(parts) and all(p in NOISE_NAMES or p in PLAIN_PARTS or p.isdigit() for p in parts)
+
+
+def _has_noise_name(tag: str, attributes: str) -> bool:
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False
+    return any(name.lower() in ("class", "id") and any(map(_noise_name, "".join(values).lower().split()))
+               for name, *values in _NAMES.findall(attributes))
+
+
 class _Dom:
     """Nodes in document order, as parallel lists; node 0 is the document."""
 
@@ -67,7 +86,29 @@ class _Dom:
         self.tag, self.parent, self.link = ["#document"], [-1], [False]
         self.text: list[tuple[int, int, str]] = []      # node, block number, decoded text
         self.end = [0]                                  # one past a node's last descendant
+        self.named: list[int] = []                      # nodes whose class or id is a noise name
         self._read(html)
+        self._drop_named()
+
+    def _drop_named(self) -> None:
+        """Take the text out of subtrees with a noise name, unless they hold
+        ``NAMED_SHARE`` of the page's text or more."""
+        if not self.named or not self.text:
+            return
+        before = [0]
+        for _, _, text in self.text:
+            before.append(before[-1] + len("".join(text.split())))
+        nodes = [node for node, _, _ in self.text]      # not in order of nodes: text follows a closed child
+        gone = bytearray(len(self.tag))
+        for node in self.named:
+            if gone[node]:
+                continue
+            own = sum(before[i + 1] - before[i] for i, at in enumerate(nodes) if node <= at < self.end[node])
+            if own < NAMED_SHARE * before[-1]:
+                for i in range(node, self.end[node]):
+                    gone[i] = 1
+                    self.link[i] = self.link[i] and i == node
+        self.text = [t for t in self.text if not gone[t[0]]]
 
     def _read(self, html: str) -> None:
         stack, opened, block, articles = [0], {}, 0, 0
@@ -79,7 +120,7 @@ class _Dom:
                 node = stack.pop()
                 self.end[node] = len(self.tag)
                 opened[self.tag[node]] -= 1
-                articles -= self.tag[node] == "article"
+                articles -= self.tag[node] in ("article", "main")
             if len(stack) < skip:
                 skip = 0
 
@@ -150,9 +191,12 @@ class _Dom:
                 self.end.append(node + 1)
             stack.append(node)
             opened[tag] = opened.get(tag, 0) + 1
-            articles += tag == "article"
-            if not skip and _is_noise(tag, attributes, articles > 0):
-                skip = len(stack)
+            articles += tag in ("article", "main")
+            if not skip:
+                if _is_noise(tag, attributes, articles > 0):
+                    skip = len(stack)
+                elif _has_noise_name(tag, attributes):
+                    self.named.append(node)
         close(1)
         self.end[0] = len(self.tag)
 
