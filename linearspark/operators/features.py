@@ -33,6 +33,12 @@ def bounded_broadcast(df: DataFrame, n_rows: int | None) -> DataFrame:
     return df
 
 
+def check_dense(dim: int) -> None:
+    """A dense weight vector goes to every executor only below the bound."""
+    if dim > BROADCAST_MAX_KEYS:
+        raise ValueError(f"weight vector of {dim} keys is above the broadcast bound; use plans.trainer")
+
+
 def fixed_weights(feats: DataFrame) -> DataFrame:
     """Deterministic test weights over the keys present in ``feats``."""
     return feats.select("k").distinct().select("k", fixed_weight("k").alias("w"))

@@ -53,7 +53,7 @@ def step_metrics(parts: DataFrame, feats: DataFrame, weights: DataFrame, steps:
     va = SP.step_samples(parts.filter(F.col("part") == "test").select("id", "y"), batch, seed + 1, steps)
     both = tr.withColumn("set", F.lit("train")).unionByName(va.withColumn("set", F.lit("val")))
     ids = both.select("id").distinct()
-    f = feats.join(F.broadcast(ids), "id", "left_semi")
+    f = feats.join(FT.bounded_broadcast(ids, 2 * steps * batch), "id", "left_semi")
     m = FT.margins(f, weights, n_weights).select("id", stable_margin("m", digits).alias("m"))
     j = both.join(m, "id", "inner")
     w2 = weights.agg(F.sum(F.col("w") * F.col("w"))).scalar()

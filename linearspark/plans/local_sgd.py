@@ -68,14 +68,14 @@ def shard_samples(packed: DataFrame, shards: int, n: int, seed: int, round_: int
     ids = packed.select("id", "y")
     s = SP.group_samples(ids, n, seed, shards, group_col="worker", step=round_, n_rows=n_rows)
     s = SP.with_hash(s, seed, round_, group="worker")
-    return packed.select("id", "idx", "val").join(F.broadcast(s), "id")
+    return packed.select("id", "idx", "val").join(FT.bounded_broadcast(s, shards * n), "id")
 
 
 def local_sgd_round(packed: DataFrame, w: np.ndarray, shards: int, n: int, seed: int, round_: int,
                     lr: float, lam: float, n_rows: int | None = None) -> DataFrame:
     """(worker, k, d): every shard's total delta for one round."""
-    spark = packed.sparkSession
-    bw = spark.sparkContext.broadcast(np.asarray(w, dtype=float))
+    FT.check_dense(len(w))
+    bw = packed.sparkSession.sparkContext.broadcast(np.asarray(w, dtype=float))
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_h", "id"], kind="mergesort")
@@ -123,6 +123,7 @@ def train_independent(packed: DataFrame, dim: int, workers: int, epochs: int, su
     vrows = val.select("id", "y", "idx", "val").withColumn(
         "worker", F.explode(F.sequence(F.lit(0), F.lit(workers - 1)))).select(
         "worker", "id", "y", "idx", "val", F.lit("").alias("_h"), F.lit("val").alias("set"))
+    FT.check_dense(dim)
     spark = packed.sparkSession
     w0 = spark.sparkContext.broadcast(np.zeros(dim))
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from linearspark.functions.stopping import has_risen
 from linearspark.operators import features as FT
-from linearspark.operators.features import BROADCAST_MAX_KEYS
+from linearspark.operators.features import check_dense
 from linearspark.plans.batches import draw, of_step, write_batches
 from linearspark.plans.local_sgd import packed_examples
 from linearspark.session import materialize
@@ -52,15 +52,10 @@ def _margins(pdf: pd.DataFrame, w: np.ndarray) -> np.ndarray:
     return np.bincount(rows, weights=vs * _lookup(w, ks), minlength=len(pdf))
 
 
-def _check(dim: int) -> None:
-    if dim > BROADCAST_MAX_KEYS:
-        raise ValueError(f"weight vector of {dim} keys is above the broadcast bound; use the relational form")
-
-
 def vector_margins(packed: DataFrame, w: np.ndarray, bw=None) -> DataFrame:
     """(id, y, m) for packed examples against a dense weight vector (``bw``: an
     existing broadcast of it, which the caller releases)."""
-    _check(len(w))
+    check_dense(len(w))
     if bw is None:
         bw = packed.sparkSession.sparkContext.broadcast(np.asarray(w, dtype=float))
 
@@ -77,7 +72,7 @@ def margin_udf(spark, w: np.ndarray):
     column-level form of ``vector_margins`` for use inside any select."""
     from pyspark.sql.functions import pandas_udf
 
-    _check(len(w))
+    check_dense(len(w))
     bw = spark.sparkContext.broadcast(np.asarray(w, dtype=float))
 
     @pandas_udf("double")
@@ -92,7 +87,7 @@ def vector_hinge_gradient(batch: DataFrame, w: np.ndarray, lr: float, reg: float
     """(k, g): hinge_sq rule summed over ``batch`` (one partial vector per
     task); the extra row k = -1 carries the number of batch rows.  ``bw`` is
     an existing broadcast of ``w`` (the caller then releases it)."""
-    _check(len(w))
+    check_dense(len(w))
     if bw is None:
         bw = batch.sparkSession.sparkContext.broadcast(np.asarray(w, dtype=float))
 
@@ -177,7 +172,7 @@ def train_hinge(ex: DataFrame, feats: DataFrame, dim: int, steps: int, batch: in
     (w, history) where history has one (step, objective, accuracy) entry per
     step when ``val`` is given; with ``persistence`` the loop stops by the
     early-stopping rule on the validation objective."""
-    _check(dim)
+    check_dense(dim)
     spark = ex.sparkSession
     path = write_batches(draw(ex, batch, seed, steps), feats, steps * batch, FT.pack)
     vpacked = materialize(packed_examples(val, feats), "val") if val is not None else None
