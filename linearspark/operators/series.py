@@ -49,13 +49,6 @@ def loss_curve(events: DataFrame, key: str = "worker_idx", order: Sequence[str]
     return j.select(key, (F.col("_off") + F.col("_i")).cast("long").alias("step"), value, *order)
 
 
-def loss_curve_window(events: DataFrame, key: str = "worker_idx", order: Sequence[str] = ("ts", "event_id"),
-                      value: str = "loss") -> DataFrame:
-    """Plain form (one window partition per series) -- for small series."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return events.select(key, (F.row_number().over(w) - 1).cast("long").alias("step"), value, *order)
-
-
 def stop_flags(curve: DataFrame, p: int = PERSISTENCE, key: str = "worker_idx", value: str = "loss",
                block: int = BLOCK) -> DataFrame:
     """Add ``stop``: the early-stopping rule fires at this step.

@@ -6,10 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-class MissingTopic(KeyError):
-    pass
-
-
 def topics_per_doc(topics: DataFrame) -> DataFrame:
     """(doc_id, topics ARRAY<STRING> sorted and distinct, n_lines).
 

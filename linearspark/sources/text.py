@@ -151,7 +151,3 @@ def write_lines(lines: DataFrame, path: str, partition: Sequence[str] = ()) -> s
     """Text files of the column ``line``, in a folder for each value of ``partition``."""
     lines.select("line", *partition).write.mode("overwrite").partitionBy(*partition).text(path)
     return path
-
-
-def write_sparse_text(feats: DataFrame, path: str) -> None:
-    write_lines(render_sparse_lines(feats), path)
