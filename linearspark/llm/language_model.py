@@ -1,17 +1,24 @@
 """Language-model scores from a log-bilinear model trained with noise contrast.
 
-Words fall into classes: each of the ``TOP_WORDS`` most frequent words, the end
-of the text, and ``SUFFIXES`` classes of all other words by their last bytes.
-The log-bilinear model predicts the class of a token from the two before it,
+Words fall into classes whose number follows the corpus: with V distinct training
+words, each of the ``sqrt(V)`` most frequent words is a class (at most
+``MAX_TOP``, which bounds the model's memory), the end of the text is one, and a
+quarter as many classes hold all other words by their last bytes.  The
+log-bilinear model predicts the class of a token from the two before it,
 
     score(t | a, b) = (r_a C1 + r_b C2) . q_t + bias_t ,
 
 and is trained in numpy by noise-contrastive estimation on every training
-document: each task takes its documents in minibatches from the common start,
-and the averaged parameters are the next start.  A word has its class's
-probability times its smoothed share of the class, from the corpus counts.
+document.  A word has its class's probability times its smoothed share of the
+class, from the corpus counts.
 
-All normalisers come from one matrix product: with A = R C1 Q' and B = R C2 Q',
+Training is in rounds.  The documents are dealt by a hash over as many parts as
+their tokens need (``PART_TOKENS`` each), and each part goes through its documents
+in hash order from the common start; the averaged parameters are the next start.
+Rounds end when the objective stops improving.  Neither files, splits, cores nor
+shuffle partitions change a part, so they do not change the model.
+
+The normalisers come from matrix products: with A = R C1 Q' and B = R C2 Q',
 the sum over t of exp(A[a, t] + B[b, t] + bias_t) is exp(A + bias) exp(B)'.
 """
 
@@ -21,6 +28,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,31 +36,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linearspark.llm.common import id_remainder, map_partition, parallel, read_table, utf8
+from linearspark.llm.common import id_remainder, map_batches, map_partition, parallel, read_table, utf8
 from linearspark.session import materialize
 
 FOLDS, HELD_OUT = 10, 0
 SMOOTH = 0.1
-TOP_WORDS = 1024          # words that are classes of their own
-SUFFIXES, SUFFIX_BYTES = 256, 3
-SHARED_WORDS = 200_000    # most frequent words whose counts every task holds; the others are joined
+MAX_TOP = 4096            # words that are classes of their own, at most: the normalisers are classes x classes
+TOP_PER_SUFFIX, MIN_SUFFIXES, SUFFIX_BYTES = 4, 16, 3
+SHARED_WORDS = 200_000    # frequent words whose counts every task holds, at most; the others are joined
 DIM = 16
 NOISE = 32                # noise classes per minibatch
 BATCH = 2048
 RATE = 0.05
-ROUNDS = 1
+PART_TOKENS = 1 << 22     # training tokens of a part
+MAX_ROUNDS, TOLERANCE = 4, 0.01   # rounds end when the objective falls by a smaller share
 FLUSH = 300_000           # distinct words a task holds before it hands its counts on
 COMBINERS = 8
 
-END = TOP_WORDS           # class of the end of a text, also what stands before its start
-CLASSES = TOP_WORDS + 1 + SUFFIXES
 _END_WORD = b""           # no word is empty
 
 
-def suffix_class(word: bytes) -> int:
-    return TOP_WORDS + 1 + zlib.crc32(word[-SUFFIX_BYTES:]) % SUFFIXES
-
-
 def tokens(text: bytes) -> list[bytes]:
     words = text.lower().split()
     words.append(_END_WORD)
@@ -84,7 +87,10 @@ def corpus_counts(training: DataFrame) -> DataFrame:
 
 @dataclass
 class Lexicon:
-    """What every task knows of the words: bounded by ``SHARED_WORDS`` and ``CLASSES``."""
+    """What every task knows of the words: bounded by ``SHARED_WORDS`` and ``MAX_TOP``."""
+    top: int                      # words that are classes of their own; also the class of the end
+    suffixes: int
+    cutoff: int                   # the words of at least this count are in ``number``
     number: dict[bytes, int]      # word -> position in the next two
     classes: np.ndarray
     counts: np.ndarray
@@ -93,6 +99,17 @@ class Lexicon:
     class_total: np.ndarray       # tokens of each class
     class_distinct: np.ndarray    # distinct words of each class
 
+    @property
+    def n_classes(self) -> int:
+        return self.top + 1 + self.suffixes
+
+    def suffix_class(self, word: bytes) -> int:
+        return self.top + 1 + zlib.crc32(word[-SUFFIX_BYTES:]) % self.suffixes
+
+    def share(self) -> np.ndarray:
+        smoothed = self.class_total + SMOOTH
+        return smoothed / smoothed.sum()
+
     def log_all(self) -> float:
         return float(np.log10(self.total + SMOOTH * (self.distinct + 1)))
 
@@ -101,29 +118,47 @@ class Lexicon:
         return np.log10(self.class_total + SMOOTH * (self.class_distinct + 1))
 
 
-def lexicon(counts: DataFrame, shared_words: int = SHARED_WORDS) -> Lexicon:
-    """Collect the most frequent words (at most ``shared_words``) and the class totals."""
-    order = [F.desc("n"), F.asc("word")]
-    top = counts.filter(F.length("word") > 0).orderBy(*order).limit(shared_words).toArrow()
-    words, n = top.column("word").to_pylist(), top.column("n").to_numpy().astype(np.float64)
+def _cutoff(counts: DataFrame, most: int) -> int:
+    """The least count that at most ``most`` words reach, on a scale of 1,024 single
+    counts and then eighths of powers of two: a histogram, no global sort."""
+    step = F.when(F.col("n") < 1024, F.col("n").cast("double")).otherwise(1024 + F.floor((F.log2("n") - 10) * 8))
+    rows = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("v"), F.min("n").alias("least")).collect()  # < 1,500
+    cutoff, held = max((r["least"] for r in rows), default=0) + 1, 0
+    for r in sorted(rows, key=lambda r: -r["step"]):
+        held += r["v"]
+        if held > most:
+            break
+        cutoff = r["least"]
+    return cutoff
+
+
+def lexicon(counts: DataFrame, shared_words: int = SHARED_WORDS, max_top: int = MAX_TOP) -> Lexicon:
+    """Collect the frequent words (at most ``shared_words``) and the class totals."""
+    words_only = counts.filter(F.length("word") > 0)
+    cutoff = _cutoff(words_only, shared_words)
+    got = words_only.filter(F.col("n") >= cutoff).toArrow()
+    words, n = got.column("word").to_pylist(), got.column("n").to_numpy().astype(np.float64)
     rank = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
     words, n = [words[i] for i in rank], n[rank] if len(rank) else n
-    suffix = (F.pmod(F.crc32(F.substring("word", -SUFFIX_BYTES, SUFFIX_BYTES)), F.lit(SUFFIXES)) + TOP_WORDS + 1).cast("int")
-    kind = F.when(F.length("word") == 0, F.lit(END)).otherwise(suffix)
-    rows = counts.groupBy(kind.alias("class")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # CLASSES at most
-    total, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
+    top = min(isqrt(words_only.count()), max_top, len(words))
+    suffixes = max(MIN_SUFFIXES, top // TOP_PER_SUFFIX)
+    suffix = (F.pmod(F.crc32(F.substring("word", -SUFFIX_BYTES, SUFFIX_BYTES)), F.lit(suffixes)) + top + 1).cast("int")
+    kind = F.when(F.length("word") == 0, F.lit(top)).otherwise(suffix)
+    rows = counts.groupBy(kind.alias("class")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # a row a class
+    lex = Lexicon(top, suffixes, cutoff, {w: i for i, w in enumerate(words)}, np.zeros(0), n, 0, 0,
+                  np.zeros(top + 1 + suffixes), np.zeros(top + 1 + suffixes))
+    total, distinct = lex.class_total, lex.class_distinct
     for r in rows:
         total[r["class"]], distinct[r["class"]] = r["n"], r["v"]
-    everything = int(total.sum()), int(distinct.sum())
-    classes = np.array([i if i < TOP_WORDS else suffix_class(w) for i, w in enumerate(words)], dtype=np.int32)
-    for i, word in enumerate(words[:TOP_WORDS]):       # a top word leaves its suffix class
-        total[suffix_class(word)] -= n[i]
-        distinct[suffix_class(word)] -= 1
+    lex.total, lex.distinct = int(total.sum()), int(distinct.sum())
+    lex.classes = np.array([i if i < top else lex.suffix_class(w) for i, w in enumerate(words)] + [top], dtype=np.int32)
+    for i, word in enumerate(words[:top]):             # a top word leaves its suffix class
+        total[lex.suffix_class(word)] -= n[i]
+        distinct[lex.suffix_class(word)] -= 1
         total[i], distinct[i] = n[i], 1
-    ends = total[END]
-    number = {w: i for i, w in enumerate(words)}
-    number[_END_WORD] = len(words)
-    return Lexicon(number, np.append(classes, np.int32(END)), np.append(n, ends), everything[0], everything[1], total, distinct)
+    lex.counts = np.append(n, total[top])
+    lex.number[_END_WORD] = len(words)
+    return lex
 
 
 @dataclass
@@ -138,8 +173,8 @@ class Parameters:
         return np.concatenate([a.ravel() for a in (self.context, self.first, self.second, self.target, self.bias)])
 
     @staticmethod
-    def unpack(flat: np.ndarray, dim: int = DIM) -> Parameters:
-        sizes = [(CLASSES, dim), (dim, dim), (dim, dim), (CLASSES, dim), (CLASSES,)]
+    def unpack(flat: np.ndarray, n_classes: int, dim: int = DIM) -> Parameters:
+        sizes = [(n_classes, dim), (dim, dim), (dim, dim), (n_classes, dim), (n_classes,)]
         out, at = [], 0
         for shape in sizes:
             out.append(flat[at:at + int(np.prod(shape))].reshape(shape).astype(np.float32))
@@ -149,16 +184,15 @@ class Parameters:
 
 def start(lex: Lexicon, seed: int = 1) -> Parameters:
     """Small random vectors and the log shares of the classes: the unigram model."""
-    rng = np.random.default_rng(seed)
-    share = (lex.class_total + SMOOTH) / (lex.class_total + SMOOTH).sum()
+    rng, c = np.random.default_rng(seed), lex.n_classes
     noise = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-    return Parameters(noise(CLASSES, DIM), np.eye(DIM, dtype=np.float32), 0.5 * np.eye(DIM, dtype=np.float32),
-                      noise(CLASSES, DIM), np.log(share).astype(np.float32))
+    return Parameters(noise(c, DIM), np.eye(DIM, dtype=np.float32), 0.5 * np.eye(DIM, dtype=np.float32),
+                      noise(c, DIM), np.log(lex.share()).astype(np.float32))
 
 
-def contexts(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def contexts(classes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The two classes before each token of one text; the end class stands before the start."""
-    padded = np.concatenate([[END, END], classes])
+    padded = np.concatenate([[end, end], classes])
     return padded[1:-1], padded[:-2]
 
 
@@ -167,7 +201,7 @@ class Trainer:
 
     def __init__(self, begin: Parameters, lex: Lexicon, seed: int):
         self.p = Parameters(*(a.copy() for a in (begin.context, begin.first, begin.second, begin.target, begin.bias)))
-        share = (lex.class_total + SMOOTH) / (lex.class_total + SMOOTH).sum()
+        share, self.loss, self.tokens = lex.share(), 0.0, 0
         self.cumulated, self.log_noise = np.cumsum(share), np.log(NOISE * share).astype(np.float32)
         self.rng = np.random.default_rng(seed)
         self.seen = {k: np.full(len(getattr(self.p, k)), 1e-7, dtype=np.float32) for k in ("context", "target", "bias")}
@@ -184,11 +218,14 @@ class Trainer:
 
     def step(self, a: np.ndarray, b: np.ndarray, t: np.ndarray) -> None:
         p = self.p
-        noise = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE)), CLASSES - 1)
+        noise = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE)), len(p.bias) - 1)
         ra, rb, qt, qn = p.context[a], p.context[b], p.target[t], p.target[noise]
         h = ra @ p.first + rb @ p.second
         of_data = -1 / (1 + np.exp(np.clip((h * qt).sum(axis=1) + p.bias[t] - self.log_noise[t], -30, 30)))
-        of_noise = 1 / (1 + np.exp(np.clip(-(h @ qn.T + p.bias[noise] - self.log_noise[noise]), -30, 30)))
+        odds = np.exp(np.clip(h @ qn.T + p.bias[noise] - self.log_noise[noise], -30, 30))
+        of_noise = odds / (1 + odds)
+        self.loss += float(np.log1p(odds).sum(dtype=np.float64) - np.log1p(of_data).sum(dtype=np.float64))
+        self.tokens += len(t)
         scale = np.float32(1 / len(t))
         of_data, of_noise = of_data * scale, of_noise * scale
         grad_h = of_data[:, None] * qt + of_noise @ qn
@@ -207,86 +244,143 @@ def _classes(words: list[bytes], lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     at = np.array([lex.number.get(w, -1) for w in words], dtype=np.int64)
     classes = lex.classes[at]
     for i in np.nonzero(at < 0)[0]:
-        classes[i] = suffix_class(words[i])
+        classes[i] = lex.suffix_class(words[i])
     return at, classes
 
 
-def train(training: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Parameters:
-    """Average of the tasks' parameters after each round over all training documents."""
-    spark = training.sparkSession
-    shared, now = spark.sparkContext.broadcast(lex), start(lex)
-    for number in range(rounds):
-        begin = spark.sparkContext.broadcast(now)
+def encode(training: DataFrame, shared, parts: int) -> DataFrame:
+    """``(part, h, classes)`` of the training documents, the classes of a text's
+    tokens as 16-bit numbers.  Documents are dealt by a hash of id and text."""
+    h = F.xxhash64("doc_id", "text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        classes = [_classes(tokens(text), shared.value)[1].astype(np.int16).tobytes() for text in utf8(batch, "text")]
+        return pa.RecordBatch.from_arrays([batch.column("part"), batch.column("h"), pa.array(classes, pa.binary())],
+                                          ["part", "h", "classes"])
+
+    dealt = training.select(F.pmod(h, F.lit(parts)).alias("part"), h.alias("h"), "text")
+    return map_batches(dealt, run, "part long, h long, classes binary")
 
-        def run(batches, begin=begin, number=number):
-            words = shared.value
-            part = TaskContext.get().partitionId()
-            trainer, seen = Trainer(begin.value, words, 1000 * number + part), 0
-            held: list[tuple] = []
-            size = 0
 
-            def flush():
+def _one_round(encoded: DataFrame, shared, begin, number: int, parts: int) -> DataFrame:
+    """``(part, weight, loss, flat)``: the parameters of each part after its
+    documents, times its tokens, and the objective summed over them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, trainer, own = shared.value, None, None
+        held: list[tuple] = []
+        size = 0
+
+        def flush():
+            nonlocal held, size
+            if held:
                 a, b, t = (np.concatenate(x) for x in zip(*held))
                 order = trainer.rng.permutation(len(t))
                 for i in range(0, len(t), BATCH):
                     pick = order[i:i + BATCH]
                     trainer.step(a[pick], b[pick], t[pick])
+            held, size = [], 0
 
-            for batch in batches:
-                for text in utf8(batch, "text"):
-                    t = _classes(tokens(text), words)[1]
-                    held.append((*contexts(t), t))
-                    size += len(t)
-                    if size >= 100 * BATCH:
-                        flush()
-                        seen, size, held = seen + size, 0, []
-            if held:
-                flush()
-                seen += size
-            if seen:
-                flat = (trainer.p.pack().astype(np.float64) * seen).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([float(seen)]), pa.array([flat], pa.binary())],
-                                                 ["part", "weight", "flat"])
-
-        def combine(batches):
-            weight, total = 0.0, None
-            for batch in batches:
-                for w, flat in zip(batch.column("weight").to_pylist(), batch.column("flat").to_pylist()):
-                    got = np.frombuffer(flat)
-                    weight, total = weight + w, got.copy() if total is None else total + got
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([total.tobytes()], pa.binary())], ["weight", "flat"])
-
-        rows = map_partition(training.select("text"), run, "part long, weight double, flat binary")
-        dealt = rows.repartition(COMBINERS, F.pmod("part", F.lit(COMBINERS))).select("weight", "flat")
-        sums = map_partition(dealt, combine, "weight double, flat binary").collect()      # COMBINERS rows at most
+        def result() -> pa.RecordBatch:
+            flush()
+            flat = (trainer.p.pack().astype(np.float64) * trainer.tokens).tobytes()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([own], pa.int64()), pa.array([float(trainer.tokens)]), pa.array([trainer.loss]), pa.array([flat], pa.binary())],
+                ["part", "weight", "loss", "flat"])
+
+        for batch in batches:
+            for part, classes in zip(batch.column("part").to_pylist(), batch.column("classes").to_pylist()):
+                if part != own:
+                    if trainer is not None:
+                        yield result()
+                    own, trainer = part, Trainer(begin.value, lex, (number << 32) + part)
+                t = np.frombuffer(classes, dtype=np.int16).astype(np.int64)
+                held.append((*contexts(t, lex.top), t))
+                size += len(t)
+                if size >= 100 * BATCH:
+                    flush()
+        if trainer is not None:
+            yield result()
+
+    # the columns of the sort fix the order of a part's documents, wherever they were read
+    placed = encoded.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "h", "classes")
+    return map_partition(placed, run, "part long, weight double, loss double, flat binary")
+
+
+def _average(rows: DataFrame, n_classes: int) -> tuple[Parameters, float] | None:
+    """The parts' parameters averaged by tokens, and the objective of a token."""
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, weight, loss, total = None, 0.0, 0.0, None
+        for batch in batches:
+            for part, w, x, flat in zip(*(batch.column(c).to_pylist() for c in ("part", "weight", "loss", "flat"))):
+                got = np.frombuffer(flat)
+                first = part if first is None else first
+                weight, loss, total = weight + w, loss + x, got.copy() if total is None else total + got
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([weight]), pa.array([loss]),
+                                              pa.array([total.tobytes()], pa.binary())], ["part", "weight", "loss", "flat"])
+
+    dealt = rows.repartitionById(COMBINERS, F.pmod("part", F.lit(COMBINERS)).cast("int")).sortWithinPartitions("part")
+    sums = map_partition(dealt, combine, "part long, weight double, loss double, flat binary").collect()  # COMBINERS rows at most
+    if not sums:
+        return None
+    sums.sort(key=lambda r: r["part"])
+    weight = sum(r["weight"] for r in sums)
+    flat = sum(np.frombuffer(r["flat"]) for r in sums) / weight
+    return Parameters.unpack(flat, n_classes), sum(r["loss"] for r in sums) / weight
+
+
+def train(training: DataFrame, lex: Lexicon, max_rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE,
+          part_tokens: int = PART_TOKENS) -> Parameters:
+    """Average of the parts' parameters after each round over all rows ``(doc_id,
+    text)`` of ``training``, until a round's objective is not below the one before
+    by the share ``tolerance``.  Rows equal in id and text are in one part, which
+    streams over them."""
+    spark = training.sparkSession
+    shared, now, before = spark.sparkContext.broadcast(lex), start(lex), None
+    parts = max(1, -(-lex.total // part_tokens))
+    encoded = materialize(encode(parallel(training.select("doc_id", "text")), shared, parts), "training-classes")
+    for number in range(max_rounds):
+        begin = spark.sparkContext.broadcast(now)
+        got = _average(_one_round(encoded, shared, begin, number, parts), lex.n_classes)
         begin.unpersist()
-        if not sums:
+        if got is None:
             break
-        sums.sort(key=lambda r: (r["weight"], bytes(r["flat"][:64])))
-        now = Parameters.unpack(sum(np.frombuffer(r["flat"]) for r in sums) / sum(r["weight"] for r in sums))
+        now, objective = got
+        if before is not None and objective > (1 - tolerance) * before:
+            break
+        before = objective
     return now
 
 
 @dataclass
 class Scorer:
-    """Tables of the trained model: log10 P(t | a, b) = first[a, t] + second[b, t] - norm[a, b]."""
-    first: np.ndarray
-    second: np.ndarray
-    norm: np.ndarray
+    """The trained model: log P(t | a, b) = (first[a] + second[b]) . target[t] + bias[t] - norm[a, b]."""
+    first: np.ndarray       # R C1: classes x dim
+    second: np.ndarray      # R C2
+    target: np.ndarray
+    bias: np.ndarray
+    norm: np.ndarray        # classes x classes, the model's only large table
 
     @staticmethod
-    def of(p: Parameters) -> Scorer:
-        first = (p.context @ p.first @ p.target.T + p.bias).astype(np.float64)
-        second = (p.context @ p.second @ p.target.T).astype(np.float64)
-        first -= first.max(axis=1, keepdims=True)
-        second -= second.max(axis=1, keepdims=True)
-        norm = np.log10(np.exp(first) @ np.exp(second).T)
-        return Scorer(*((x * c).astype(np.float32) for x, c in ((first, np.log10(np.e)), (second, np.log10(np.e)), (norm, 1.0))))
-
-    def __call__(self, classes: np.ndarray) -> np.ndarray:
-        a, b = contexts(classes)
-        return self.first[a, classes] + self.second[b, classes] - self.norm[a, b]
+    def of(p: Parameters, block: int = 256) -> Scorer:
+        first, second = p.context @ p.first, p.context @ p.second
+        b = second @ p.target.T
+        b_max = b.max(axis=1)
+        b = np.exp(b - b_max[:, None]).T.copy()
+        norm = np.empty((len(p.bias), len(p.bias)), dtype=np.float32)
+        for i in range(0, len(norm), block):
+            a = first[i:i + block] @ p.target.T + p.bias
+            a_max = a.max(axis=1, keepdims=True)
+            norm[i:i + block] = np.log(np.exp(a - a_max) @ b) + a_max + b_max
+        return Scorer(*(x.astype(np.float32) for x in (first, second, p.target, p.bias)), norm)
+
+    def __call__(self, classes: np.ndarray, end: int) -> np.ndarray:
+        """log10 probability of each class after the two before it."""
+        a, b = contexts(classes, end)
+        raw = np.einsum("ij,ij->i", self.first[a] + self.second[b], self.target[classes]) + self.bias[classes]
+        return (raw - self.norm[a, b]) * np.float32(np.log10(np.e))
 
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
@@ -301,7 +395,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     counts = materialize(corpus_counts(parallel(training.select("text"))), "word-counts")
     lex = lexicon(counts)
     shared = spark.sparkContext.broadcast(lex)
-    tables = spark.sparkContext.broadcast(Scorer.of(train(parallel(training.select("text")), lex)))
+    tables = spark.sparkContext.broadcast(Scorer.of(train(training, lex)))
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,8 +412,8 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
                 at, classes = _classes(found, words)
                 known = at >= 0
                 own = log_count[at[known]].sum()      # of the words every task holds; the rare ones are joined
-                many = classes > END
-                model = float(table(classes).sum(dtype=np.float64)) - log_class[classes[many]].sum()
+                many = classes > words.top
+                model = float(table(classes, words.top).sum(dtype=np.float64)) - log_class[classes[many]].sum()
                 model += log_count[at[known & many]].sum()
                 rare = Counter(found[i] for i in np.nonzero(~known)[0])
                 rows.append((row_id, len(found), int((words.counts[at[known]] > 0).sum()), own - len(found) * log_all, model,
@@ -336,8 +430,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         parallel(docs.select("doc_id", "text")), run, f"doc_id {kind}, row_id long, n_tokens long, known long, base double, "
         "model double, rare array<struct<word: binary, n: int>>"), "partial-scores")
     rare = partial.select("row_id", F.explode("rare").alias("r")).select("row_id", "r.word", "r.n")
-    floor = int(lex.counts[-2]) if len(lex.counts) > 1 else 0      # no word outside the lexicon is more frequent
-    seen = counts.filter(F.col("n") <= floor).select("word", F.col("n").alias("c"))
+    seen = counts.filter(F.col("n") < lex.cutoff).select("word", F.col("n").alias("c"))
     joined = rare.join(seen, "word", "left")
     extra = joined.groupBy("row_id").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more_known"),

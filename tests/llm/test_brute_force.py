@@ -216,12 +216,71 @@ def test_language_model_query(spark, texts):
 
 def test_language_model_is_normalised():
     rng = np.random.default_rng(0)
-    c, d = language_model.CLASSES, language_model.DIM
+    c, d = 300, language_model.DIM
     p = language_model.Parameters(rng.normal(size=(c, d)), rng.normal(size=(d, d)), rng.normal(size=(d, d)), rng.normal(size=(c, d)) / 3,
                                   rng.normal(size=c))
     s = language_model.Scorer.of(p)
     for a, b in rng.integers(0, c, (20, 2)):
-        assert abs((10.0 ** (s.first[a] + s.second[b] - s.norm[a, b])).sum() - 1) < 1e-3
+        every = [s(np.array([b, a, t]), c - 1)[2] for t in range(c)]
+        assert abs((10.0 ** np.array(every, dtype=np.float64)).sum() - 1) < 1e-3
+
+
+def test_language_model_score_by_hand(spark, texts, monkeypatch):
+    """The score of every text from the fitted parameters by a plain softmax over all classes."""
+    fitted = {}
+    train, lexicon = language_model.train, language_model.lexicon
+    monkeypatch.setattr(language_model, "train", lambda t, lex, **k: fitted.setdefault("p", train(t, lex, max_rounds=1, **k)))
+    monkeypatch.setattr(language_model, "lexicon", lambda c: fitted.setdefault("lex", lexicon(c, shared_words=100, max_top=20)))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r["score"] for r in language_model.score(docs, docs).collect()}
+    p, lex = fitted["p"], fitted["lex"]
+    lower = lambda t: SPACED.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t)) + [""]
+    count = Counter(w for t in texts.values() for w in lower(t))
+    top = sorted((w for w in count if w), key=lambda w: (-count[w], w.encode()))[:20]
+    assert lex.top == 20 and len(lex.number) <= 101
+    kind = lambda w: 20 if not w else top.index(w) if w in top else 21 + zlib.crc32(w.encode()[-3:]) % lex.suffixes
+    size, members = Counter(), Counter()
+    for w, n in count.items():
+        size[kind(w)] += n
+        members[kind(w)] += 1
+    first, second = p.context.astype(float) @ p.first, p.context.astype(float) @ p.second
+    for i, text in texts.items():
+        a = b = 20
+        total = 0.0
+        for w in lower(text):
+            logits = (first[a] + second[b]) @ p.target.T + p.bias
+            t = kind(w)
+            total += (logits[t] - np.log(np.exp(logits).sum())) / np.log(10)
+            if t > 20:
+                total += log10((count[w] + 0.1) / (size[t] + 0.1 * (members[t] + 1)))
+            a, b = t, a
+        assert abs(total - got[i]) < 1e-4 * abs(total)
+
+
+def test_language_model_does_not_depend_on_files(spark, tmp_path):
+    """One file, 64 files, other split sizes: the same scores."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    found = []
+    for files in (1, 64):
+        path = str(tmp_path / f"d{files}")
+        docs.repartition(files).write.parquet(path)
+        cut = spark.read.parquet(path)
+        found.append({r["doc_id"]: r["score"] for r in language_model.score(cut, cut.filter("doc_id % 10 > 0")).collect()})
+    assert all(abs(found[0][i] - found[1][i]) < 1e-6 * abs(found[0][i]) for i in found[0])
+
+
+def test_language_model_parts(spark):
+    """Several parts and rounds: a round over parts lowers the objective, an empty part changes nothing."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    lex = language_model.lexicon(language_model.corpus_counts(docs))
+    shared = spark.sparkContext.broadcast(lex)
+    encoded = language_model.encode(docs, shared, 5)
+    now, seen = language_model.start(lex), []
+    for number in range(3):
+        rows = language_model._one_round(encoded, shared, spark.sparkContext.broadcast(now), number, 5)
+        now, objective = language_model._average(rows, lex.n_classes)
+        seen.append(objective)
+    assert seen[0] > seen[1] > seen[2]
 
 
 def test_pipeline(spark, texts):
