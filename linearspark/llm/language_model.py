@@ -192,7 +192,7 @@ def start(lex: Lexicon, seed: int = 1) -> Parameters:
 
 def contexts(classes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The two classes before each token of one text; the end class stands before the start."""
-    padded = np.concatenate([[end, end], classes])
+    padded = np.concatenate([np.array([end, end], dtype=classes.dtype), classes])
     return padded[1:-1], padded[:-2]
 
 
@@ -207,33 +207,37 @@ class Trainer:
         self.seen = {k: np.full(len(getattr(self.p, k)), 1e-7, dtype=np.float32) for k in ("context", "target", "bias")}
         self.seen |= {k: np.full((DIM, DIM), 1e-7, dtype=np.float32) for k in ("first", "second")}
 
-    def _rows(self, name: str, rows: np.ndarray, grad: np.ndarray) -> None:
-        """Add up the gradients of equal rows and take one step."""
-        order = np.argsort(rows, kind="stable")
-        own, begin = np.unique(rows[order], return_index=True)
-        total = np.add.reduceat(grad[order], begin, axis=0)
-        self.seen[name][own] += total ** 2 if total.ndim == 1 else (total ** 2).mean(axis=1)
-        scale = RATE / np.sqrt(self.seen[name][own])
-        getattr(self.p, name)[own] -= total * (scale if total.ndim == 1 else scale[:, None])
+    def _rows(self, rows: np.ndarray, grad: np.ndarray, *names: str) -> None:
+        """Add up the gradients (components x rows) of equal rows and take one
+        step; the bias is the last component, if it is named."""
+        own = np.flatnonzero(np.bincount(rows, minlength=len(self.p.bias)))
+        total = np.stack([np.bincount(rows, weights=g)[own] for g in grad]).astype(np.float32)
+        for name in names:
+            now = total[-1] if name == "bias" else total[:DIM]
+            self.seen[name][own] += now ** 2 if now.ndim == 1 else np.einsum("ij,ij->j", now, now) / DIM
+            getattr(self.p, name)[own] -= (now * (RATE / np.sqrt(self.seen[name][own]))).T
 
     def step(self, a: np.ndarray, b: np.ndarray, t: np.ndarray) -> None:
         p = self.p
         noise = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE)), len(p.bias) - 1)
-        ra, rb, qt, qn = p.context[a], p.context[b], p.target[t], p.target[noise]
+        a, b, t = a.astype(np.intp), b.astype(np.intp), t.astype(np.intp)
+        ra, rb, qt, qn = (x.take(rows, axis=0) for x, rows in ((p.context, a), (p.context, b), (p.target, t), (p.target, noise)))
         h = ra @ p.first + rb @ p.second
-        of_data = -1 / (1 + np.exp(np.clip((h * qt).sum(axis=1) + p.bias[t] - self.log_noise[t], -30, 30)))
-        odds = np.exp(np.clip(h @ qn.T + p.bias[noise] - self.log_noise[noise], -30, 30))
-        of_noise = odds / (1 + odds)
-        self.loss += float(np.log1p(odds).sum(dtype=np.float64) - np.log1p(of_data).sum(dtype=np.float64))
+        of_data = -1 / (1 + np.exp(np.minimum(np.einsum("ij,ij->i", h, qt) + p.bias[t] - self.log_noise[t], 30)))
+        more = np.exp(np.minimum(h @ qn.T + (p.bias[noise] - self.log_noise[noise]), 30)) + 1
+        of_noise = 1 - 1 / more
+        self.loss += float(np.log(more[:, ::2] * more[:, 1::2]).sum(dtype=np.float64) - np.log1p(of_data).sum(dtype=np.float64))
         self.tokens += len(t)
         scale = np.float32(1 / len(t))
         of_data, of_noise = of_data * scale, of_noise * scale
         grad_h = of_data[:, None] * qt + of_noise @ qn
         grad_first, grad_second = ra.T @ grad_h, rb.T @ grad_h
-        grad_a, grad_b = grad_h @ p.first.T, grad_h @ p.second.T
-        self._rows("target", np.concatenate([t, noise]), np.concatenate([of_data[:, None] * h, of_noise.T @ h]))
-        self._rows("bias", np.concatenate([t, noise]), np.concatenate([of_data, of_noise.sum(axis=0)]))
-        self._rows("context", np.concatenate([a, b]), np.concatenate([grad_a, grad_b]))
+        grad_a, grad_b = p.first @ grad_h.T, p.second @ grad_h.T
+        grad_q = np.empty((DIM + 1, len(t) + NOISE), dtype=np.float32)
+        grad_q[:DIM, :len(t)], grad_q[DIM, :len(t)] = (h * of_data[:, None]).T, of_data
+        grad_q[:DIM, len(t):], grad_q[DIM, len(t):] = (of_noise.T @ h).T, np.ones(len(t), dtype=np.float32) @ of_noise
+        self._rows(np.concatenate([t, noise]), grad_q, "target", "bias")
+        self._rows(np.concatenate([a, b]), np.concatenate([grad_a, grad_b], axis=1), "context")
         for name, grad in (("first", grad_first), ("second", grad_second)):
             self.seen[name] += grad ** 2
             setattr(p, name, getattr(p, name) - RATE * grad / np.sqrt(self.seen[name]))
@@ -241,10 +245,11 @@ class Trainer:
 
 def _classes(words: list[bytes], lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     """Position in the lexicon (-1: not there) and class of each word."""
-    at = np.array([lex.number.get(w, -1) for w in words], dtype=np.int64)
+    get, crc, first, suffixes = lex.number.get, zlib.crc32, lex.top + 1, lex.suffixes
+    at = np.array([get(w, -1) for w in words], dtype=np.int64)
     classes = lex.classes[at]
-    for i in np.nonzero(at < 0)[0]:
-        classes[i] = lex.suffix_class(words[i])
+    others = np.flatnonzero(at < 0)
+    classes[others] = [first + crc(words[i][-SUFFIX_BYTES:]) % suffixes for i in others.tolist()]
     return at, classes
 
 
@@ -294,7 +299,7 @@ def _one_round(encoded: DataFrame, shared, begin, number: int, parts: int) -> Da
                     if trainer is not None:
                         yield result()
                     own, trainer = part, Trainer(begin.value, lex, (number << 32) + part)
-                t = np.frombuffer(classes, dtype=np.int16).astype(np.int64)
+                t = np.frombuffer(classes, dtype=np.int16)
                 held.append((*contexts(t, lex.top), t))
                 size += len(t)
                 if size >= 100 * BATCH:
@@ -415,7 +420,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
                 many = classes > words.top
                 model = float(table(classes, words.top).sum(dtype=np.float64)) - log_class[classes[many]].sum()
                 model += log_count[at[known & many]].sum()
-                rare = Counter(found[i] for i in np.nonzero(~known)[0])
+                rare = Counter([found[i] for i in np.flatnonzero(~known).tolist()])
                 rows.append((row_id, len(found), int((words.counts[at[known]] > 0).sum()), own - len(found) * log_all, model,
                              [{"word": w, "n": n} for w, n in rare.items()]))
                 row_id += 1
