@@ -33,7 +33,8 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def drop_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with ``text`` rebuilt from the lines that stay, and two more
     columns ``_n_lines`` and ``_n_dropped``; every row and every other column
-    stays as it was.
+    stays as it was, whatever its name (a column of ``docs`` by one of these two
+    names is replaced).
 
     A null or empty text is one empty line and becomes the empty text.  A key is
     a line stripped of ASCII white space with A-Z lower-cased; keys shorter than
@@ -46,14 +47,18 @@ def drop_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
         F.col("n") >= min_docs).select("h1", "h2"), "common")
     hits = hashes.join(common, ["h1", "h2"], "left_semi").groupBy(
         F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_hits"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (text_hash() == F.col("_th"))
-    joined = docs.join(hits.hint("shuffle_hash"), same, "left").withColumn("_all", _lines()).withColumn(
-        "_keep", F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.coalesce("_hits", F.array().cast("array<int>"))))
-    kept = F.array_join(F.transform("_keep", lambda i: F.get("_all", i)), "\n")
-    return joined.select(
-        *[F.when(F.col("_hits").isNull(), text_or_empty()).otherwise(kept).alias(c) if c == "text" else docs[c]
-          for c in docs.columns],
-        F.size("_all").cast("long").alias("_n_lines"), (F.size("_all") - F.size("_keep")).cast("long").alias("_n_dropped"))
+    # both sides are one struct or named by it, so no column of docs can clash with a helper
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
+                       docs["doc_id"].alias("id"), text_hash().alias("th"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    joined = rows.join(hits.hint("shuffle_hash"), same, "left").select("row", "_hits", F.split(text, "\n", -1).alias("all")).withColumn(
+        "keep", F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.coalesce("_hits", F.array().cast("array<int>"))))
+    kept = F.array_join(F.transform("keep", lambda i: F.get("all", i)), "\n")
+    own = [F.when(F.col("_hits").isNull(), text).otherwise(kept).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c)
+           for c in docs.columns if c not in ("_n_lines", "_n_dropped")]
+    return joined.select(*own, F.size("all").cast("long").alias("_n_lines"),
+                         (F.size("all") - F.size("keep")).cast("long").alias("_n_dropped"))
 
 
 def op6_line_dedup(spark, sf_dir) -> DataFrame:
