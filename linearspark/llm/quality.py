@@ -197,7 +197,12 @@ def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
     columns = features()
     rows = stats.join(known, "doc_id").select("doc_id", "quality", *[c.alias(f"f_{k}") for k, c in columns.items()])
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect()
+    first = lambda df: df.orderBy(F.xxhash64("doc_id"), *df.columns).limit(max_labelled).collect()
+    n = rows.count()
+    share = (max_labelled + 8 * max_labelled ** 0.5) / max(n, 1)
+    # hashes below the bound hold about max_labelled rows, so the tasks together send few more than are kept
+    got = first(rows.filter(F.xxhash64("doc_id") < int(-2 ** 63 + 2 ** 64 * share))) if share < 1 else []
+    rows = got if len(got) == max_labelled else first(rows)
     table = np.array([r[2:] for r in rows], dtype=np.float64).reshape(len(rows), len(columns))
     return learn({k: table[:, i] for i, k in enumerate(columns)}, np.array([r["quality"] == 0 for r in rows], dtype=bool))
 
