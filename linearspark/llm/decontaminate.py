@@ -41,22 +41,26 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(phrase array<string>, items array<string>)``: each distinct window of
-    ``window`` words (an item of fewer words is one window; none: no window)
-    and the item ids it comes from."""
+def item_words(items: DataFrame) -> DataFrame:
+    """``(item_id string, item, ws)``: the words of every item that has any, and
+    their digest, which is one for all items of the same words."""
     src = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(i, [w.decode() for w in ws[a:a + window]])
-                for i, text in zip(batch.column("item_id").to_pylist(), utf8(batch, "text"))
-                for ws in [words(text)] if ws for a in range(max(1, len(ws) - window + 1))]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))],
-            ["item_id", "phrase"])
+        ws = pa.array([[w.decode() for w in words(text)] for text in utf8(batch, "text")], pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([batch.column("item_id"), ws], ["item_id", "ws"])
+
+    found = map_batches(src, run, "item_id string, ws array<string>").filter(F.size("ws") > 0)
+    return found.select("item_id", F.md5(F.array_join("ws", " ").cast("binary")).alias("item"), "ws")
+
 
-    found = map_batches(src, run, "item_id string, phrase array<string>")
-    return found.groupBy("phrase").agg(F.collect_set("item_id").alias("items"))
+def phrases(worded: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(phrase_id, phrase array<string>, item)``: the distinct windows of ``window``
+    words of each distinct item (one of fewer words is one window)."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - window + 1, F.lit(1)))
+    windows = worded.select("item", "ws").distinct().select(
+        "item", F.explode(F.transform(starts, lambda i: F.slice("ws", i, window))).alias("phrase"))
+    return windows.select(F.md5(F.array_join("phrase", " ").cast("binary")).alias("phrase_id"), "phrase", "item").distinct()
 
 
 def term_counts(docs: DataFrame, terms) -> DataFrame:
@@ -114,7 +118,7 @@ def build_index(docs: DataFrame, terms, seeds, span: int) -> DataFrame:
 
 
 def _lookup(index: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """Join the seeds of phrases ``(term, off, rarest, need, ids, items)`` and
+    """Join the seeds of phrases ``(term, off, rarest, need, ids, phrase_id)`` and
     postings and intersect the other terms at their adjusted offsets; an exact
     match is found through the rarest seed."""
     joined = index.join(wanted, "term")
@@ -124,19 +128,19 @@ def _lookup(index: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     near = shared(F.col("around")) & F.exists(spans, lambda i: shared(F.slice("around", i, span)))
     return joined.filter(exact | near).select(
         "doc_id", "th", (F.col("pos") - F.col("off")).alias("start"),
-        (F.col("pos") - F.col("off") + F.size("ids")).alias("end"), "items", exact.alias("exact"))
+        (F.col("pos") - F.col("off") + F.size("ids")).alias("end"), "phrase_id", exact.alias("exact"))
 
 
-def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, near_words: int = NEAR_WORDS,
+def search(docs: DataFrame, known: DataFrame, window: int = WINDOW, near_words: int = NEAR_WORDS,
            block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Matches ``(doc_id, th, start, end, items, exact)`` of the phrases of
-    ``items`` in ``docs``, in words from the start of the text; ``exact`` is
+    """Matches ``(doc_id, th, start, end, phrase_id, exact)`` of the ``phrases``
+    ``known`` in ``docs``, in words from the start of the text; ``exact`` is
     false for a proximity match (at least ``near_words`` of the phrase's distinct
     words, or all if it has fewer, in ``2 * window - 1`` consecutive words; it
     has a row for each seed found).  ``th`` is the hash of the text."""
     spark, span = docs.sparkSession, 2 * window - 1
     corpus = parallel(docs).select("doc_id", text_hash().alias("th"), "text")
-    every = materialize(phrases(items, window), "phrases")
+    every = materialize(known.select("phrase_id", "phrase").distinct(), "distinct-phrases")
     n_words = every.agg(F.sum(F.size("phrase")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-n_words // block_words))
     parts = []
@@ -147,18 +151,17 @@ def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, near_words:
         numbered = spark.createDataFrame(sorted((w, i) for i, w in enumerate(sorted(vocabulary))), "w string, term int")
         counts = term_counts(corpus, terms)
         weight = numbered.join(counts, "term", "left").select("w", "term", F.coalesce("n", F.lit(0)).alias("n"))
-        placed = own.withColumn("phrase_id", F.xxhash64("phrase")).select(
-            "phrase_id", "phrase", "items", F.posexplode("phrase").alias("off", "w")).join(weight, "w")
-        ranked = placed.groupBy("phrase_id", "phrase", "items", "n", "term").agg(F.min("off").alias("off")).groupBy(
-            "phrase_id", "phrase", "items").agg(F.array_sort(F.collect_list(F.struct("n", "off", "term"))).alias("rank"))
-        whole = placed.groupBy(F.col("phrase_id").alias("_pid"), F.col("phrase").alias("_phrase")).agg(
+        placed = own.select("phrase_id", F.posexplode("phrase").alias("off", "w")).join(weight, "w")
+        ranked = placed.groupBy("phrase_id", "n", "term").agg(F.min("off").alias("off")).groupBy("phrase_id").agg(
+            F.array_sort(F.collect_list(F.struct("n", "off", "term"))).alias("rank"))
+        whole = placed.groupBy("phrase_id").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("off", "term"))), lambda x: x["term"]).alias("ids"))
         need = F.least(F.lit(near_words), F.size("rank"))
         wanted = materialize(
-            ranked.join(whole, (F.col("phrase_id") == F.col("_pid")) & (F.col("phrase") == F.col("_phrase")))
-            .select("ids", "items", need.alias("need"), F.posexplode(F.slice("rank", 1, F.size("rank") - need + 1)).alias("place", "seed"))
+            ranked.join(whole, "phrase_id")
+            .select("ids", "phrase_id", need.alias("need"), F.posexplode(F.slice("rank", 1, F.size("rank") - need + 1)).alias("place", "seed"))
             .filter("seed.n > 0").select(F.col("seed.term").alias("term"), F.col("seed.off").alias("off"),
-                                         (F.col("place") == 0).alias("rarest"), "need", "ids", "items"), "wanted")
+                                         (F.col("place") == 0).alias("rarest"), "need", "ids", "phrase_id"), "wanted")
         least = np.zeros(len(vocabulary) + 1, dtype=np.int64)
         for r in wanted.groupBy("term").agg(F.min("need").alias("need")).collect():             # <= block_words
             least[r["term"]] = r["need"]
@@ -171,18 +174,28 @@ def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, near_words:
 
 
 def hit_counts(matches: DataFrame) -> DataFrame:
-    """``(doc_id, th, n_hit, items)`` from exact matches: words covered by any
-    match (merged intervals), and the distinct items, sorted as strings."""
-    exact = matches.filter("exact").select("doc_id", "th", "start", "end", "items")
+    """``(doc_id, th, n_hit)`` from exact matches: words covered by any match
+    (merged intervals)."""
+    exact = matches.filter("exact").select("doc_id", "th", "start", "end")
     before = F.max("end").over(Window.partitionBy("doc_id", "th").orderBy("start", "end").rowsBetween(
         Window.unboundedPreceding, -1))
     spans = exact.groupBy("doc_id", "th", "start").agg(F.max("end").alias("end")).withColumn("covered", before)
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce("covered", F.lit(0))))
-    hit = spans.groupBy("doc_id", "th").agg(F.sum(fresh).alias("n_hit"))
-    named = exact.groupBy("doc_id", "th").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    return hit.join(named.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "items"),
-                    F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select(
-        "doc_id", "th", "n_hit", "items")
+    return spans.groupBy("doc_id", "th").agg(F.sum(fresh).alias("n_hit"))
+
+
+def matched_items(matches: DataFrame, known: DataFrame, worded: DataFrame) -> DataFrame:
+    """``(doc_id, th, items, near_items)``: the distinct items of a document's
+    exact matches and of its proximity matches, sorted as strings.  Phrases lead to
+    distinct items first, and those to the ids of all items of the same words."""
+    found = matches.groupBy("doc_id", "th", "phrase_id").agg(F.max("exact").alias("exact"))
+    distinct = found.join(known.select("phrase_id", "item"), "phrase_id").groupBy("doc_id", "th", "item").agg(
+        F.max("exact").alias("exact"))
+    ids = distinct.join(worded.select("item", "item_id").distinct(), "item").groupBy("doc_id", "th", "item_id").agg(
+        F.max("exact").alias("exact"))
+    return ids.groupBy("doc_id", "th").agg(
+        F.sort_array(F.collect_list(F.when(F.col("exact"), F.col("item_id")))).alias("items"),
+        F.sort_array(F.collect_list(F.when(~F.col("exact"), F.col("item_id")))).alias("near_items"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -206,17 +219,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, ratio
     items count for each of them.  Empty tables give empty or unmatched results;
     other columns are ignored.
     """
-    matches = materialize(search(docs, items, window), "matches")
-    hits = hit_counts(matches).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "n_hit", "items")
-    near = matches.filter("NOT exact").groupBy(F.col("doc_id").alias("_nid"), F.col("th").alias("_nth")).agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("near_items"))
+    worded = materialize(item_words(items), "item-words")
+    known = materialize(phrases(worded, window), "phrases")
+    matches = materialize(search(docs, known, window), "matches")
+    hits = hit_counts(matches).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "n_hit")
+    named = matched_items(matches, known, worded).select(
+        F.col("doc_id").alias("_nid"), F.col("th").alias("_nth"), "items", "near_items")
     counts = word_counts(docs)
     joined = counts.join(hits, counts["doc_id"].eqNullSafe(F.col("_id")) & (counts["th"] == F.col("_th")), "left").join(
-        near, counts["doc_id"].eqNullSafe(F.col("_nid")) & (counts["th"] == F.col("_nth")), "left")
+        named, counts["doc_id"].eqNullSafe(F.col("_nid")) & (counts["th"] == F.col("_nth")), "left")
     none = F.array().cast("array<string>")
     found = joined.select("doc_id", "th", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-                          F.coalesce("items", none).alias("items"),
-                          F.array_except(F.coalesce("near_items", none), F.coalesce("items", none)).alias("near_items"))
+                          F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * ratio >= F.col("n_words")))
 
 

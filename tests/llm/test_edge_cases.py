@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from linearspark.llm import chat, decontaminate, extract, language_model, licences, lines, packing, quality, simhash, toxicity
 
@@ -83,6 +84,11 @@ def test_lines(odd_docs, no_docs):
     assert by_id[5]["text"] == by_id[6]["text"] == "" and by_id[0]["_n_lines"] == 1 and by_id[3]["_n_lines"] == 3
     assert by_id[12]["_n_dropped"] == 0        # twice in one document is one document
     assert lines.drop_common_lines(no_docs).count() == 0
+    clash = ["all", "keep", "row", "id", "_id", "_th", "_hits", "_all", "_keep", "a.b"]
+    named = lines.drop_common_lines(odd_docs.select("*", *[F.lit("mine").alias(c) for c in clash]), min_docs=2)
+    assert named.columns[:-2] == odd_docs.columns + clash
+    assert {tuple(r[9:19]) for r in named.collect()} == {("mine",) * len(clash)}
+    assert sorted(map(repr, (tuple(r[c] for c in got.columns) for r in named.collect()))) == sorted(map(repr, map(tuple, got.collect())))
 
 
 def test_chat(spark):
@@ -115,6 +121,36 @@ def test_decontaminate(odd_docs, no_docs, items):
     assert decontaminate.drop_contaminated(odd_docs, items).columns == odd_docs.columns
 
 
+def test_equal_items_are_joined_once(spark):
+    """Matches carry a phrase, not the ids of its items; every item of the same words counts."""
+    text = " ".join(f"w{i}" for i in range(20))
+    items = spark.createDataFrame([(i, text.upper() if i % 2 else text + " .") for i in range(500)] + [(900, "w3 w4"), (900, "w3 w4")],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([(i, text if i < 20 else "w3, w4 other" if i == 20 else "none") for i in range(30)], "doc_id long, text string")
+    worded = decontaminate.item_words(items)
+    known = decontaminate.phrases(worded)
+    matches = decontaminate.search(docs, known).filter("exact")
+    assert known.count() == 9 and matches.count() == 20 * 9 + 1 and set(matches.columns) == {
+        "doc_id", "th", "start", "end", "phrase_id", "exact"}
+    every = sorted(map(str, [*range(500), 900]))
+    got = {r["doc_id"]: r["items"] for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {i: every if i < 20 else ["900"] if i == 20 else [] for i in range(30)}
+
+
+def test_quality_sample(spark, monkeypatch):
+    """The bounded sample is the first rows by the hash of their ids, with and without the bound on the hash."""
+    names = list(quality.features())
+    stats = spark.range(2000).withColumnRenamed("id", "doc_id").crossJoin(
+        quality.statistics(spark.createDataFrame([(0, "a b c")], "doc_id long, text string")).drop("doc_id"))
+    labels = spark.range(2000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    seen = []
+    monkeypatch.setattr(quality, "learn", lambda x, bad: seen.append((len(bad), len(x[names[0]]), list(bad))) or [])
+    want = [r["quality"] == 0 for r in labels.orderBy(F.xxhash64("doc_id")).collect()]
+    for bound in (100, 1999, 5000):
+        quality.fit(stats, labels, bound)
+        assert seen[-1] == (min(bound, 2000), min(bound, 2000), want[:bound])
+
+
 def test_proximity_matches_are_complete(spark):
     """All passages that keep ten words of a phrase, whichever words are changed, against brute force."""
     rng = np.random.default_rng(2)
