@@ -1,5 +1,8 @@
 """Every operator on awkward rows, on empty tables and with clashing extra columns."""
 
+import textwrap
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -23,13 +26,57 @@ def test_licences(spark, odd_docs, no_docs):
     known = licences.known_digests(spark)
     assert licences.scan(odd_docs, known).count() == 18       # the repeated row is one
     assert licences.scan(no_docs, known).count() == 0
-    mit = "Copyright (c) 2020 Somebody\n\n" + dict(reversed(licences.KNOWN[:1]))["MIT"].upper().replace(",", " ,")
+    mit = "Copyright (c) 2020 Somebody\n\n" + licences._MIT.upper().replace(",", " ,")
     docs = spark.createDataFrame([(1, mit), (2, "Bla\n** Released  under the MIT licence\n")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in licences.scan(docs, known).collect()}
     assert got[1]["whole_text"] and got[1]["license_ids"] == ["MIT"]
     assert not got[2]["whole_text"] and got[2]["license_ids"] == ["MIT"]
 
 
+def test_licences_inside_files(spark, odd_docs):
+    """Known texts wrapped anew, as a comment inside a file, after a copyright in the same line, and incomplete."""
+    blocks = licences.known_blocks(spark)
+    texts = {name: text for name, text in licences.KNOWN if text in (licences._MIT, licences._UNLICENSE) or name.startswith("BSD-") and "\n" in text}
+    comment = lambda t, width: "\n".join(
+        " * " + line for block in t.split("\n\n") for line in [*textwrap.wrap(" ".join(block.split()), width), ""])
+    rows, want = [], {}
+    for name, text in texts.items():
+        for i, width in enumerate((40, 100)):
+            key = len(rows)
+            rows.append((key, f"/*\n * Copyright (c) 2020 A. Body\n *\n{comment(text, width)}\n */\nimport sys\n"))
+            want[key] = ([name], False)
+        rows.append((len(rows), "\n\n".join(text.split("\n\n")[:-1]) + "\n\nother words"))
+        want[len(rows) - 1] = ([], False)
+        rows.append((len(rows), f"Copyright 2021 X\n\n{textwrap.fill(text.split(chr(10) * 2)[0], 30)}\n\n" + "\n\n".join(text.split("\n\n")[1:])))
+        want[len(rows) - 1] = ([name], True)
+    for text, ids in (("Copyright (c) 2020 Somebody. Released under the MIT License.", ["MIT"]),
+                      ("Text before\n\nThis work is licensed under the GNU\nGeneral Public License, version 3.\n\nafter", ["GPL-3.0"]),
+                      ("Copyright (c) 2020 Somebody. All rights reserved.", [])):
+        want[len(rows)] = (ids, len(ids) > 0 and "before" not in text)
+        rows.append((len(rows), text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["license_ids"], r["whole_text"]) for r in licences.scan(docs, licences.known_digests(spark), blocks).collect()}
+    assert got == want
+    assert licences.scan(odd_docs, licences.known_digests(spark), blocks).count() == 18
+
+
+@pytest.mark.parametrize("file, name", [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-3", "LGPL-3.0"),
+                                        ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
+def test_long_licences(spark, file, name):
+    """Entire long texts by their digests, wrapped anew; with the text given, also inside a file."""
+    path = Path("/usr/share/common-licenses") / file
+    if not path.exists():
+        pytest.skip("this machine has no copies of the licence texts")
+    text = path.read_text()
+    # a copyright goes with its whole line, so the lines of blocks with one stay as they are
+    wrapped = "\n\n".join(b if "copyright" in b.lower() or "(c)" in b.lower() else textwrap.fill(b, 100) for b in text.split("\n\n"))
+    docs = spark.createDataFrame([(0, text), (1, wrapped), (2, "first\n\n" + text + "\n\nlast"), (3, text[:-200])], "doc_id long, text string")
+    found = licences.scan(docs, licences.known_digests(spark), licences.known_blocks(spark, [(name, text)]))
+    got = {r["doc_id"]: (r["license_ids"], r["whole_text"]) for r in found.collect()}
+    assert name in got[0][0] and got[0][1] and name in got[1][0] and got[1][1]
+    assert name in got[2][0] and not got[2][1] and not got[3][1]
+
+
 def test_quality(odd_docs, no_docs, labels):
     got = quality.judge(odd_docs, labels).collect()
     assert len(got) == 19 and all(r["base_failed"] and not r["kept"] for r in got if r["n_words"] < 10)
