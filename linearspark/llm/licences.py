@@ -132,15 +132,27 @@ def _canonical(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, COPYRIGHT_LINE, "$1"), OTHER, " ")
 
 
+def _trimmed(text: Column) -> Column:
+    return F.transform(F.split(_canonical(text), "\n", -1), lambda line: F.btrim(line))
+
+
+def _lines(trimmed: Column) -> Column:
+    return F.filter(trimmed, lambda line: line != "")
+
+
+def _blocks(trimmed: Column) -> Column:
+    blocks = F.split(F.array_join(trimmed, "\n"), "\n\n+", -1)
+    return _lines(F.transform(blocks, lambda b: F.btrim(F.replace(b, F.lit("\n"), F.lit(" ")))))
+
+
 def canonical_lines(text: Column) -> Column:
     """The canonical lines of a text that are not empty."""
-    return F.filter(F.transform(F.split(_canonical(text), "\n", -1), lambda line: F.btrim(line)), lambda line: line != "")
+    return _lines(_trimmed(text))
 
 
 def canonical_blocks(text: Column) -> Column:
     """The canonical text cut at blank lines, each block one line."""
-    blocks = F.split(_canonical(text), r"\n(?: ?\n)+", -1)
-    return F.filter(F.transform(blocks, lambda b: F.btrim(F.regexp_replace(b, r" ?\n ?", " "))), lambda b: b != "")
+    return _blocks(_trimmed(text))
 
 
 def _known_rows(spark: SparkSession, known) -> DataFrame:
@@ -180,7 +192,8 @@ def scan(docs: DataFrame, known: DataFrame, blocks: DataFrame | None = None) ->
     matches nothing.  Rows that repeat an id and a canonical text give one row;
     an empty table gives none; other columns are ignored.
     """
-    cut = docs.select("doc_id", canonical_lines(text_or_empty()).alias("lines"), canonical_blocks(text_or_empty()).alias("blocks"))
+    # a step of its own, so that the canonical text is made once for lines and blocks
+    cut = docs.select("doc_id", _trimmed(text_or_empty()).alias("t")).select("doc_id", _lines(F.col("t")).alias("lines"), _blocks(F.col("t")).alias("blocks"))
     key = ["doc_id", "n_lines", "text_digest"]
     digests = cut.select("doc_id", F.size("lines").cast("long").alias("n_lines"),
                          F.sha2(F.array_join("lines", " "), 256).alias("text_digest"), "lines", "blocks")
