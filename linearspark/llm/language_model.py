@@ -25,18 +25,18 @@ the sum over t of exp(A[a, t] + B[b, t] + bias_t) is exp(A + bias) exp(B)'.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linearspark.llm.common import id_remainder, map_batches, map_partition, parallel, read_table, utf8
+from linearspark.llm.common import id_remainder, map_partition, parallel, read_table
 from linearspark.session import materialize
 
 FOLDS, HELD_OUT = 10, 0
@@ -50,37 +50,68 @@ BATCH = 2048
 RATE = 0.05
 PART_TOKENS = 1 << 22     # training tokens of a part
 MAX_ROUNDS, TOLERANCE = 4, 0.01   # rounds end when the objective falls by a smaller share
-FLUSH = 300_000           # distinct words a task holds before it hands its counts on
+FLUSH = 1_000_000         # counts of words a task holds before it adds them up and hands them on
 COMBINERS = 8
+LIMIT = 20                # of a log odds; products of four such odds are finite
+SCORE_BLOCK = 1 << 16     # tokens scored at once
+BATCH_BYTES = 1 << 23     # of text split into words at once, unless one text is longer
 
 _END_WORD = b""           # no word is empty
 
 
-def tokens(text: bytes) -> list[bytes]:
-    words = text.lower().split()
-    words.append(_END_WORD)
-    return words
+@dataclass
+class Tokens:
+    """The tokens of a batch of texts, each distinct word once."""
+    words: pa.Array         # distinct words (binary); the end, which is the empty word, is the last
+    codes: np.ndarray       # position in ``words`` of each token, text after text
+    starts: np.ndarray      # where each text's tokens begin in ``codes``
+
+    @staticmethod
+    def of(batch: pa.RecordBatch, name: str = "text") -> Tokens:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(batch.column(name).fill_null("")))
+        flat = lists.flatten().dictionary_encode()
+        words, codes = flat.dictionary.cast(pa.binary()), flat.indices.to_numpy()
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        real = (pc.binary_length(words).to_numpy() > 0)[codes]       # blanks at either end leave an empty word
+        codes, row = codes[real], row[real]
+        ends = np.cumsum(np.bincount(row, minlength=len(lists)) + 1) - 1
+        out = np.full(len(codes) + len(lists), len(words), dtype=np.int64)
+        out[np.arange(len(codes)) + row] = codes
+        return Tokens(pa.concat_arrays([words, pa.array([_END_WORD], pa.binary())]), out, np.append(0, ends[:-1] + 1))
+
+
+def _by_bytes(batches: Iterator[pa.RecordBatch], name: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in pieces of at most ``BATCH_BYTES`` of text, or of one row."""
+    for batch in batches:
+        before = np.cumsum(pc.binary_length(batch.column(name).fill_null("")).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            full = before[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(before, full + BATCH_BYTES, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def corpus_counts(training: DataFrame) -> DataFrame:
     """``(word binary, n)`` of all tokens of ``training``; the end is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[bytes] = Counter()
-
-        def emit() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(count.keys()), pa.binary()), pa.array(list(count.values()), pa.int64())],
-                                             ["word", "n"])
-            count.clear()
-            return out
-
-        for batch in batches:
-            for text in utf8(batch, "text"):
-                count.update(tokens(text))
-            if len(count) > FLUSH:
-                yield emit()
-        if count:
-            yield emit()
+        held: list[pa.Table] = []
+
+        def added() -> list[pa.RecordBatch]:
+            total = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+            held.clear()
+            return total.select(["word", "n_sum"]).rename_columns(["word", "n"]).combine_chunks().to_batches()
+
+        for batch in _by_bytes(batches):
+            found = Tokens.of(batch)
+            n = np.bincount(found.codes, minlength=len(found.words))
+            own = np.flatnonzero(n)
+            held.append(pa.table({"word": found.words.take(pa.array(own)), "n": n[own]}))
+            if sum(t.num_rows for t in held) > FLUSH:
+                yield from added()
+        if held:
+            yield from added()
 
     return map_partition(training.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -196,6 +227,23 @@ def contexts(classes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     return padded[1:-1], padded[:-2]
 
 
+def batch_contexts(classes: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """``contexts`` of the texts that begin at ``starts``, one after another in ``classes``."""
+    a, b = (np.concatenate([np.full(i, end, dtype=classes.dtype), classes[:-i]])[:len(classes)] for i in (1, 2))
+    a[starts] = b[starts] = end
+    second = starts + 1
+    b[second[second < len(classes)]] = end
+    return a, b
+
+
+def _word_counts(found: Tokens, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, word, occurrences)`` of the ``wanted`` words, by text."""
+    row = np.repeat(np.arange(len(found.starts)), np.diff(found.starts, append=len(found.codes)))
+    own = wanted[found.codes]
+    key, n = np.unique(row[own] * len(found.words) + found.codes[own], return_counts=True)
+    return key // len(found.words), key % len(found.words), n
+
+
 class Trainer:
     """Adagrad on the noise-contrastive objective; noise is drawn from the class shares."""
 
@@ -223,16 +271,22 @@ class Trainer:
         a, b, t = a.astype(np.intp), b.astype(np.intp), t.astype(np.intp)
         ra, rb, qt, qn = (x.take(rows, axis=0) for x, rows in ((p.context, a), (p.context, b), (p.target, t), (p.target, noise)))
         h = ra @ p.first + rb @ p.second
-        of_data = -1 / (1 + np.exp(np.minimum(np.einsum("ij,ij->i", h, qt) + p.bias[t] - self.log_noise[t], 30)))
-        more = np.exp(np.minimum(h @ qn.T + (p.bias[noise] - self.log_noise[noise]), 30)) + 1
-        of_noise = 1 - 1 / more
-        self.loss += float(np.log(more[:, ::2] * more[:, 1::2]).sum(dtype=np.float64) - np.log1p(of_data).sum(dtype=np.float64))
+        of_data = -1 / (1 + np.exp(np.minimum(np.einsum("ij,ij->i", h, qt) + p.bias[t] - self.log_noise[t], LIMIT)))
+        more = h @ qn.T
+        more += p.bias[noise] - self.log_noise[noise]
+        np.exp(np.minimum(more, LIMIT, out=more), out=more)
+        more += 1
+        pairs = more[:, :NOISE // 2] * more[:, NOISE // 2:]
+        fours = pairs[:, :NOISE // 4] * pairs[:, NOISE // 4:]       # one logarithm for four noise terms
+        self.loss += float(np.log(fours).sum(dtype=np.float64) - np.log1p(of_data).sum(dtype=np.float64))
+        of_noise = np.subtract(1, np.reciprocal(more, out=more), out=more)
         self.tokens += len(t)
         scale = np.float32(1 / len(t))
-        of_data, of_noise = of_data * scale, of_noise * scale
+        of_data *= scale
+        of_noise *= scale
         grad_h = of_data[:, None] * qt + of_noise @ qn
         grad_first, grad_second = ra.T @ grad_h, rb.T @ grad_h
-        grad_a, grad_b = p.first @ grad_h.T, p.second @ grad_h.T
+        grad_a, grad_b = (grad_h @ p.first.T).T, (grad_h @ p.second.T).T
         grad_q = np.empty((DIM + 1, len(t) + NOISE), dtype=np.float32)
         grad_q[:DIM, :len(t)], grad_q[DIM, :len(t)] = (h * of_data[:, None]).T, of_data
         grad_q[:DIM, len(t):], grad_q[DIM, len(t):] = (of_noise.T @ h).T, np.ones(len(t), dtype=np.float32) @ of_noise
@@ -243,13 +297,14 @@ class Trainer:
             setattr(p, name, getattr(p, name) - RATE * grad / np.sqrt(self.seen[name]))
 
 
-def _classes(words: list[bytes], lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+def _classes(words: pa.Array, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     """Position in the lexicon (-1: not there) and class of each word."""
     get, crc, first, suffixes = lex.number.get, zlib.crc32, lex.top + 1, lex.suffixes
-    at = np.array([get(w, -1) for w in words], dtype=np.int64)
+    listed = words.to_numpy(zero_copy_only=False).tolist()
+    at = np.array([get(w, -1) for w in listed], dtype=np.int64)
     classes = lex.classes[at]
     others = np.flatnonzero(at < 0)
-    classes[others] = [first + crc(words[i][-SUFFIX_BYTES:]) % suffixes for i in others.tolist()]
+    classes[others] = [first + crc(listed[i][-SUFFIX_BYTES:]) % suffixes for i in others.tolist()]
     return at, classes
 
 
@@ -258,13 +313,16 @@ def encode(training: DataFrame, shared, parts: int) -> DataFrame:
     tokens as 16-bit numbers.  Documents are dealt by a hash of id and text."""
     h = F.xxhash64("doc_id", "text")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        classes = [_classes(tokens(text), shared.value)[1].astype(np.int16).tobytes() for text in utf8(batch, "text")]
-        return pa.RecordBatch.from_arrays([batch.column("part"), batch.column("h"), pa.array(classes, pa.binary())],
-                                          ["part", "h", "classes"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_bytes(batches):
+            found = Tokens.of(batch)
+            classes = _classes(found.words, shared.value)[1].astype(np.int16)[found.codes]
+            own = [c.tobytes() for c in np.split(classes, found.starts[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("h"), pa.array(own, pa.binary())],
+                                             ["part", "h", "classes"])
 
     dealt = training.select(F.pmod(h, F.lit(parts)).alias("part"), h.alias("h"), "text")
-    return map_batches(dealt, run, "part long, h long, classes binary")
+    return map_partition(dealt, run, "part long, h long, classes binary")
 
 
 def _one_round(encoded: DataFrame, shared, begin, number: int, parts: int) -> DataFrame:
@@ -382,8 +440,10 @@ class Scorer:
         return Scorer(*(x.astype(np.float32) for x in (first, second, p.target, p.bias)), norm)
 
     def __call__(self, classes: np.ndarray, end: int) -> np.ndarray:
-        """log10 probability of each class after the two before it."""
-        a, b = contexts(classes, end)
+        """log10 probability of each class of one text after the two before it."""
+        return self.of_context(*contexts(classes, end), classes)
+
+    def of_context(self, a: np.ndarray, b: np.ndarray, classes: np.ndarray) -> np.ndarray:
         raw = np.einsum("ij,ij->i", self.first[a] + self.second[b], self.target[classes]) + self.bias[classes]
         return (raw - self.norm[a, b]) * np.float32(np.log10(np.e))
 
@@ -401,34 +461,37 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     lex = lexicon(counts)
     shared = spark.sparkContext.broadcast(lex)
     tables = spark.sparkContext.broadcast(Scorer.of(train(training, lex)))
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, table = shared.value, tables.value
-        log_count = np.log10(words.counts + SMOOTH)
+        log_count = np.log10(np.append(words.counts, 1 - SMOOTH) + SMOOTH)    # last: 0 for words to be joined
+        counted = np.append(words.counts > 0, False)
         log_class, log_all = words.log_class(), words.log_all()
         row_id = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = []
-            for text in utf8(batch, "text"):
-                found = tokens(text)
-                at, classes = _classes(found, words)
-                known = at >= 0
-                own = log_count[at[known]].sum()      # of the words every task holds; the rare ones are joined
-                many = classes > words.top
-                model = float(table(classes, words.top).sum(dtype=np.float64)) - log_class[classes[many]].sum()
-                model += log_count[at[known & many]].sum()
-                rare = Counter([found[i] for i in np.flatnonzero(~known).tolist()])
-                rows.append((row_id, len(found), int((words.counts[at[known]] > 0).sum()), own - len(found) * log_all, model,
-                             [{"word": w, "n": n} for w, n in rare.items()]))
-                row_id += 1
-            cols = list(zip(*rows))
+        for batch in _by_bytes(batches):
+            found = Tokens.of(batch)
+            at, of_word = _classes(found.words, words)
+            # of each distinct word: what it adds to the base, and to the score beside its class's probability
+            base = log_count[at]
+            within = np.where(of_word > words.top, base - log_class[of_word], 0)
+            per_text = lambda x: np.add.reduceat(x, found.starts)
+            model = within[found.codes]
+            classes = of_word[found.codes]
+            a, b = batch_contexts(classes, found.starts, words.top)
+            for i in range(0, len(classes), SCORE_BLOCK):
+                block = slice(i, i + SCORE_BLOCK)
+                model[block] += table.of_context(a[block], b[block], classes[block])
+            n_tokens = np.diff(found.starts, append=len(found.codes))
+            row, code, n = _word_counts(found, at < 0)    # the words that not every task holds are joined
+            rare = pa.ListArray.from_arrays(
+                pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)),
+                pa.StructArray.from_arrays([found.words.take(pa.array(code)), pa.array(n.astype(np.int32))], ["word", "n"]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]),
-                 *(pa.array(c, pa.float64()) for c in cols[3:5]), pa.array(cols[5], rare_type)],
+                [batch.column("doc_id"), pa.array(row_id + np.arange(batch.num_rows)), pa.array(n_tokens),
+                 pa.array(per_text(counted[at][found.codes].astype(np.int64))),
+                 pa.array(per_text(base[found.codes]) - n_tokens * log_all), pa.array(per_text(model)), rare],
                 ["doc_id", "row_id", "n_tokens", "known", "base", "model", "rare"])
+            row_id += batch.num_rows
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     partial = materialize(map_partition(

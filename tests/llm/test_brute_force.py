@@ -8,6 +8,7 @@ from itertools import combinations, product
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -225,6 +226,22 @@ def test_language_model_is_normalised():
         assert abs((10.0 ** np.array(every, dtype=np.float64)).sum() - 1) < 1e-3
 
 
+def test_language_model_tokens(monkeypatch):
+    texts = [None, "", " ", "a", "A b  a\tÄ\u00a0x\x0b", "\nlast line \r", "a " * 500, "Z"]
+    monkeypatch.setattr(language_model, "BATCH_BYTES", 12)
+    batch = pa.RecordBatch.from_arrays([pa.array(["out of the slice", *texts])], ["text"]).slice(1)
+    got = []
+    for piece in language_model._by_bytes([batch]):
+        assert piece.num_rows == 1 or sum(len((t or "").encode()) for t in piece.column("text").to_pylist()) <= 12
+        found = language_model.Tokens.of(piece)
+        a, b = language_model.batch_contexts(found.codes, found.starts, -1)
+        words = found.words.to_pylist()
+        for one, *before in zip(*(np.split(x, found.starts[1:]) for x in (found.codes, a, b))):
+            got.append([words[i] for i in one])
+            assert [x.tolist() for x in before] == [x.tolist() for x in language_model.contexts(one, -1)]
+    assert got == [(t or "").encode().lower().split() + [b""] for t in texts]
+
+
 def test_language_model_score_by_hand(spark, texts, monkeypatch):
     """The score of every text from the fitted parameters by a plain softmax over all classes."""
     fitted = {}
