@@ -27,7 +27,7 @@ EPOCHS = 40
 VAL_ROWS = 500
 STOP_P = 3
 EARLY_STEPS = 30
-EARLY_BATCH = 1000     # fits the smallest tables too
+EARLY_BATCH = 1500     # a smaller table's batch is all of its training rows
 STREAM_LR = 0.0075
 STREAM_SUBSET = 2
 
@@ -194,7 +194,8 @@ def train_early_stop(spark, sf_dir):
     parts = materialize(SP.ratio_split(ex, 0.9, seed=1, label="part"))
     train = parts.filter(F.col("part") == "train").select("id", "y")
     val = parts.filter(F.col("part") == "test").select("id", "y")
-    w, hist = VZ.train_hinge(train, feats, dim, EARLY_STEPS, EARLY_BATCH, seed=1, lr=LR_HINGE, reg=REG_HINGE,
+    batch = min(EARLY_BATCH, max(train.count(), 1))
+    w, hist = VZ.train_hinge(train, feats, dim, EARLY_STEPS, batch, seed=1, lr=LR_HINGE, reg=REG_HINGE,
                              val=val, persistence=STOP_P, digits=MARGIN_DIGITS)
     h = spark.createDataFrame([(int(s), float(o), float(a)) for s, o, a in hist],
                               "step long, val_objective double, val_acc double")
