@@ -1,9 +1,13 @@
 """Queries do their whole job on tables of any size; every test builds its own rows."""
 
+import time
+
 import pytest
 
+from linearspark.operators import features as FT
 from linearspark.registry import ORACLE
 from linearspark.registry import training as TRAINING
+from linearspark.registry.data import _dense_facts
 from linearspark.session import scratch_path
 
 
@@ -30,3 +34,30 @@ def test_early_stop_draws_its_whole_batch(spark, monkeypatch, orders, batch):
     TRAINING.train_early_stop(spark, order_tables(spark, orders))
     assert drawn == [(30, batch)]
     assert ORACLE["train_early_stop"].count("LIMIT 1500)") == 30
+
+
+def _rows(df):
+    return sorted((r["id"], list(r["x"])) for r in df.collect())
+
+
+def test_dense_rows(spark):
+    packed = spark.createDataFrame(
+        [(1, [0, 3], [1.0, 2.5]), (2, [], []), (3, [4, 0], [None, -1.0]), (4, [-1, 2, 9], [7.0, 8.0, 9.0]), (5, None, None)],
+        "id long, idx array<long>, val array<double>")
+    want = [(1, [1.0, 0.0, 0.0, 2.5, 0.0]), (2, [0.0] * 5), (3, [-1.0, 0.0, 0.0, 0.0, 0.0]), (4, [0.0, 0.0, 8.0, 0.0, 0.0]), (5, [0.0] * 5)]
+    assert _rows(FT.densify(packed, 5)) == want
+    facts = FT.densify(packed, 5, measure=lambda x: [x.sum(axis=1)], fields="s double")
+    assert sorted(map(tuple, facts.collect())) == [(i, sum(x)) for i, x in want]
+    for keys in ([1, 1], [1, None]):
+        with pytest.raises(Exception):
+            FT.densify(spark.createDataFrame([(1, keys, [1.0, 2.0])], packed.schema), 5).collect()
+
+
+def test_dense_rows_of_many_blocks(spark):
+    n, dim = 3000, 20_001                       # 60 million numbers in one task
+    packed = spark.range(n, numPartitions=1).selectExpr("id", "array(0L, 1 + id) AS idx", "array(1D, CAST(2 + id AS DOUBLE)) AS val")
+    facts = FT.densify(packed, dim, measure=_dense_facts, fields="n int, pos_sum double, nnz long")
+    started = time.monotonic()
+    assert sorted(map(tuple, facts.collect())) == [(i, dim, 1.0 + (i + 2) ** 2, 2) for i in range(n)]
+    assert time.monotonic() - started < 30      # 2.4 us a number (sf0.1, 8 cores) when every number was looked up in a map
+    assert _rows(FT.densify(packed.limit(70), 20_001))[69][1][:72] == [1.0] + [0.0] * 69 + [71.0, 0.0]
