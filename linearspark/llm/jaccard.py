@@ -20,10 +20,12 @@ that occur more than once go back to their block with the logarithm of their
 frequency.  Tokens of one document need not be known one by one: they are in no
 intersection, and a set with too many of them has no partner at all.
 
-Equal sets are folded.  Large groups of similar sets are linked without their
-pairs: in rounds, members of a prefix token's bucket are compared with one
-leader; after that only pairs of different components are left, each with a
-member outside its bucket's largest component.  All of those are compared.
+Equal sets are folded.  A prefix token's bucket of at most ``SMALL_BUCKET`` sets
+(nearly all are: most tokens are shared by chance) is joined with itself, once.
+Large groups of similar sets are linked without their pairs: in rounds, members
+of a larger bucket are compared with one leader; after that only pairs of
+different components are left, each with a member outside its bucket's largest
+component.  All of those are compared.
 
 Token hashes have 48 bits (a pair of sets of n tokens sees a false common token
 with a chance of n^2 / 2^48), names of sets 64 bits.
@@ -52,6 +54,7 @@ TOKEN_BYTES = 6
 BYTES_A_TOKEN = 6             # expected, for the number of ranges
 TOKEN_BITS = 8 * TOKEN_BYTES
 PARITY_BITS = 256
+SMALL_BUCKET = 8              # sets of a bucket whose pairs are all compared at once
 STAR_ROUNDS = 6               # at most; they only make the last, complete round smaller
 
 
@@ -300,13 +303,17 @@ def _relabel(links: DataFrame) -> DataFrame:
 
 def components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(sid, comp)`` for every set with a link; comp is the smallest sid."""
-    spark = sets.sparkSession
-    post = materialize(postings(sets, percent), "postings")
-    shared = post.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token")
-    post = materialize(post.join(shared, "token", "left_semi"), "shared-postings")
+    shared = sets.select(F.explode("rare").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    post = materialize(postings(sets, percent).join(shared, "token"), "shared-postings")
     rows = post.count()
-    links = spark.createDataFrame([], "hi long, lo long")
-    comp = spark.createDataFrame([], "sid long, comp long")
+    small = post.filter(F.col("m") <= SMALL_BUCKET).drop("m")
+    found = small.alias("a").join(small.alias("b"), F.expr("a.token = b.token AND a.sid > b.sid") & _fits("a", "b", percent))
+    pairs = materialize(found.select(F.col("a.sid").alias("hi"), F.col("b.sid").alias("lo")).distinct(), "small-candidates")
+    links = materialize(linked(pairs, sets, percent), "small-links")
+    comp = _relabel(links)
+    post = post.filter(F.col("m") > SMALL_BUCKET).drop("m")
+    if post.isEmpty():
+        return comp
     left = None
     for star in range(STAR_ROUNDS + 1):
         # buckets that still hold several components, each with its largest

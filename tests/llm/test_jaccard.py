@@ -5,6 +5,7 @@ import random
 import pytest
 
 from linearspark.llm import jaccard as J
+from linearspark.session import materialize
 
 from .conftest import SF
 
@@ -85,3 +86,33 @@ def test_prefix_bounds():
     for n in range(1, 400):
         assert J.prefix_size(n) == n - -(-85 * n // 100) + 1
         assert J.index_size(n) == n - -(-170 * n // 185) + 1
+
+
+def test_small_buckets_are_joined_once(spark, monkeypatch):
+    """Sets that share tokens by twos and threes never enter the rounds; a large group does."""
+    dice = random.Random(3)
+    rounds = []
+
+    def kept(df, name="cut"):
+        df = materialize(df, name)
+        if name == "named-postings":
+            rounds.append(df.select("sid").distinct().count())
+        return df
+
+    def near(base, n):
+        texts = []
+        for i in range(n):
+            own = list(base)
+            own[dice.randrange(len(own))] = f"x{dice.random()}"
+            texts.append(" ".join(own))
+        return texts
+
+    monkeypatch.setattr(J, "materialize", kept)
+    base = lambda: [f"w{dice.random()}" for _ in range(80)]
+    texts = [t for _ in range(60) for t in near(base(), dice.choice([2, 3]))]
+    rows = list(enumerate(texts))
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == all_pairs(rows)
+    assert rounds == []
+    rows += [(len(rows) + i, t) for i, t in enumerate(near(base(), 30))]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == all_pairs(rows)
+    assert rounds and max(rounds) <= 30
