@@ -55,6 +55,7 @@ BYTES_A_TOKEN = 6             # expected, for the number of ranges
 TOKEN_BITS = 8 * TOKEN_BYTES
 PARITY_BITS = 256
 SMALL_BUCKET = 8              # sets of a bucket whose pairs are all compared at once
+LEAST_ROUNDS = 3              # before rounds that change little end them: a leader may be a poor one
 STAR_ROUNDS = 6               # at most; they only make the last, complete round smaller
 
 
@@ -324,7 +325,7 @@ def components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
                                             F.max(F.struct("m", F.col("comp"))).alias("top")).filter("comps > 1")
         open_ = materialize(open_.select("token", "size", F.col("top.m").alias("top_m"), F.col("top.comp").alias("top")), "open")
         todo = open_.agg(F.sum((F.col("size") - F.col("top_m")) * F.col("size")).alias("pairs")).first()["pairs"] or 0
-        complete = star == STAR_ROUNDS or todo <= 4 * rows or (left is not None and todo > 0.9 * left)
+        complete = star == STAR_ROUNDS or todo <= 4 * rows or (star >= LEAST_ROUNDS and todo > 0.9 * left)
         left = todo
         own = named.join(open_, "token")
         if complete:
